@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, rules, tokens, warc
+from . import ann, packing, rules, suffix, tokens, warc
 
 
 def queries() -> dict:
     return {
+        "op1_permutation_ann": ann.op1_permutation_ann,
         "op3_quality_rules": rules.op3_quality_rules,
         "op5_packing": packing.op5_packing,
         "op6_token_counts": tokens.op6_token_counts,
+        "op7_suffix_dedup": suffix.op7_suffix_dedup,
         "op8_warc_salvage": warc.op8_warc_salvage,
     }
 
