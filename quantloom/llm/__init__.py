@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, packing, rules, suffix, tokens, warc
+from . import ann, packing, phrases, rules, suffix, tokens, warc
 
 
 def queries() -> dict:
@@ -13,8 +13,9 @@ def queries() -> dict:
         "op6_token_counts": tokens.op6_token_counts,
         "op7_suffix_dedup": suffix.op7_suffix_dedup,
         "op8_warc_salvage": warc.op8_warc_salvage,
+        "op10_repeated_passages": phrases.op10_repeated_passages,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": rules.ORACLE, "op8_warc_salvage": warc.ORACLE}
+    return {"op3_quality_rules": rules.ORACLE, "op8_warc_salvage": warc.ORACLE, "op10_repeated_passages": phrases.ORACLE}
