@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, packing, phrases, rules, suffix, tokens, warc
+from . import ann, ordermin, packing, phrases, rules, suffix, tokens, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_token_counts": tokens.op6_token_counts,
         "op7_suffix_dedup": suffix.op7_suffix_dedup,
         "op8_warc_salvage": warc.op8_warc_salvage,
+        "op9_order_minhash": ordermin.op9_order_minhash,
         "op10_repeated_passages": phrases.op10_repeated_passages,
     }
 
