@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, ordermin, packing, phrases, rules, suffix, tokens, warc
+from . import ann, classifier, ordermin, packing, phrases, rules, suffix, tokens, warc
 
 
 def queries() -> dict:
     return {
         "op1_permutation_ann": ann.op1_permutation_ann,
         "op3_quality_rules": rules.op3_quality_rules,
+        "op4_quality_classifier": classifier.op4_quality_classifier,
         "op5_packing": packing.op5_packing,
         "op6_token_counts": tokens.op6_token_counts,
         "op7_suffix_dedup": suffix.op7_suffix_dedup,
