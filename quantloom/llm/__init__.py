@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, classifier, ordermin, packing, phrases, rules, suffix, tokens, warc
+from . import ann, classifier, ordermin, packing, phrases, pieces, rules, suffix, tokens, warc
 
 
 def queries() -> dict:
     return {
         "op1_permutation_ann": ann.op1_permutation_ann,
+        "op2_gumbel_segmentations": pieces.op2_gumbel_segmentations,
         "op3_quality_rules": rules.op3_quality_rules,
         "op4_quality_classifier": classifier.op4_quality_classifier,
         "op5_packing": packing.op5_packing,
