@@ -1,27 +1,55 @@
-"""The corpus pipeline: classifier, rules, near-duplicates, repeated passages, packing."""
+"""The corpus pipeline: quality classifier, quality rules, near-duplicates, repeated passages, packing.
+
+Each stage works on all that the one before it kept. Documents that the classifier or the rules reject go; of every class
+of near-duplicates its first document stays; of a passage that repeats, the first occurrence stays, and documents of which
+nothing is left go; what remains is packed into batches.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quantloom.llm import packing, rules
-from quantloom.llm.common import fresh_path
+from quantloom.llm import classifier, ordermin, packing, phrases, rules
+from quantloom.llm.common import fresh_path, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark, 500)
+    return classifier.keep(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return rules.keep(docs)
+    return rules.keep(docs.select(*COLUMNS))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark, 500)
+    return ordermin.keep_first(docs.select(*COLUMNS))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark, 500)
+    return phrases.drop_repeats(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, packing.n_words(docs["text"]))
+    return packing.pack(docs, packing.n_words(F.col("text")))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality_rules", quality_rules), ("packing", pack)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("packing", pack),
+]
 
+#: The classifier is fitted and the near-duplicates are found by hashing: SQL can't say which rows they give.
 ORACLE_SQL = None
 
 
