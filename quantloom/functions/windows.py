@@ -80,6 +80,13 @@ def corr(x, y, n: int) -> Column:
     return F.when(F.count(both).over(trailing(n)) == n, F.corr(col(x), col(y)).over(trailing(n)))
 
 
+def pair_corr(x: str | Column, y: str | Column) -> Column:
+    """Pearson over a group's rows where both are known; null without spread (Spark's corr raises there)."""
+    x, y = col(x), col(y)
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def ts_rank(x, n: int) -> Column:
     """Percent rank, with average ties, of the last of n values."""
     x = col(x)

@@ -1 +1,9 @@
+"""Named queries over the library, and SQL that gives the same rows."""
 
+from __future__ import annotations
+
+
+def all_queries() -> dict:
+    from . import panel, registry  # noqa: F401  panel registers its queries
+
+    return registry.QUERIES
