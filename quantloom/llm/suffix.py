@@ -25,7 +25,7 @@ from .common import small_batches
 def marked(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", gram: int = 64) -> DataFrame:
     """key, id, text, marks."""
     own = windows.keyed(docs, key, text)
-    marks = windows.repeated(own, windows.byte_units, length, min(gram, (length + 1) // 2), "any")
+    marks = windows.repeated(own, windows.byte_units, length, min(gram, (length + 1) // 2), 8, "any")
     return own.join(marks, "key", "left")
 
 

@@ -6,7 +6,8 @@ counted by pre-aggregated sums and found again by joins, which Spark splits wher
 
 1. First digit: of every window the anchor, a gram of it (kernels.anchors). Only anchors that occur again go on.
 2. Second digit: all that a run of windows with one anchor covers. Where that occurs again, all its windows do.
-3. Last digit: the whole window, for those runs that share an anchor with a different run.
+3. Third digit: the same for parts of those runs that share an anchor with a different run.
+4. Last digit: single windows, of those parts that share what their windows have in common with a different part.
 
 Hashes are 64 bits for the first digit, which only selects candidates, and two of 64 bits for what decides.
 
@@ -28,7 +29,9 @@ from .common import forget, written
 
 U = np.uint64
 ANCHOR = "key bigint, start int, n int, place int, gram bigint, whole bigint"
-WINDOW = "key bigint, start int, h1 bigint, h2 bigint"
+CONTEXT = "key bigint, start int, n int, place int, units binary"
+PART = "key bigint, run int, start int, n int, gram bigint, whole bigint"
+WINDOW = "key bigint, start int, gram bigint, whole bigint"
 
 
 def byte_units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,73 +68,135 @@ def anchor_rows(docs: DataFrame, units_of: Callable, window: int, gram: int) ->
     return docs.select("key", "text").mapInArrow(task, ANCHOR)
 
 
-def window_rows(docs: DataFrame, units_of: Callable, window: int, confirm: Callable | None = None) -> DataFrame:
-    """docs: key, text, runs array<struct<start, n, place, resolve>>. The windows of the runs to resolve, with their two hashes.
+def context_rows(docs: DataFrame, units_of: Callable, window: int, confirm: Callable | None = None) -> DataFrame:
+    """docs: key, text, runs array<struct<start, n, place, resolve>>. The runs to resolve, with the units that they cover.
 
-    confirm, if given, gets the texts and the runs and returns the runs that it finds in the texts.
+    confirm, if given, gets the texts and the places of the runs' anchors, and says which it finds in the texts.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
             runs = b.column(2)
             flat, owner = runs.flatten(), np.repeat(np.arange(b.num_rows), np.diff(runs.offsets.to_numpy()))
             start, n, place, todo = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             if confirm is not None:
                 todo = todo & confirm(b.column(1), owner, start.astype(np.int64) + place)
-            start, n, owner = start[todo].astype(np.int64), n[todo].astype(np.int64), owner[todo]
+            start, n, place, owner = start[todo], n[todo], place[todo], owner[todo]
             units, at = units_of(b.column(1))
-            for row, part, shift in kernels.stretches(at, window):
-                lo, hi = part[0], part[-1]
-                if shift or len(part) == 2:
-                    mine = (owner == row) & (start >= shift) & (start + window <= shift + hi - lo)
-                else:
-                    mine = (owner >= row) & (owner < row + len(part) - 1)
-                if not mine.any():
-                    continue
-                s, c, o = start[mine], n[mine], owner[mine]
-                each = np.repeat(s, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                own = np.repeat(o, c)
-                begin = part[own - row] - lo + each - shift
-                inside = begin + window <= hi - lo
-                begin, own, each = begin[inside], own[inside], each[inside]
-                values = valued(units[lo:hi])
-                cols = [keys[own], each.astype(np.int32)] + [kernels.Spans(values, i)(begin, begin + window).view(np.int64) for i in (0, 1)]
-                for i in range(0, len(begin), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in cols], ["key", "start", "h1", "h2"])
+            begin = at[owner] + start
+            data = [units[x:y].tobytes() for x, y in zip(begin.tolist(), (begin + n - 1 + window).tolist(), strict=True)]
+            keys = b.column(0).to_numpy(zero_copy_only=False)[owner]
+            for i in range(0, len(data), 1 << 14):
+                cut = slice(i, i + (1 << 14))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[cut]), pa.array(start[cut]), pa.array(n[cut]), pa.array(place[cut]), pa.array(data[cut], pa.binary())], ["key", "start", "n", "place", "units"])
 
-    return docs.select("key", "text", "runs").mapInArrow(task, WINDOW)
+    return docs.select("key", "text", "runs").mapInArrow(task, CONTEXT)
 
 
-def repeated(docs: DataFrame, units_of: Callable, window: int, gram: int, rule: str, confirm: Callable | None = None) -> DataFrame:
-    """docs: key (unique, not null), text. Returns key, marks array<struct<start, n>>: n windows from start on are marked."""
-    rows = anchor_rows(docs, units_of, window, gram)
-    again = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
-    shared = written(rows.join(again, "gram"), "anchors")
+def units_in(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The units of a column of contexts, one after the other, and where each context begins."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]
+    return data.copy().view(kind), (at - at[0]) // kind.itemsize
+
+
+def runs_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i, n[i] times i; and 0 .. n[i] - 1."""
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def part_rows(contexts: DataFrame, kind: np.dtype, window: int, size: int) -> DataFrame:
+    """Runs cut into parts of `size` windows, at multiples of `size` before the anchor.
+
+    `gram` is a hash of what all windows of such a part have in common, `whole` of all that this part's windows cover.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, start, n, place = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            units, at = units_in(b.column(4), kind)
+            values = valued(units)
+            top, low = place // size, (place - n + 1) // size
+            own, i = runs_of((top - low + 1).astype(np.int64))
+            g = top[own] - i
+            first = np.maximum(place[own] - (g + 1) * size + 1, 0)  # of the part's windows, counted from the run's start
+            last = np.minimum(place[own] - g * size, n[own] - 1)
+            core = place[own] - g * size, place[own] - (g + 1) * size + 1 + window
+            m = (last - first + 1).astype(np.int32)
+            base = at[own]
+            gram = kernels.mix(kernels.Spans(values, 0)(base + core[0], base + core[1]) + g.astype(U) * U(kernels.BASES[1]))
+            whole = kernels.mix(kernels.Spans(values, 1)(base + first, base + last + window) + m.astype(U) * U(kernels.BASES[0]))
+            cols = [keys[own], start[own], (start[own] + first).astype(np.int32), m, gram.view(np.int64), whole.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "run", "start", "n", "gram", "whole"])
+
+    return contexts.mapInArrow(task, PART)
+
+
+def window_rows(contexts: DataFrame, kind: np.dtype, window: int) -> DataFrame:
+    """contexts, with parts array<struct<start, n>>. The windows of these parts, with two hashes."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, start = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            units, at = units_in(b.column(2), kind)
+            values = valued(units)
+            flat, owner = b.column(3).flatten(), np.repeat(np.arange(b.num_rows), np.diff(b.column(3).offsets.to_numpy()))
+            first, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            part, i = runs_of(n)
+            own = owner[part]
+            each = first[part] + i
+            begin = at[own] + each - start[own]
+            cols = [keys[own], each.astype(np.int32)] + [kernels.Spans(values, j)(begin, begin + window).view(np.int64) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "start", "gram", "whole"])
+
+    return contexts.select("key", "start", "units", "parts").mapInArrow(task, WINDOW)
+
+
+def judged(rows: DataFrame, rule: str) -> DataFrame:
+    """rows: key, start, gram, whole ... With `marked`: all of the row's windows are; and `resolve`: some may be.
+
+    Rows of one gram may have windows in common, rows of one whole have all of them in common. Of these one row, the first,
+    stands for the others in later passes.
+    """
     at = F.struct("key", "start")
-    runs = shared.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("same"), F.min(at).alias("first"))
+    runs = rows.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("same"), F.min(at).alias("first"))
     mixed = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
     runs = runs.join(mixed, "gram").where("same > 1 or kinds > 1")
-    judged = shared.join(runs, ["gram", "whole"]).withColumn("is_first", at == F.col("first"))
+    both = rows.join(runs, ["gram", "whole"]).withColumn("is_first", at == F.col("first"))
     marked = F.col("same") > 1 if rule == "any" else (F.col("same") > 1) & ~F.col("is_first")
-    judged = written(
-        judged.select("key", "start", "n", "place", marked.alias("marked"), ((F.col("kinds") > 1) & F.col("is_first")).alias("resolve")).where("marked or resolve"), "runs"
+    resolve = (F.col("kinds") > 1) & F.col("is_first") & ~marked
+    return both.withColumns({"marked": marked, "resolve": resolve if rule != "any" else (F.col("kinds") > 1) & F.col("is_first")}).where("marked or resolve").drop(
+        "gram", "whole", "same", "first", "kinds", "is_first"
     )
+
+
+def repeated(docs: DataFrame, units_of: Callable, window: int, gram: int, part: int, rule: str, confirm: Callable | None = None) -> DataFrame:
+    """docs: key (unique, not null), text. Returns key, marks array<struct<start, n>>: n windows from start on are marked."""
+    kind = np.dtype(np.uint8) if units_of is byte_units else np.dtype(np.uint64)
+    rows = anchor_rows(docs, units_of, window, gram)
+    again = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
+    shared = written(rows.join(again, "gram"), "anchors")
+    runs = written(judged(shared, rule), "runs")
     forget(shared)
-    if confirm is None:
-        asked = judged.where("resolve")
-    else:
-        asked = judged
+    asked = runs.where("resolve") if confirm is None else runs
     lists = asked.groupBy("key").agg(F.collect_list(F.struct("start", "n", "place", "resolve")).alias("runs"))
-    found = written(window_rows(docs.join(lists, "key"), units_of, window, confirm), "windows")
-    groups = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c"), F.min(at).alias("first")).where("c > 1")
-    hits = found.join(groups, ["h1", "h2"])
+    contexts = written(context_rows(docs.join(lists, "key"), units_of, window, confirm), "contexts")
+    parts = written(judged(part_rows(contexts, kind, window, part), rule), "parts")
+    todo = parts.where("resolve").groupBy("key", F.col("run").alias("start")).agg(F.collect_list(F.struct("start", "n")).alias("parts"))
+    single = written(window_rows(contexts.join(todo, ["key", "start"]), kind, window), "windows")
+    groups = single.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "start")).alias("first")).where("c > 1")
+    hits = single.join(groups, ["gram", "whole"])
     if rule != "any":
-        hits = hits.where(at != F.col("first"))
-    marks = judged.where("marked").select("key", "start", "n").unionByName(hits.select("key", "start", F.lit(1).alias("n")))
+        hits = hits.where(F.struct("key", "start") != F.col("first"))
+    marks = runs.where("marked").select("key", "start", "n")
+    marks = marks.unionByName(parts.where("marked").select("key", "start", "n")).unionByName(hits.select("key", "start", F.lit(1).alias("n")))
     out = written(marks.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("marks")), "marks")
-    forget(judged)
-    forget(found)
+    for used in (runs, contexts, parts, single):
+        forget(used)
     return out
 
 
