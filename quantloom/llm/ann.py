@@ -102,16 +102,16 @@ def nearest(
     blocks = max(1, -(-n // BLOCK))
     q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    entries = classes.select("v", "members", F.pmod(F.xxhash64("cls"), F.lit(blocks)).alias("block"), numbers(q_blocks).alias("q_block"))
+    entries = classes.select("v", "members", F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int").alias("block"), numbers(q_blocks).alias("q_block"))
 
     def sides(q: DataFrame):
-        asks = q.select("cls", "v", F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(q_blocks)).alias("q_block"), numbers(blocks).alias("block"))
+        asks = q.select("cls", "v", F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(q_blocks)).cast("int").alias("q_block"), numbers(blocks).alias("block"))
         return entries.groupBy("block", "q_block").cogroup(asks.groupBy("block", "q_block"))
 
     def searched(files: bool):
         def task(own: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
             if not len(own) or not len(asks):
-                return pd.DataFrame({"query_class": [], "distance": [], "members": []})
+                return pd.DataFrame({"query_class": np.zeros(0, np.int64), "distance": np.zeros(0), "members": np.zeros(0, object)})
             vectors, wanted = np.stack(own["v"].to_numpy()), np.stack(asks["v"].to_numpy())
             got = search_block(vectors, orders(vectors, pivots), wanted, orders(wanted, pivots), n_files, rerank, least, k + 1, files)
             members, out = own["members"].to_numpy(), []
