@@ -82,7 +82,6 @@ def repeated_words(words: Column, width: int) -> Column:
 
 def measurements(text: Column) -> dict[str, Column]:
     """Columns over the whole text. Windows are compared by 64-bit hashes inside one document, of at most some 1e5 windows."""
-    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     return {
         "n_words": F.size("words").cast("bigint"),
@@ -131,7 +130,8 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def ledger_of(docs: DataFrame, carried: list[str]) -> DataFrame:
-    base = docs.select(*carried, "text", words_of(F.col("text")).alias("words"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    base = docs.select(*carried, text.alias("text"), words_of(text).alias("words"))
     measured = base.select(*carried, *[c.alias(n) for n, c in measurements(F.col("text")).items()])
     bits = [F.when(F.expr(r.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, r in enumerate(RULES)]
     total = bits[0]
