@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import DAY, col
+from .windows import col, day
 
 
 def winsorized(x, lo: float = 0.01, hi: float = 0.99) -> Column:
     """Clipped at two quantiles of the date; as it is where fewer than 3 values aren't null."""
     x = col(x)
-    a, b = F.percentile(x, F.lit(lo)).over(DAY), F.percentile(x, F.lit(hi)).over(DAY)
-    return F.when(x.isNull() | (F.count(x).over(DAY) < 3), x).otherwise(F.greatest(F.least(x, b), a))
+    a, b = F.percentile(x, F.lit(lo)).over(day()), F.percentile(x, F.lit(hi)).over(day())
+    return F.when(x.isNull() | (F.count(x).over(day()) < 3), x).otherwise(F.greatest(F.least(x, b), a))
 
 
 def median_filled(x) -> Column:
     x = col(x)
-    return F.coalesce(x, F.percentile(x, F.lit(0.5)).over(DAY), F.lit(0.0))
+    return F.coalesce(x, F.percentile(x, F.lit(0.5)).over(day()), F.lit(0.0))
 
 
 def zscored(x) -> Column:
     """0 for all names of a date without spread."""
     x = col(x)
-    sd = F.stddev_pop(x).over(DAY)
-    return F.when(sd.isNull() | (sd <= 1e-12), F.lit(0.0)).otherwise((x - F.avg(x).over(DAY)) / sd)
+    sd = F.stddev_pop(x).over(day())
+    return F.when(sd.isNull() | (sd <= 1e-12), F.lit(0.0)).otherwise((x - F.avg(x).over(day())) / sd)
 
 
 def processed(df: DataFrame, x: str) -> DataFrame:
@@ -45,13 +45,13 @@ def percent_rank(x: str, by: tuple[str, ...] = ("trade_date",)) -> Column:
 def bucket_of_rank(x: str, q: int) -> Column:
     """ceil(q * rank / n) by first rank: score, then symbol."""
     r = F.row_number().over(Window.partitionBy("trade_date").orderBy(x, "symbol"))
-    return F.greatest(F.lit(1), F.least(F.lit(q), F.ceil(r * float(q) / F.count(F.lit(1)).over(DAY)))).cast("int")
+    return F.greatest(F.lit(1), F.least(F.lit(q), F.ceil(r * float(q) / F.count(F.lit(1)).over(day())))).cast("int")
 
 
 def equal_count_bucket(x: str, q: int) -> Column:
     """Linear edges on first ranks, closed to the right."""
     r = F.row_number().over(Window.partitionBy("trade_date").orderBy(x, "symbol"))
-    n = F.count(F.lit(1)).over(DAY)
+    n = F.count(F.lit(1)).over(day())
     return F.greatest(F.lit(1), F.ceil((r - 1) * float(q) / F.greatest(n - 1, F.lit(1)))).cast("int")
 
 
@@ -65,5 +65,5 @@ def demeaned(x, group: str, least: int = 1) -> Column:
 def residual(y, x, least: int = 30) -> Column:
     """Residual of the date's regression of y on x; y where fewer than `least` pairs."""
     y, x = col(y), col(x)
-    slope, cut = F.regr_slope(y, x).over(DAY), F.regr_intercept(y, x).over(DAY)
-    return F.when(F.regr_count(y, x).over(DAY) > least, y - (cut + slope * x)).otherwise(y)
+    slope, cut = F.regr_slope(y, x).over(day()), F.regr_intercept(y, x).over(day())
+    return F.when(F.regr_count(y, x).over(day()) > least, y - (cut + slope * x)).otherwise(y)

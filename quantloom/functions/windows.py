@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("symbol").orderBy("trade_date")
-DAY = Window.partitionBy("trade_date")
+def order():
+    """A symbol's rows by date. Windows need a session, so they are made when asked for."""
+    return Window.partitionBy("symbol").orderBy("trade_date")
+
+
+def day():
+    return Window.partitionBy("trade_date")
 
 
 def trailing(n: int):
-    return ORDER.rowsBetween(-(n - 1), 0)
+    return order().rowsBetween(-(n - 1), 0)
 
 
 def col(x: str | Column) -> Column:
@@ -26,11 +31,11 @@ def full(n: int, x: str | Column, agg: Callable[[Column], Column], least: int |
 
 
 def lag(x: str | Column, k: int = 1) -> Column:
-    return F.lag(col(x), k).over(ORDER)
+    return F.lag(col(x), k).over(order())
 
 
 def lead(x: str | Column, k: int = 1) -> Column:
-    return F.lead(col(x), k).over(ORDER)
+    return F.lead(col(x), k).over(order())
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -103,12 +108,12 @@ def argmax(x, n: int) -> Column:
 
 
 def running(x) -> Column:
-    return F.sum(col(x)).over(ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    return F.sum(col(x)).over(order().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def filled(x) -> Column:
     """The last value that isn't null."""
-    return F.last(col(x), ignorenulls=True).over(ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(col(x), ignorenulls=True).over(order().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def ewm(frame, value: str, spans: dict[str, float], by: str = "symbol", order: str = "trade_date"):

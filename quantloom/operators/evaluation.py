@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import ratio
 
-DATES = Window.orderBy("trade_date")  # only over tables of one row a date
+def dates():
+    """Only over tables of one row a date."""
+    return Window.orderBy("trade_date")
 
 
 def universe_returns(membership: DataFrame, bars: DataFrame) -> DataFrame:
@@ -17,12 +19,12 @@ def universe_returns(membership: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def nav(returns: DataFrame) -> DataFrame:
-    running = F.exp(F.sum(F.log1p("daily_return")).over(DATES.rowsBetween(Window.unboundedPreceding, 0)))
+    running = F.exp(F.sum(F.log1p("daily_return")).over(dates().rowsBetween(Window.unboundedPreceding, 0)))
     return returns.withColumn("nav", running)
 
 
 def drawdown(navs: DataFrame) -> DataFrame:
-    top = F.max("nav").over(DATES.rowsBetween(Window.unboundedPreceding, 0))
+    top = F.max("nav").over(dates().rowsBetween(Window.unboundedPreceding, 0))
     return navs.withColumn("drawdown", F.col("nav") / top - 1)
 
 
@@ -64,8 +66,8 @@ def regimes(returns: DataFrame, threshold: float = 0.02) -> DataFrame:
 
 def ladder(index: DataFrame, short: int = 10, long: int = 30) -> DataFrame:
     """Exposure by where the index stands: above its short mean, its long mean, falling, or else low."""
-    mean = lambda n: F.when(F.count("nav").over(DATES.rowsBetween(-(n - 1), 0)) == n, F.avg("nav").over(DATES.rowsBetween(-(n - 1), 0)))
-    momentum = ratio(F.col("nav"), F.lag("nav", short).over(DATES)) - 1
+    mean = lambda n: F.when(F.count("nav").over(dates().rowsBetween(-(n - 1), 0)) == n, F.avg("nav").over(dates().rowsBetween(-(n - 1), 0)))
+    momentum = ratio(F.col("nav"), F.lag("nav", short).over(dates())) - 1
     x = index.withColumns({"ma_short": mean(short), "ma_long": mean(long), "momentum": momentum})
     step = (
         F.when(F.col("ma_long").isNull(), 1.0).when(F.col("nav") >= F.col("ma_short"), 1.0).when(F.col("nav") >= F.col("ma_long"), 0.7).when(F.col("momentum") < 0, 0.2).otherwise(0.4)

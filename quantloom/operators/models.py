@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import pair_corr
 
-DATES = Window.partitionBy("feature").orderBy("trade_date")
+def dates():
+    return Window.partitionBy("feature").orderBy("trade_date")
 
 
 def simple_average(df: DataFrame, features: list[str]) -> DataFrame:
@@ -26,15 +27,15 @@ def feature_ics(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 def ic_weights(ics: DataFrame, horizon: int = 20, lookback: int = 60, floor: float = 0.001) -> DataFrame:
     """Mean IC over the `lookback` dates that end h + 2 dates before, floored and normalised by date."""
-    w = DATES.rowsBetween(-(horizon + 1 + lookback), -(horizon + 2))
+    w = dates().rowsBetween(-(horizon + 1 + lookback), -(horizon + 2))
     raw = ics.withColumn("w", F.greatest(F.coalesce(F.avg("ic").over(w), F.lit(floor)), F.lit(floor)))
     return raw.select("trade_date", "feature", (F.col("w") / F.sum("w").over(Window.partitionBy("trade_date"))).alias("weight"))
 
 
 def adaptive_weights(ics: DataFrame, horizon: int = 20, lookback: int = 120, half_life: float = 20.0, floor: float = 0.05) -> DataFrame:
     """As above, with weights that halve every `half_life` dates."""
-    w = DATES.rowsBetween(-(horizon + 1 + lookback), -(horizon + 2))
-    number = F.row_number().over(DATES)
+    w = dates().rowsBetween(-(horizon + 1 + lookback), -(horizon + 2))
+    number = F.row_number().over(dates())
     rows = ics.withColumn("k", number).withColumn("e", F.exp(F.col("k") * (float(np.log(2.0)) / half_life)))
     mean = F.sum(F.col("ic") * F.col("e")).over(w) / F.sum("e").over(w)
     raw = rows.withColumn("w", F.greatest(F.coalesce(mean, F.lit(floor)), F.lit(floor)))

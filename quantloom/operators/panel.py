@@ -60,7 +60,7 @@ def ic_summary(ic: DataFrame, value: str = "rank_ic") -> DataFrame:
         F.avg(x).alias("mean_ic"),
         sd.alias("std_ic"),
         F.when(sd <= 1e-12, 0.0).otherwise(W.ratio(F.avg(x), sd)).alias("ir"),
-        F.avg(F.when(x > 0, 1.0).otherwise(0.0)).alias("positive_rate"),
+        F.avg(F.when(x > 1e-12, 1.0).otherwise(0.0)).alias("positive_rate"),
         F.avg(F.abs(x)).alias("mean_abs_ic"),
     )
 

@@ -140,7 +140,7 @@ def rank_ic(spark, d):
 @query(
     "ic_summary",
     f"""with {IC} select count(*) as n_dates, {r("avg(rank_ic)")} as mean_ic, {r("stddev_pop(rank_ic)")} as std_ic, {r("avg(rank_ic) / nullif(stddev_pop(rank_ic), 0)")} as ir,
-{r("avg(case when rank_ic > 0 then 1.0 else 0.0 end)")} as positive_rate, {r("avg(abs(rank_ic))")} as mean_abs_ic from ic""",
+{r("avg(case when rank_ic > 1e-12 then 1.0 else 0.0 end)")} as positive_rate, {r("avg(abs(rank_ic))")} as mean_abs_ic from ic""",
 )
 def ic_summary(spark, d):
     return rounded(P.ic_summary(P.rank_ic(scored(spark, d), "mom20", "fwd")))
