@@ -81,8 +81,11 @@ def kurt(x, n: int) -> Column:
 
 
 def corr(x, y, n: int) -> Column:
-    both = F.when(col(x).isNotNull() & col(y).isNotNull(), 1)
-    return F.when(F.count(both).over(trailing(n)) == n, F.corr(col(x), col(y)).over(trailing(n)))
+    """Pearson over the last n rows, all known; null without spread (Spark's corr raises there)."""
+    w = trailing(n)
+    x, y = col(x), col(y)
+    both = F.when(x.isNotNull() & y.isNotNull(), 1)
+    return F.when(F.count(both).over(w) == n, ratio(F.covar_pop(x, y).over(w), F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w)))
 
 
 def pair_corr(x: str | Column, y: str | Column) -> Column:

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from . import panel, registry  # noqa: F401  panel registers its queries
+    from . import more, panel, registry  # noqa: F401  these register their queries
 
     return registry.QUERIES
