@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def event_bars(events: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
     """Open, high, low, close and count of `value` by type and window."""
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    # a watermark needs a timestamp with a zone
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     k = F.struct("ts", "event_id")
     return (
         timed.groupBy(F.window("ts", width).alias("w"), "event_type")
