@@ -307,8 +307,7 @@ def test_segmentation_frequencies_without_replacement():
     lat = pieces.Lattices(tokens.tokenizer_path("piece_bpe_32k.model"), 0.4)
     text, n = "of th", 5000
     stretches = pieces.STRETCHES.findall(pieces.normal(text))
-    lat.prepare(stretches)
-    paths = [list(pieces.every_path(lat, lat.start[s])) for s in stretches]
+    paths = [list(pieces.every_path(lat, int(s))) for s in lat.prepare(stretches)]
     lat.done()
     p = {sum((x[0] for x in c), ()): float(np.exp(sum(x[1] for x in c))) for c in itertools.product(*paths)}
     assert sum(p.values()) == pytest.approx(1)
