@@ -156,46 +156,51 @@ def window_rows(contexts: DataFrame, kind: np.dtype, window: int) -> DataFrame:
     return contexts.select("key", "start", "units", "parts").mapInArrow(task, WINDOW)
 
 
-def judged(rows: DataFrame, rule: str) -> DataFrame:
-    """rows: key, start, gram, whole ... With `marked`: all of the row's windows are; and `resolve`: some may be.
+def judged(rows: DataFrame, rule: str, name: str) -> DataFrame:
+    """rows: key, start, gram, whole ... As a table, with `marked`: all of the row's windows are; and `resolve`: some may be.
 
     Rows of one gram may have windows in common, rows of one whole have all of them in common. Of these one row, the first,
     stands for the others in later passes.
     """
     at = F.struct("key", "start")
-    runs = rows.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("same"), F.min(at).alias("first"))
-    mixed = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
-    runs = runs.join(mixed, "gram").where("same > 1 or kinds > 1")
+    # counts are tables of their own before they are joined: Spark splits a skewed join only if both sides come from a shuffle
+    counts = written(rows.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("same"), F.min(at).alias("first")), "counts")
+    mixed = written(counts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "mixed")
+    runs = written(counts.join(mixed, "gram", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1))).where("same > 1 or kinds > 1"), "shared")
+    forget(counts)
+    forget(mixed)
     both = rows.join(runs, ["gram", "whole"]).withColumn("is_first", at == F.col("first"))
     marked = F.col("same") > 1 if rule == "any" else (F.col("same") > 1) & ~F.col("is_first")
     resolve = (F.col("kinds") > 1) & F.col("is_first") & ~marked
-    return both.withColumns({"marked": marked, "resolve": resolve if rule != "any" else (F.col("kinds") > 1) & F.col("is_first")}).where("marked or resolve").drop(
-        "gram", "whole", "same", "first", "kinds", "is_first"
-    )
+    told = both.withColumns({"marked": marked, "resolve": resolve if rule != "any" else (F.col("kinds") > 1) & F.col("is_first")})
+    out = written(told.where("marked or resolve").drop("gram", "whole", "same", "first", "kinds", "is_first"), name)
+    forget(runs)
+    return out
 
 
 def repeated(docs: DataFrame, units_of: Callable, window: int, gram: int, part: int, rule: str, confirm: Callable | None = None) -> DataFrame:
     """docs: key (unique, not null), text. Returns key, marks array<struct<start, n>>: n windows from start on are marked."""
     kind = np.dtype(np.uint8) if units_of is byte_units else np.dtype(np.uint64)
     rows = anchor_rows(docs, units_of, window, gram)
-    again = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
+    again = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"), "again")
     shared = written(rows.join(again, "gram"), "anchors")
-    runs = written(judged(shared, rule), "runs")
+    forget(again)
+    runs = judged(shared, rule, "runs")
     forget(shared)
     asked = runs.where("resolve") if confirm is None else runs
     lists = asked.groupBy("key").agg(F.collect_list(F.struct("start", "n", "place", "resolve")).alias("runs"))
     contexts = written(context_rows(docs.join(lists, "key"), units_of, window, confirm), "contexts")
-    parts = written(judged(part_rows(contexts, kind, window, part), rule), "parts")
+    parts = judged(part_rows(contexts, kind, window, part), rule, "parts")
     todo = parts.where("resolve").groupBy("key", F.col("run").alias("start")).agg(F.collect_list(F.struct("start", "n")).alias("parts"))
     single = written(window_rows(contexts.join(todo, ["key", "start"]), kind, window), "windows")
-    groups = single.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "start")).alias("first")).where("c > 1")
+    groups = written(single.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "start")).alias("first")).where("c > 1"), "groups")
     hits = single.join(groups, ["gram", "whole"])
     if rule != "any":
         hits = hits.where(F.struct("key", "start") != F.col("first"))
     marks = runs.where("marked").select("key", "start", "n")
     marks = marks.unionByName(parts.where("marked").select("key", "start", "n")).unionByName(hits.select("key", "start", F.lit(1).alias("n")))
     out = written(marks.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("marks")), "marks")
-    for used in (runs, contexts, parts, single):
+    for used in (runs, contexts, parts, single, groups):
         forget(used)
     return out
 
