@@ -16,7 +16,7 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 #: Longest stretch of units that is worked on at once; longer documents are cut into overlapping stretches.
-STRETCH = 1 << 19
+STRETCH = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,15 +33,20 @@ def byte_values(which: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=U) * U(BASES[which]) + U(which + 1))
 
 
-@lru_cache(maxsize=8)
-def powers(which: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    out = []
-    for base in (BASES[which], pow(BASES[which], -1, 1 << 64)):
-        p = np.full(n, base, U)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=U))
-    return out[0], out[1]
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base and of its inverse: one table for each base, as long as the longest asked for."""
+    if which not in _powers or len(_powers[which][0]) < n:
+        out = []
+        for base in (BASES[which], pow(BASES[which], -1, 1 << 64)):
+            p = np.full(1 << max(12, int(n - 1).bit_length()), base, U)
+            p[0] = 1
+            np.cumprod(p, out=p)
+            out.append(p)
+        _powers[which] = (out[0], out[1])
+    return _powers[which]
 
 
 class Spans:
@@ -49,7 +54,7 @@ class Spans:
 
     def __init__(self, values: np.ndarray, which: int):
         n = len(values)
-        up, self.down = powers(which, max(12, int(n + 1).bit_length()))
+        up, self.down = powers(which, n + 1)
         self.sums = np.zeros(n + 1, U)
         np.cumsum(values * up[:n], out=self.sums[1:], dtype=U)
 
