@@ -6,10 +6,12 @@ one are candidates, so texts are found whose shingles agree and agree in order.
 that the threshold allows: similarity is m / (a + b - m), with m the shingles of the best alignment and a and b all
 shingles of either; 0.8 or more makes a link.
 
-Texts with equal words are one representative from the start. In a bucket (texts that share a sketch entry) no two texts
-are paired but with the bucket's leader, the least in one of `N_ORDERS` fixed random orders that change from sketch to
-sketch; a text that agrees with no leader is compared again, among those left, in the next of `rounds` rounds. Classes are
-the connected components of the links, found by alternating star contraction.
+Texts with equal words are one representative from the start. A bucket holds the texts that share a sketch entry. First, in
+at most `rounds` rounds, texts are paired with the bucket's leader alone, the least in one of `N_ORDERS` random orders that
+change from sketch to sketch and from round to round; linked texts stay and may lead. These rounds only save work: they join
+families at a cost that grows with the texts, and end as soon as few pairs are left. Then every pair that shares a bucket, is not yet in one class and was not yet
+aligned is aligned, unless their numbers of shingles alone rule a link out. So two texts of different classes share no bucket,
+or are sure to be under the threshold. Classes are the connected components of the links, found by alternating star contraction.
 
 Defined results: a text without words (null, empty or blank) is alone in its class. A text of fewer than k words has one
 shingle, all its words. Rows that repeat an id are documents of their own, told apart by their texts' hashes; the class
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels, windows
@@ -101,25 +103,28 @@ def words_of(text: str) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, n_sketches: int, ell: int) -> DataFrame:
-    """docs: key, text. key, two hashes of all words (null without words), entries."""
+    """docs: key, text. key, two hashes of all words (null without words), number of shingles, entries."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values, at = windows.word_units(b.column(1))
-            whole, entries = [], []
+            whole, sizes, entries = [], [], []
             for i in range(b.num_rows):
                 own = values[at[i] : at[i + 1]]
                 if len(own):
                     ends = np.array([len(own)])
                     whole.append([int(kernels.Spans(own, j)(np.array([0]), ends).view(np.int64)[0]) for j in (0, 1)])
-                    entries.append(sketch(shingles(own, k), n_sketches, ell).view(np.int64))
+                    labelled = shingles(own, k)
+                    sizes.append(len(labelled))
+                    entries.append(sketch(labelled, n_sketches, ell).view(np.int64))
                 else:
                     whole.append([None, None])
+                    sizes.append(0)
                     entries.append(np.zeros(0, np.int64))
-            cols = [b.column(0), *[pa.array([w[j] for w in whole], pa.int64()) for j in (0, 1)], pa.array(entries, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "w1", "w2", "entries"])
+            cols = [b.column(0), *[pa.array([w[j] for w in whole], pa.int64()) for j in (0, 1)], pa.array(sizes, pa.int32()), pa.array(entries, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "w1", "w2", "size", "entries"])
 
-    return docs.select("key", "text").mapInArrow(task, "key bigint, w1 bigint, w2 bigint, entries array<bigint>")
+    return docs.select("key", "text").mapInArrow(task, "key bigint, w1 bigint, w2 bigint, size int, entries array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -166,6 +171,44 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
+def possible(a: Column, b: Column, threshold: float) -> Column:
+    """Whether two different texts of a and b shingles can be similar: all shingles aligned would make them equal."""
+    least = F.ceil(threshold * (a + b) / (1 + threshold) - F.lit(1e-9))
+    return (F.least(a, b) >= least) & (F.greatest(a, b) > least)
+
+
+def crossing(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those entries (rep, size, entry, order) whose buckets hold texts of different classes, with the label of each."""
+    own = entries.select("rep", "size", "entry", "order").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    own = written(own.withColumn("label", F.coalesce("label", "rep")), "labelled")
+    mixed = written(own.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("entry"), "mixed")
+    out = written(own.join(mixed, "entry"), "crossing")
+    forget(own)
+    forget(mixed)
+    return out
+
+
+def at_most(crossed: DataFrame) -> int:
+    """No fewer than the pairs that crossing_pairs can join."""
+    counts = crossed.groupBy("entry", "label").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    by = counts.groupBy("entry").agg(F.sum("c").alias("all"), F.max("c").alias("most"))
+    return int(by.agg(F.sum(F.col("all") * (F.col("all") - F.col("most")))).first()[0] or 0)
+
+
+def crossing_pairs(crossed: DataFrame, threshold: float) -> DataFrame:
+    """a, b: all pairs of different classes that share a bucket and can be similar.
+
+    Of a bucket's largest class no two texts are ever joined with one another: the others are joined with all.
+    """
+    counts = crossed.groupBy("entry", "label").agg(F.count(F.lit(1)).alias("c"))
+    largest = counts.groupBy("entry").agg(F.max(F.struct("c", "label"))["label"].alias("largest"))
+    own = written(crossed.join(written(largest, "largest"), "entry"), "ranked")
+    x = own.where("label <> largest").select("entry", F.col("rep").alias("x"), F.col("size").alias("x_size"), F.col("label").alias("x_label"))
+    y = own.select("entry", F.col("rep").alias("y"), F.col("size").alias("y_size"), F.col("label").alias("y_label"), (F.col("label") == F.col("largest")).alias("in_largest"))
+    both = x.join(y, "entry").where((F.col("x_label") != F.col("y_label")) & (F.col("in_largest") | (F.col("x") < F.col("y"))) & possible(F.col("x_size"), F.col("y_size"), threshold))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, n_sketches: int = 32, ell: int = 5, rounds: int = 4) -> DataFrame:
     """id, class_id, n_links (links of the text's representative that were found), kept (first of its class)."""
     own = windows.keyed(docs, key, text)
@@ -173,32 +216,37 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
     # a table of its own, so that Spark can split the join where one text has very many copies
     texts_of = written(marks.where("w1 is not null").groupBy("w1", "w2").agg(F.min("key").alias("rep")), "texts_of")
     members = written(marks.select("key", "w1", "w2").join(texts_of, ["w1", "w2"]).select("key", "rep"), "members")
-    reps = marks.join(members.where("key = rep").select("key"), "key").select(F.col("key").alias("rep"), F.posexplode("entries").alias("band", "entry"))
-    entries = written(reps.select("rep", F.col("entry"), F.pmod("band", F.lit(N_ORDERS)).alias("order")), "entries")
+    reps = marks.join(members.where("key = rep").select("key"), "key").select(F.col("key").alias("rep"), "size", F.posexplode("entries").alias("band", "entry"))
+    entries = written(reps.select("rep", "size", "entry", F.pmod("band", F.lit(N_ORDERS)).alias("order")), "entries")
     shared = written(entries.groupBy("entry").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("entry"), "often")
-    entries = written(entries.join(shared, "entry"), "shared")
-    texts = written(own.join(entries.select(F.col("rep").alias("key")).distinct(), "key").select("key", "text"), "texts")
-    links, tried = None, None
-    todo = entries
-    for turn in range(rounds):
-        by = F.struct(F.xxhash64("rep", "order", F.lit(turn)).alias("x"), F.col("rep").alias("leader"))
-        leaders = written(todo.groupBy("entry").agg(F.min(by)["leader"].alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "leaders")
-        pairs = todo.join(leaders, "entry").where("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
+    todo = written(entries.join(shared, "entry").withColumn("label", F.col("rep")), "shared")
+    texts = written(own.join(todo.select(F.col("rep").alias("key")).distinct(), "key").select("key", "text"), "texts")
+    links, tried, labels, n_entries = None, None, None, todo.count()
+    for turn in range(rounds + 1):
+        whole = turn == rounds or (turn > 0 and at_most(todo) <= 4 * n_entries)
+        if not whole:
+            by = F.struct(F.xxhash64("rep", "order", F.lit(turn)).alias("x"), F.col("rep").alias("leader"), F.col("size").alias("leader_size"), F.col("label").alias("leader_label"))
+            leaders = written(todo.groupBy("entry").agg(F.min(by).alias("by")).select("entry", "by.leader", "by.leader_size", "by.leader_label"), "leaders")
+            pairs = todo.join(leaders, "entry").where((F.col("label") != F.col("leader_label")) & possible(F.col("size"), F.col("leader_size"), threshold))
+            pairs = pairs.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
+        else:
+            pairs = crossing_pairs(todo, threshold)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            break
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = written(verified(pairs, texts, k, threshold), "links")
-        links = new if links is None else links.unionByName(new)
-        linked = links.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        todo = written(todo.join(linked, "rep", "left_anti"), "left")
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            labels = written(components(links), "labels")
+            if not whole:
+                todo = crossing(todo, labels)
+        if whole:
+            break
     forget(texts)
     if links is None:
         named = members.select("key", F.col("rep").alias("label"), F.lit(0).cast("bigint").alias("n_links"))
     else:
-        labels = components(links)
         degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
         named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
         named = named.select("key", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

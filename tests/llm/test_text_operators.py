@@ -222,6 +222,42 @@ def test_near_duplicates_match_all_pairs(docs, awkward, empty):
     assert ordermin.classes(empty).count() == 0
 
 
+def linked_classes(texts):
+    """Classes of all pairs that agree in 0.8 of their shingles, by brute force; shingles of a text differ."""
+    sets = shingle_sets(texts)
+    home = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and home[i] != home[j]:
+                old, new = max(home[i], home[j]), min(home[i], home[j])
+                home = {k: new if v == old else v for k, v in home.items()}
+    return home
+
+
+def edited(words, places, mark):
+    return " ".join(f"{mark}x{p}" if p in places else w for p, w in enumerate(words))
+
+
+def test_families_and_chains_of_near_duplicates_are_whole(spark):
+    g = random.Random(8)
+    texts = []
+    for f in range(2):  # a few texts with one edit, many with two: these are linked by the former alone
+        base = [f"f{f}w{i}" for i in range(150)]
+        texts += [edited(base, {10 * i + 5}, f"a{f}.{i}.") for i in range(6)]
+        texts += [edited(base, {p, p + 55 + g.randrange(30)}, f"b{f}.{i}.") for i in range(150) for p in [5 + g.randrange(50)]]
+    chain = [f"c{i}" for i in range(150)]
+    for i in range(40):  # each is linked with its neighbours alone
+        texts.append(" ".join(chain))
+        for p in ((37 * i) % 145, (37 * i + 70) % 145):
+            chain[p] = f"c{i}.{p}"
+    g.shuffle(texts)
+    df = spark.createDataFrame(rows(texts), SCHEMA)
+    want = linked_classes(dict(enumerate(texts)))
+    got = {r["doc_id"]: r["class_id"] for r in ordermin.classes(df).collect()}
+    assert len(set(want.values())) < len(texts) / 10
+    assert got == want
+
+
 def test_alignment_is_the_longest_common_sequence():
     import numpy as np
 
