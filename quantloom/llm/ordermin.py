@@ -4,7 +4,8 @@ A document is the sequence of its shingles of `k` words, each labelled with whic
 holds, for each of `n_sketches` orders, the `ell` least labelled shingles, in the order of the text. Documents that share
 one are candidates, so texts are found whose shingles agree and agree in order. Candidates are aligned within the band
 that the threshold allows: similarity is m / (a + b - m), with m the shingles of the best alignment and a and b all
-shingles of either; 0.8 or more makes a link.
+shingles of either; 0.8 or more makes a link. Texts of at most `SHORT` shingles are candidates also where they are the same but
+for one shingle in either, so that at 0.8 none of their links depends on the sketches.
 
 Texts with equal words are one representative from the start. A bucket holds the texts that share a sketch entry. First, in
 at most `rounds` rounds, texts are paired with the bucket's leader alone, the least in one of `N_ORDERS` random orders that
@@ -33,6 +34,8 @@ from .common import forget, small_batches, written
 
 U = np.uint64
 N_ORDERS = 3
+#: Texts of so many shingles at most have entries of their own: two of them that agree in 0.8 are the same but for one shingle in either.
+SHORT = 9
 
 
 def shingles(values: np.ndarray, k: int) -> np.ndarray:
@@ -70,6 +73,20 @@ def sketch(labelled: np.ndarray, n_sketches: int, ell: int) -> np.ndarray:
     return out
 
 
+def short_entries(labelled: np.ndarray) -> np.ndarray:
+    """Hashes of a short text's whole sequence and of all that lack one shingle, which links of short texts share for sure."""
+    n = len(labelled)
+    if n > SHORT:
+        return np.zeros(0, U)
+    out = []
+    for gone in range(n + 1) if n > 1 else (n,):
+        h = kernels.mix(np.array([kernels.BASES[1] ^ kernels.BASES[0]], U))
+        for x in np.delete(labelled, gone) if gone < n else labelled:
+            h = kernels.mix(h * U(kernels.BASES[0]) + x)
+        out.append(h)
+    return np.concatenate(out)
+
+
 def alignment(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     """Similarity of two labelled shingle sequences, or 0 where it is sure to be under the threshold."""
     na, nb = len(a), len(b)
@@ -116,7 +133,7 @@ def sketches(docs: DataFrame, k: int, n_sketches: int, ell: int) -> DataFrame:
                     whole.append([int(kernels.Spans(own, j)(np.array([0]), ends).view(np.int64)[0]) for j in (0, 1)])
                     labelled = shingles(own, k)
                     sizes.append(len(labelled))
-                    entries.append(sketch(labelled, n_sketches, ell).view(np.int64))
+                    entries.append(np.append(sketch(labelled, n_sketches, ell), short_entries(labelled)).view(np.int64))
                 else:
                     whole.append([None, None])
                     sizes.append(0)

@@ -238,6 +238,16 @@ def edited(words, places, mark):
     return " ".join(f"{mark}x{p}" if p in places else w for p, w in enumerate(words))
 
 
+def test_short_texts_match_all_pairs(spark):
+    texts = []
+    for n in range(5, 13):
+        for v in range(6):
+            base = [f"s{n}.{v}.{i}" for i in range(n)]
+            texts += [" ".join(base), " ".join(["before", *base]), " ".join([*base, "behind"])]
+    got = {r["doc_id"]: r["class_id"] for r in ordermin.classes(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    assert got == linked_classes(dict(enumerate(texts)))
+
+
 def test_families_and_chains_of_near_duplicates_are_whole(spark):
     g = random.Random(8)
     texts = []
