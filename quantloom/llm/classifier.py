@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import small_batches, written
+from .common import cut, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Kinds of bytes that are counted: symbols, capitals, small letters (and bytes of others), digits, ends of sentences, bars.
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pool:
     words = {w: i for i, w in enumerate(telling_words(sample, max_words))}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, 1):
             x = content(b.column(1), words)
             m = metadata(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], ["id", "good", "x", "m"])
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     names = list(docs.columns)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, names.index("text")):
             col = {n: b.column(i) for i, n in enumerate(names)}
             p = model.score(content(col["text"], model.words), metadata(col["lang"].to_pylist(), col["source"].to_pylist(), col["n_chars"].to_pylist()))
             scores = [pa.array(p[:, j]) for j in range(3)]
@@ -222,7 +222,6 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFram
 
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    small_batches(spark, 500)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*READ)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score(docs, fit(docs, labels)).select("doc_id", "quality_score.*")

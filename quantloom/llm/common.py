@@ -1,11 +1,16 @@
-"""What the operators of this subpackage share: where to write, and how to cut lineage."""
+"""What the operators of this subpackage share: where to write, how to cut lineage, and how to keep Arrow batches small."""
 
 from __future__ import annotations
 
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +20,12 @@ WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only where everything runs in this process (tests) may it be unset."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     global _own
     if _own is None:
         _own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -36,11 +43,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quantloom-{uuid.uuid4().hex[:12]}-{name}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder and read back: lost executors don't cost what went before."""
+def written(df: DataFrame, name: str, block: int | None = None) -> DataFrame:
+    """df as a table written to the shared folder and read back: lost executors don't cost what went before.
+
+    block: bytes of a row group, where rows are so long that a reader must not take many at once.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    out = df.write if block is None else df.write.option("parquet.block.size", block)
+    out.parquet(path)
     release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._quantloom_path = path
@@ -49,8 +60,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Delete a table made by written() that nothing will read again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._quantloom_path)
+    delete(df.sparkSession, df._quantloom_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -60,9 +74,29 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int) -> None:
-    """Rows in each Arrow batch: whole texts are long, and a batch is held in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Rows in each Arrow batch of the jobs that run inside, for tables with very long rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def cut(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose text column holds about `most` bytes, or one longer text: what is worked on at once stays small."""
+    for b in batches:
+        texts = b.column(column)
+        sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.cumsum(sizes)
+        i, before = 0, 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(at, before + most, "right")))
+            yield b.slice(i, j - i)
+            i, before = j, at[j - 1]
 
 
 def let(value, body):

@@ -1,11 +1,22 @@
-"""Removal of repeated byte strings by a depth-limited radix sort of suffixes (see windows.py).
+"""Removal of repeated byte strings by a depth-limited radix sort of suffixes.
 
-Suffixes are ordered only through `length` bytes; groups that are equal to that depth are exactly the repeated
-strings. Every byte covered by one is removed, wherever it occurs; strings are judged on the input.
+Every suffix of every text that is at least `length` bytes long takes part, and is ordered through its first `length`
+bytes only, by passes over digits, most significant first: bytes 0 - 31, then 32 - 95, then the rest. After a pass the
+suffixes of one group agree in all digits so far, and groups of one are done: they take no part in the next. The groups left
+after the last pass are exactly the repeated strings; every byte they cover is removed, strings being judged on the input.
+
+A digit is too wide to have a bucket of its own, so a group is named by a hash of its digits: some 40 bits in the first
+passes, which only let suffixes go on, and 96 bits plus the bucket in the last one, which decides. Inside a pass the order is
+that of these names. A pass runs as a bucket sort on Spark: texts lie in chunks of some MB; a task sorts the suffixes of a chunk
+by name and sends each bucket the names in it, once each, with a bit for "more than once"; the task of a bucket sorts what all
+chunks sent, and answers each of them with one bit a name: does the group have more than one suffix? So the most
+frequent group sends one name a chunk, no text or position is ever shuffled with a suffix, and a bucket is of bounded size: their number
+grows with the input. A pass deals its buckets in as many rounds as keep a round's names within the size of the
+texts. At very large inputs chunks should grow too (64 MB at 100 TB), as a chunk sends a row to every bucket.
 
 Defined results: a null text is empty, and a text shorter than `length` is left whole (n_spans 0, the hash of all its
 bytes). Matches never cross documents. Rows that repeat an id are documents of their own, so repeated long rows remove each
-other; so are rows with a null id. An empty table gives no rows. Only the two named columns are read.
+other; so are rows with a null id. An empty table gives no rows. Ids may be of any type. Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -19,14 +30,223 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels, windows
-from .common import small_batches
+from .common import batches_of, cut, forget, written
+
+U = np.uint64
+DEPTHS = (32, 96)
+CHUNK = 2 << 20
+BUCKET = 16 << 20
+LEAST_ROUND = 64 << 20
+CHUNKS = "keys binary, base binary, size binary, data binary, n_suffixes bigint"
+SENT = "chunk bigint, bucket int, n int, names binary, more binary"
+
+
+def chunked(docs: DataFrame, length: int, chunk_bytes: int) -> DataFrame:
+    """docs: key, text. Chunks of whole texts, or of parts of one long text that overlap so that each suffix is whole in one."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: list[tuple[int, int, bytes]] = []
+        held = 0
+
+        def row() -> pa.RecordBatch:
+            sizes = np.array([len(p) for _, _, p in pieces], np.int64)
+            arrays = [np.array([p[0] for p in pieces], np.int64), np.array([p[1] for p in pieces], np.int64), sizes]
+            suffixes = int((sizes - length + 1).sum())
+            cols = [pa.array([a.tobytes()], pa.binary()) for a in arrays] + [pa.array([b"".join(p[2] for p in pieces)], pa.binary()), pa.array([suffixes], pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, ["keys", "base", "size", "data", "n_suffixes"])
+
+        for b in cut(batches, 1, chunk_bytes):
+            data, at = kernels.bytes_of(b.column(1))
+            for key, lo, hi in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                for begin in range(0, max(0, hi - lo - length + 1), chunk_bytes):
+                    piece = data[lo + begin : min(hi, lo + begin + chunk_bytes + length - 1)].tobytes()
+                    if pieces and held + len(piece) > chunk_bytes:
+                        yield row()
+                        pieces, held = [], 0
+                    pieces.append((key, begin, piece))
+                    held += len(piece)
+        if pieces:
+            yield row()
+
+    rows = docs.select("key", "text").mapInArrow(task, CHUNKS)
+    return written(rows.withColumn("chunk", F.monotonically_increasing_id()), "chunks", block=16 << 20)
+
+
+def numbers(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int64)
 
 
-def marked(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", gram: int = 64) -> DataFrame:
+class Pass:
+    """Names of the suffixes of a chunk through `depth` bytes, in one round of a pass."""
+
+    def __init__(self, depth: int, last: bool, rounds: int, buckets: int):
+        self.depth, self.last, self.rounds, self.buckets = depth, last, rounds, buckets
+
+    def starts(self, sizes: np.ndarray, length: int, alive: bytes | None, n: int) -> np.ndarray:
+        if alive is not None:
+            return np.flatnonzero(np.unpackbits(np.frombuffer(alive, np.uint8), count=n))
+        return np.flatnonzero(kernels.starts_inside(np.append(0, np.cumsum(sizes)), length))
+
+    def named(self, data: np.ndarray, at: np.ndarray, turn: int):
+        """Which of `at` fall in this round, and their names: (bucket and 32 bits, nothing), or (64 bits, 32 more)."""
+        name = kernels.Spans(kernels.byte_values(0)[data], 0)(at, at + self.depth)
+        bucket = ((name >> U(32)) * U(self.rounds * self.buckets)) >> U(32)
+        mine = np.flatnonzero((bucket >= turn * self.buckets) & (bucket < (turn + 1) * self.buckets))
+        name, bucket = name[mine], bucket[mine] - U(turn * self.buckets)
+        if not self.last:
+            return mine, bucket << U(32) | (name & U(0xFFFFFFFF)), None, bucket
+        more = kernels.Spans(kernels.byte_values(1)[data], 1)(at[mine], at[mine] + self.depth) >> U(32)
+        return mine, name, more, bucket
+
+    def groups(self, name: np.ndarray, more: np.ndarray | None):
+        """The order of the suffixes, and where groups begin in it."""
+        order, new = sorted_groups(name, more)
+        return order, np.flatnonzero(new)
+
+
+def sorted_groups(name: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(name)
+    ranked = name[order]
+    new = np.append(np.ones(min(1, len(name)), bool), ranked[1:] != ranked[:-1])
+    if more is not None:
+        rest = more[order]
+        differs = np.append(np.zeros(min(1, len(name)), bool), rest[1:] != rest[:-1])
+        if (differs & ~new).any():  # equal in 64 bits, but not in the others
+            order = np.lexsort((more, name))
+            ranked, rest = name[order], more[order]
+            return order, np.append(np.ones(1, bool), (ranked[1:] != ranked[:-1]) | (rest[1:] != rest[:-1]))
+    return order, new
+
+
+def send(chunks: DataFrame, step: Pass, turn: int, length: int) -> DataFrame:
+    """What the chunks (chunk, size, data, alive) send to the buckets of one round."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, size, raw, alive in zip(*(b.column(i) for i in range(4)), strict=True):
+                data = np.frombuffer(raw.as_buffer(), np.uint8)
+                at = step.starts(numbers(size.as_py()), length, alive.as_py(), len(data))
+                _, name, more, bucket = step.named(data, at, turn)
+                order, first = step.groups(name, more)
+                many = np.diff(np.append(first, len(order))) > 1
+                name, bucket = name[order[first]], bucket[order[first]]
+                edges = np.searchsorted(bucket, np.arange(step.buckets + 1, dtype=U))
+                rows = []
+                for j in np.flatnonzero(np.diff(edges)).tolist():
+                    part = slice(int(edges[j]), int(edges[j + 1]))
+                    own = (name[part] & U(0xFFFFFFFF)).astype(np.uint32).tobytes() if more is None else name[part].tobytes() + more[order[first[part]]].astype(np.uint32).tobytes()
+                    rows.append((j, part.stop - part.start, own, np.packbits(many[part]).tobytes()))
+                if rows:
+                    cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()] * len(rows), pa.int64()), *cols], ["chunk", "bucket", "n", "names", "more"])
+
+    return chunks.select("chunk", "size", "data", "alive").mapInArrow(task, SENT)
+
+
+def answer(last: bool):
+    """For the rows of a bucket: a bit for each name, whether its group has more than one suffix."""
+
+    def task(table: pa.Table) -> pa.Table:
+        n = table.column("n").to_numpy()
+        raw = [x.as_buffer() for x in table.column("names")]
+        weight = 1 + np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=k) for x, k in zip(table.column("more"), n.tolist(), strict=True)]).astype(np.int64)
+        if last:
+            name = np.concatenate([np.frombuffer(x, U, count=k) for x, k in zip(raw, n.tolist(), strict=True)])
+            more = np.concatenate([np.frombuffer(x, np.uint32, offset=8 * k) for x, k in zip(raw, n.tolist(), strict=True)])
+        else:
+            name, more = np.concatenate([np.frombuffer(x, np.uint32) for x in raw]), None
+        order, new = sorted_groups(name, more)
+        first = np.flatnonzero(new)
+        found = np.add.reduceat(weight[order], first) > 1
+        hit = np.empty(len(name), bool)
+        hit[order] = np.repeat(found, np.diff(np.append(first, len(name))))
+        edges = np.append(0, np.cumsum(n))
+        bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        return pa.table([table.column("chunk").combine_chunks(), table.column("bucket").combine_chunks(), pa.array(n.astype(np.int32)), pa.array(bits, pa.binary())], ["chunk", "bucket", "n", "bits"])
+
+    return task
+
+
+def heard(chunks: DataFrame, answers: DataFrame, step: Pass, length: int) -> DataFrame:
+    """The chunks with the suffixes that go on: those whose group has more than one."""
+    each = answers.groupBy("chunk").agg(F.collect_list(F.struct("turn", "bucket", "n", "bits")).alias("told"))
+    both = chunks.drop("n_suffixes").join(each, "chunk")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                data = np.frombuffer(b.column(4)[r].as_buffer(), np.uint8)
+                at = step.starts(numbers(b.column(3)[r].as_py()), length, b.column(5)[r].as_py(), len(data))
+                told = sorted(((t["turn"], t["bucket"], t["n"], t["bits"]) for t in b.column(6)[r].as_py()), key=lambda t: t[:2])
+                alive, suffixes = np.zeros(len(data), bool), 0
+                for turn in range(step.rounds):
+                    bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for t, _, n, x in told if t == turn]
+                    if not bits:
+                        continue
+                    mine, name, more, _ = step.named(data, at, turn)
+                    order, first = step.groups(name, more)
+                    hit = np.repeat(np.concatenate(bits) > 0, np.diff(np.append(first, len(order))))
+                    alive[at[mine[order[hit]]]] = True
+                    suffixes += int(hit.sum())
+                if suffixes:
+                    yield pa.RecordBatch.from_arrays([*(c.slice(r, 1) for c in b.columns[:5]), pa.array([suffixes], pa.int64()), pa.array([np.packbits(alive).tobytes()], pa.binary())], ["chunk", "keys", "base", "size", "data", "n_suffixes", "alive"])
+
+    return both.select("chunk", "keys", "base", "size", "data", "alive", "told").mapInArrow(task, "chunk bigint, keys binary, base binary, size binary, data binary, n_suffixes bigint, alive binary")
+
+
+def runs(chunks: DataFrame) -> DataFrame:
+    """key, marks array<struct<start, n>>: n suffixes of the text of that key, from start on, are left."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, base, size, alive in zip(*(b.column(i) for i in range(4)), strict=True):
+                keys, base, size = (numbers(x.as_py()) for x in (keys, base, size))
+                at = np.append(0, np.cumsum(size))
+                on = np.flatnonzero(np.unpackbits(np.frombuffer(alive.as_buffer(), np.uint8), count=int(at[-1])))
+                piece = np.searchsorted(at, on, "right") - 1
+                new = np.append(True, (np.diff(on) > 1) | (np.diff(piece) > 0))
+                first = np.flatnonzero(new)
+                n, piece, on = np.diff(np.append(first, len(on))), piece[first], on[first]
+                cols = [keys[piece], (base[piece] + on - at[piece]), n]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "start", "n"])
+
+    rows = chunks.select("keys", "base", "size", "alive").mapInArrow(task, "key bigint, start bigint, n bigint")
+    return rows.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+
+
+def repeated(docs: DataFrame, length: int, chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET, least_round: int = LEAST_ROUND) -> DataFrame:
+    """docs: key (unique, not null), text. Returns key, marks: the suffixes left after the last pass."""
+    spark = docs.sparkSession
+    with batches_of(spark, 4):  # chunks in an Arrow batch
+        chunks = chunked(docs, length, chunk_bytes)
+        n_bytes = chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+        state = chunks.withColumn("alive", F.lit(None).cast("binary"))
+        for depth in sorted({min(d, length) for d in (*DEPTHS, length)}):
+            last = depth == length
+            names = (state.agg(F.sum("n_suffixes")).first()[0] or 0) * (12 if last else 4)
+            rounds = max(1, -(-names // max(n_bytes, least_round)))
+            step = Pass(depth, last, rounds, max(1, -(-names // (rounds * bucket_bytes))))
+            told = None
+            for turn in range(rounds):
+                sent = send(state, step, turn, length)
+                got = written(sent.groupBy("bucket").applyInArrow(answer(last), "chunk bigint, bucket int, n int, bits binary").withColumn("turn", F.lit(turn)), "answers")
+                told = [got] if told is None else [*told, got]
+            all_told = told[0]
+            for t in told[1:]:
+                all_told = all_told.unionByName(t)
+            new = written(heard(state, all_told, step, length), "alive", block=16 << 20)
+            for used in (*told, chunks):
+                forget(used)
+            chunks = state = new
+        out = written(runs(state), "marks")
+        forget(chunks)
+    return out
+
+
+def marked(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, id, text, marks."""
     own = windows.keyed(docs, key, text)
-    marks = windows.repeated(own, windows.byte_units, length, min(gram, (length + 1) // 2), 8, "any")
-    return own.join(marks, "key", "left")
+    return own.join(repeated(own, length), "key", "left")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -34,7 +254,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
     kind = docs.schema[key].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, 1):
             data, at = kernels.bytes_of(b.column(1))
             marks = b.column(2)
             out = []
@@ -58,6 +278,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
 KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
 
 
+RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    small_batches(spark, 500)
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(*RESULT)

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut
 
 #: Fixed values of the vocabulary's format: how text is cut, and how bytes are written as printable characters.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -97,7 +97,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path).count
-        for b in batches:
+        for b in cut(batches, 1):
             n = pa.array([count(t) if t else 0 for t in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), n], ["k", "n_bytes", "n_tokens"])
 
@@ -113,6 +113,5 @@ def tokenizer_path(name: str) -> str:
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
-    small_batches(spark, 500)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return count_tokens(docs, tokenizer_path("byte_bpe_50k.json"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_batches
+from .common import cut, fresh_path
 
 VERSION = b"WARC/1.1\r\n"
 MAGIC = b"\x1f\x8b\x08"
@@ -83,7 +83,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, records_per_f
     )
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, 2):
             cols = [c.to_pylist() for c in b.columns]
             out = [member(record(k, u, h.encode("utf-8"), again, first if again else None)) for k, u, h, first, again in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
@@ -213,7 +213,6 @@ KINDS = [pa.int64() if x.endswith("bigint") else pa.string() for x in RECORD.spl
 
 
 def op8_warc_salvage(spark, sf_dir: str) -> DataFrame:
-    small_batches(spark, 200)
     path = fresh_path(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     records, _ = read_archive(spark, path)
