@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels, windows
-from .common import forget, small_batches, written
+from .common import cut, forget, written
 
 U = np.uint64
 N_ORDERS = 3
@@ -123,7 +123,7 @@ def sketches(docs: DataFrame, k: int, n_sketches: int, ell: int) -> DataFrame:
     """docs: key, text. key, two hashes of all words (null without words), number of shingles, entries."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, 1):
             values, at = windows.word_units(b.column(1))
             whole, sizes, entries = [], [], []
             for i in range(b.num_rows):
@@ -281,5 +281,4 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def op9_order_minhash(spark, sf_dir: str) -> DataFrame:
-    small_batches(spark, 500)
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,15 +1,18 @@
 """Removal of repeated passages, located by Aho-Corasick automata.
 
-Recurring phrases of `gram` words are first chosen and counted by hash over the whole corpus (windows.py). A document is
-then handed the runs that share a phrase with another place. Each Arrow batch is a shard: its recurring phrases are
-compiled into automata of at most `SHARD` phrases, which bounds their memory, and the batch's documents stream through
-them; only phrases located letter by letter count. Around them, windows of `width` words are compared in full. Of equal
-windows the first (smallest id, then smallest start) stays, and the words of all others go. Windows are judged on the input.
+Phrases of `gram` words that recur anywhere in the corpus are confirmed by their counts (windows.py) and make a dictionary: each
+phrase once, with its words as they stand at the first place. The dictionary is cut into shards by where it is needed: every
+part of the documents gets those phrases that the hashes of its own phrases ask for, whichever document they were taken from, in
+automata of at most `SHARD` phrases. All documents stream through the automata of their part, and only where a phrase of the
+dictionary is located letter by letter do windows of `width` words around it go on to be compared in full; a hash that
+agrees by chance is found out there. So no document meets phrases that it can't hold, and the work grows with the
+input, as it would not if all documents met all shards. Of equal windows the first (smallest id, then smallest start) stays, and
+the words of all others go. Windows are judged on the input.
 
 Defined results: a null text has no words, and the hash of the empty string. Texts shorter than a window stay whole
 but for their blanks: what is kept is words joined by one space. Rows that repeat an id count as documents one after the
-other, in the order of their texts' hashes; null ids come before all others. An empty table gives no rows. Only the two
-named columns are read, and other columns are carried by `drop_repeats` alone.
+other, in the order of their texts' hashes; null ids come before all others. Ids may be of any type that can be sorted. An
+empty table gives no rows. Only the two named columns are read; `drop_repeats` carries all others, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,42 +29,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows
-from .common import small_batches
+from .common import cut, written
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
-SHARD = 8_000
-
-
-def locate(texts: pa.Array, owner: np.ndarray, place: np.ndarray, gram: int) -> np.ndarray:
-    """Whether the automata find, in text owner[i] at word place[i], a recurring phrase. owner ascends."""
-    found = np.zeros(len(owner), bool)
-    i = 0
-    while i < len(owner):
-        j = min(len(owner), i + SHARD)
-        if j < len(owner):  # whole documents, or one document in parts
-            whole = int(np.searchsorted(owner, owner[j]))
-            j = whole if whole > i else j
-        rows = {int(r): WORD.findall(texts[int(r)].as_py()) for r in np.unique(owner[i:j])}
+SHARD = 16_000
+ANCHORS = "start int, n int, place int, gram bigint, whole bigint"
+
+
+def plain(text: str | None) -> tuple[str, np.ndarray]:
+    """The words with one blank before, between and behind them, and where each begins."""
+    words = WORD.findall(text or "")
+    begins = np.cumsum([1] + [len(w) + 1 for w in words])
+    return f" {' '.join(words)} ", begins
+
+
+def dictionary(docs: DataFrame, again: DataFrame, gram: int) -> DataFrame:
+    """gram, phrase: the words of each recurring phrase (again: gram, key, at), read at the one place given."""
+    places = again.groupBy("key").agg(F.collect_list(F.struct("gram", "at")).alias("places"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut(batches, 0):
+            for text, own in zip(b.column(0), b.column(1), strict=True):
+                words, begins = plain(text.as_py())
+                at = own.values.field(1).to_numpy()
+                found = [words[x - 1 : y] for x, y in zip(begins[at].tolist(), begins[at + gram].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([own.values.field(0), pa.array(found, pa.string())], ["gram", "phrase"])
+
+    return docs.join(places, "key").select("text", "places").mapInArrow(task, "gram bigint, phrase string")
+
+
+def located(texts: list[str | None], phrases: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text, at which words and which of the phrases stand in it: every occurrence. Phrases differ, and have a blank at both ends."""
+    rows = [plain(t) for t in texts]
+    found = [([], []) for _ in rows]
+    for i in range(0, len(phrases), SHARD):
         automaton = ahocorasick.Automaton()
-        for r, p in zip(owner[i:j].tolist(), place[i:j].tolist(), strict=True):
-            phrase = f" {' '.join(rows[r][p : p + gram])} "
-            automaton.add_word(phrase, len(phrase))
+        for k, phrase in enumerate(phrases[i : i + SHARD], i):
+            automaton.add_word(phrase, k)
         automaton.make_automaton()
-        at = i
-        for r, words in rows.items():
-            begins = np.cumsum([0] + [len(w) + 1 for w in words])
-            hits = [end - size + 1 for end, size in automaton.iter(f" {' '.join(words)} ")]
-            located = np.searchsorted(begins, np.array(hits, np.int64))
-            stop = int(np.searchsorted(owner[:j], r, "right"))
-            found[at:stop] = np.isin(place[at:stop], located)
-            at = stop
-        i = j
-    return found
+        for (words, _), (ends, which) in zip(rows, found, strict=True):
+            for end, k in automaton.iter(words):
+                ends.append(end - len(phrases[k]) + 2)
+                which.append(k)
+    return [(np.searchsorted(begins, np.array(ends, np.int64)), np.array(which, np.int64)) for (_, begins), (ends, which) in zip(rows, found, strict=True)]
+
+
+def locate(docs: DataFrame, anchors: DataFrame, again: DataFrame, gram: int) -> DataFrame:
+    """Those anchors (key, start, n, place, gram, whole) at whose places the automata locate the phrase that their hash names."""
+    known = written(dictionary(docs, again, gram), "dictionary")
+    asked = anchors.join(known, "gram").groupBy("key").agg(F.collect_list(F.struct("start", "n", "place", "gram", "whole", "phrase")).alias("asked"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut(batches, 1, 1 << 19):
+            numbers: dict[str, int] = {}
+            asks = [None if not x.is_valid else x.values for x in b.column(2)]
+            wanted = [[] if x is None else [numbers.setdefault(p, len(numbers)) for p in x.field(5).to_pylist()] for x in asks]
+            for key, x, want, (at, which) in zip(b.column(0), asks, wanted, located(b.column(1).to_pylist(), list(numbers)), strict=True):
+                if x is None:
+                    continue
+                start, n, place, grams, whole = (x.field(i) for i in range(5))
+                here = (start.to_numpy().astype(np.int64) + place.to_numpy()) * len(numbers) + np.array(want, np.int64)
+                stands = pa.array(np.isin(here, at * len(numbers) + which))
+                cols = [c.filter(stands) for c in (start, n, place, grams, whole)]
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(cols[0]), pa.int64()), *cols], ["key", "start", "n", "place", "gram", "whole"])
+
+    return docs.join(asked, "key", "left").select("key", "text", "asked").mapInArrow(task, f"key bigint, {ANCHORS}")
 
 
 def marked(docs: DataFrame, width: int, key: str, text: str, gram: int) -> DataFrame:
     own = windows.keyed(docs, key, text)
-    marks = windows.repeated(own, windows.word_units, width, gram, 4, "earlier", lambda t, o, p: locate(t, o, p, gram))
+    marks = windows.repeated(own, width, gram, 4, lambda d, rows, again: locate(d, rows, again, gram))
     return own.join(marks, "key", "left").select("id", "text", "marks")
 
 
@@ -80,7 +117,7 @@ def remove_passages(docs: DataFrame, width: int = 20, key: str = "doc_id", text:
     kind = docs.schema[key].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, 1):
             n, removed, digest, rest = [], [], [], []
             for t, marks in zip(b.column(1).to_pylist(), b.column(2), strict=True):
                 total, words = split_kept(t, marks, width)
@@ -101,13 +138,14 @@ def drop_repeats(docs: DataFrame, width: int = 20, key: str = "doc_id", text: st
 
     For tables whose ids are unique and not null, as a pipeline's are.
     """
-    kept = remove_passages(docs.select(key, text), width, key, text).where("n_removed > 0").select(F.col(key).alias("_id"), "n_words", "n_removed", "kept")
-    rest = docs.join(kept, F.col(key) == F.col("_id"), "left").where("n_removed is null or n_removed < n_words")
-    return rest.select(*[F.coalesce("kept", F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    kept = remove_passages(docs.select(key, text), width, key, text).where("n_removed > 0")
+    told = kept.select(F.col(key).alias("id"), F.struct("n_words", "n_removed", "kept").alias("rest"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    both = whole.join(told, F.col(f"row.`{key}`") == F.col("id"), "left").where("rest is null or rest.n_removed < rest.n_words")
+    return both.select(*[F.coalesce("rest.kept", f"row.`{text}`").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op10_repeated_passages(spark, sf_dir: str) -> DataFrame:
-    small_batches(spark, 500)
     return remove_passages(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

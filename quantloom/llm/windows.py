@@ -1,18 +1,14 @@
-"""Windows of a fixed number of units (bytes or words) that occur more than once, over a whole corpus.
+"""Windows of a fixed number of words that occur more than once, over a whole corpus, found around recurring phrases.
 
-The suffixes of all documents are put in order no further than one window deep, by passes over ever longer digits,
-most significant first; a group that has shrunk to one member is done. No pass holds a group in one task: groups are
-counted by pre-aggregated sums and found again by joins, which Spark splits where they are skewed.
+1. Of every window the anchor is the phrase (gram) of it with the least hash (kernels.anchors). Only anchors that occur again matter.
+2. `locate` says at which of their places these phrases stand, letter by letter (automata, phrases.py). Nothing else goes on.
+3. A run of windows around one located phrase is compared by all that it covers. Where that occurs again, all its windows do.
+4. Else parts of runs are compared, and then single windows, where they share what they have in common with a different run.
 
-1. First digit: of every window the anchor, a gram of it (kernels.anchors). Only anchors that occur again go on.
-2. Second digit: all that a run of windows with one anchor covers. Where that occurs again, all its windows do.
-3. Third digit: the same for parts of those runs that share an anchor with a different run.
-4. Last digit: single windows, of those parts that share what their windows have in common with a different part.
+No step holds a group in one task: groups are counted by pre-aggregated sums and found again by joins, which Spark splits
+where they are skewed. What runs, parts and windows cover is compared by two hashes of 64 bits.
 
-Hashes are 64 bits for the first digit, which only selects candidates, and two of 64 bits for what decides.
-
-Documents are told apart by `key`. `rule` "any" marks windows that occur anywhere else; "earlier" those that occur at a
-smaller key, or at the same key and a smaller start.
+Documents are told apart by `key`. A window is marked if it also occurs at a smaller key, or at the same key and a smaller start.
 """
 
 from __future__ import annotations
@@ -25,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import forget, written
+from .common import cut, forget, written
 
 U = np.uint64
 ANCHOR = "key bigint, start int, n int, place int, gram bigint, whole bigint"
@@ -34,30 +30,22 @@ PART = "key bigint, run int, start int, n int, gram bigint, whole bigint"
 WINDOW = "key bigint, start int, gram bigint, whole bigint"
 
 
-def byte_units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return kernels.bytes_of(column)
-
-
 def word_units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, at = kernels.bytes_of(column)
     starts, ends, rows = kernels.words_at(data, at)
     return kernels.word_values(data, starts, ends), rows
 
 
-def valued(units: np.ndarray) -> np.ndarray:
-    return kernels.byte_values(0)[units] if units.dtype == np.uint8 else units
-
-
-def anchor_rows(docs: DataFrame, units_of: Callable, window: int, gram: int) -> DataFrame:
+def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """docs: key, text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, 1):
             keys = b.column(0).to_numpy(zero_copy_only=False)
-            units, at = units_of(b.column(1))
+            units, at = word_units(b.column(1))
             for row, part, shift in kernels.stretches(at, window):
                 lo, hi = part[0], part[-1]
-                start, n, place, gram_hash, whole = kernels.anchors(valued(units[lo:hi]), part - lo, window, gram)
+                start, n, place, gram_hash, whole = kernels.anchors(units[lo:hi], part - lo, window, gram)
                 if not len(start):
                     continue
                 own = np.searchsorted(part - lo, start, "right") - 1
@@ -68,36 +56,30 @@ def anchor_rows(docs: DataFrame, units_of: Callable, window: int, gram: int) ->
     return docs.select("key", "text").mapInArrow(task, ANCHOR)
 
 
-def context_rows(docs: DataFrame, units_of: Callable, window: int, confirm: Callable | None = None) -> DataFrame:
-    """docs: key, text, runs array<struct<start, n, place, resolve>>. The runs to resolve, with the units that they cover.
-
-    confirm, if given, gets the texts and the places of the runs' anchors, and says which it finds in the texts.
-    """
+def context_rows(docs: DataFrame, window: int) -> DataFrame:
+    """docs: key, text, runs array<struct<start, n, place>>. The runs with the words that they cover, as hashes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cut(batches, 1):
             runs = b.column(2)
             flat, owner = runs.flatten(), np.repeat(np.arange(b.num_rows), np.diff(runs.offsets.to_numpy()))
-            start, n, place, todo = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            if confirm is not None:
-                todo = todo & confirm(b.column(1), owner, start.astype(np.int64) + place)
-            start, n, place, owner = start[todo], n[todo], place[todo], owner[todo]
-            units, at = units_of(b.column(1))
+            start, n, place = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            units, at = word_units(b.column(1))
             begin = at[owner] + start
             data = [units[x:y].tobytes() for x, y in zip(begin.tolist(), (begin + n - 1 + window).tolist(), strict=True)]
             keys = b.column(0).to_numpy(zero_copy_only=False)[owner]
             for i in range(0, len(data), 1 << 14):
-                cut = slice(i, i + (1 << 14))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[cut]), pa.array(start[cut]), pa.array(n[cut]), pa.array(place[cut]), pa.array(data[cut], pa.binary())], ["key", "start", "n", "place", "units"])
+                some = slice(i, i + (1 << 14))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(start[some]), pa.array(n[some]), pa.array(place[some]), pa.array(data[some], pa.binary())], ["key", "start", "n", "place", "units"])
 
     return docs.select("key", "text", "runs").mapInArrow(task, CONTEXT)
 
 
-def units_in(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+def units_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The units of a column of contexts, one after the other, and where each context begins."""
     at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]
-    return data.copy().view(kind), (at - at[0]) // kind.itemsize
+    return data.copy().view(U), (at - at[0]) // 8
 
 
 def runs_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +87,7 @@ def runs_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def part_rows(contexts: DataFrame, kind: np.dtype, window: int, size: int) -> DataFrame:
+def part_rows(contexts: DataFrame, window: int, size: int) -> DataFrame:
     """Runs cut into parts of `size` windows, at multiples of `size` before the anchor.
 
     `gram` is a hash of what all windows of such a part have in common, `whole` of all that this part's windows cover.
@@ -116,8 +98,7 @@ def part_rows(contexts: DataFrame, kind: np.dtype, window: int, size: int) -> Da
             if not b.num_rows:
                 continue
             keys, start, n, place = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            units, at = units_in(b.column(4), kind)
-            values = valued(units)
+            values, at = units_in(b.column(4))
             top, low = place // size, (place - n + 1) // size
             own, i = runs_of((top - low + 1).astype(np.int64))
             g = top[own] - i
@@ -134,7 +115,7 @@ def part_rows(contexts: DataFrame, kind: np.dtype, window: int, size: int) -> Da
     return contexts.mapInArrow(task, PART)
 
 
-def window_rows(contexts: DataFrame, kind: np.dtype, window: int) -> DataFrame:
+def window_rows(contexts: DataFrame, window: int) -> DataFrame:
     """contexts, with parts array<struct<start, n>>. The windows of these parts, with two hashes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +123,7 @@ def window_rows(contexts: DataFrame, kind: np.dtype, window: int) -> DataFrame:
             if not b.num_rows:
                 continue
             keys, start = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            units, at = units_in(b.column(2), kind)
-            values = valued(units)
+            values, at = units_in(b.column(2))
             flat, owner = b.column(3).flatten(), np.repeat(np.arange(b.num_rows), np.diff(b.column(3).offsets.to_numpy()))
             first, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             part, i = runs_of(n)
@@ -156,7 +136,7 @@ def window_rows(contexts: DataFrame, kind: np.dtype, window: int) -> DataFrame:
     return contexts.select("key", "start", "units", "parts").mapInArrow(task, WINDOW)
 
 
-def judged(rows: DataFrame, rule: str, name: str) -> DataFrame:
+def judged(rows: DataFrame, name: str) -> DataFrame:
     """rows: key, start, gram, whole ... As a table, with `marked`: all of the row's windows are; and `resolve`: some may be.
 
     Rows of one gram may have windows in common, rows of one whole have all of them in common. Of these one row, the first,
@@ -170,33 +150,33 @@ def judged(rows: DataFrame, rule: str, name: str) -> DataFrame:
     forget(counts)
     forget(mixed)
     both = rows.join(runs, ["gram", "whole"]).withColumn("is_first", at == F.col("first"))
-    marked = F.col("same") > 1 if rule == "any" else (F.col("same") > 1) & ~F.col("is_first")
-    resolve = (F.col("kinds") > 1) & F.col("is_first") & ~marked
-    told = both.withColumns({"marked": marked, "resolve": resolve if rule != "any" else (F.col("kinds") > 1) & F.col("is_first")})
+    told = both.withColumns({"marked": (F.col("same") > 1) & ~F.col("is_first"), "resolve": (F.col("kinds") > 1) & F.col("is_first")})
     out = written(told.where("marked or resolve").drop("gram", "whole", "same", "first", "kinds", "is_first"), name)
     forget(runs)
     return out
 
 
-def repeated(docs: DataFrame, units_of: Callable, window: int, gram: int, part: int, rule: str, confirm: Callable | None = None) -> DataFrame:
-    """docs: key (unique, not null), text. Returns key, marks array<struct<start, n>>: n windows from start on are marked."""
-    kind = np.dtype(np.uint8) if units_of is byte_units else np.dtype(np.uint64)
-    rows = anchor_rows(docs, units_of, window, gram)
-    again = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"), "again")
-    shared = written(rows.join(again, "gram"), "anchors")
+def repeated(docs: DataFrame, window: int, gram: int, part: int, locate: Callable) -> DataFrame:
+    """docs: key (unique, not null), text. Returns key, marks array<struct<start, n>>: n windows from start on are marked.
+
+    locate gets docs, the anchors of all windows, and the phrases among them that occur again, each with the first place
+    where it does (gram, key, at); it returns the anchors at whose places the phrase stands.
+    """
+    rows = written(anchor_rows(docs, window, gram), "anchors")
+    at = F.struct("key", (F.col("start") + F.col("place")).alias("at"))
+    again = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min(at).alias("first")).where("c > 1").select("gram", "first.key", "first.at"), "again")
+    shared = written(locate(docs, rows, again), "located")
+    forget(rows)
     forget(again)
-    runs = judged(shared, rule, "runs")
+    runs = judged(shared, "runs")
     forget(shared)
-    asked = runs.where("resolve") if confirm is None else runs
-    lists = asked.groupBy("key").agg(F.collect_list(F.struct("start", "n", "place", "resolve")).alias("runs"))
-    contexts = written(context_rows(docs.join(lists, "key"), units_of, window, confirm), "contexts")
-    parts = judged(part_rows(contexts, kind, window, part), rule, "parts")
+    lists = runs.where("resolve").groupBy("key").agg(F.collect_list(F.struct("start", "n", "place")).alias("runs"))
+    contexts = written(context_rows(docs.join(lists, "key"), window), "contexts")
+    parts = judged(part_rows(contexts, window, part), "parts")
     todo = parts.where("resolve").groupBy("key", F.col("run").alias("start")).agg(F.collect_list(F.struct("start", "n")).alias("parts"))
-    single = written(window_rows(contexts.join(todo, ["key", "start"]), kind, window), "windows")
+    single = written(window_rows(contexts.join(todo, ["key", "start"]), window), "windows")
     groups = written(single.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "start")).alias("first")).where("c > 1"), "groups")
-    hits = single.join(groups, ["gram", "whole"])
-    if rule != "any":
-        hits = hits.where(F.struct("key", "start") != F.col("first"))
+    hits = single.join(groups, ["gram", "whole"]).where(F.struct("key", "start") != F.col("first"))
     marks = runs.where("marked").select("key", "start", "n")
     marks = marks.unionByName(parts.where("marked").select("key", "start", "n")).unionByName(hits.select("key", "start", F.lit(1).alias("n")))
     out = written(marks.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("marks")), "marks")
@@ -214,9 +194,10 @@ def covered(size: int, start: np.ndarray, n: np.ndarray, window: int) -> np.ndar
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, id, text with a unique key in the order of ids. Ids that are null or repeat make a table with keys of its own."""
+    """key, id, text with a unique key in the order of ids. Ids that are null, repeat, or aren't integers make a table with keys of its own."""
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    if own.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or id is null").isEmpty():
+    whole = docs.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    if whole and own.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or id is null").isEmpty():
         return own.withColumn("key", F.col("id").cast("bigint"))
     # null ids first, then by id; rows that repeat an id in the order of their texts' hashes
     ranged = own.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("id"), F.xxhash64("text"))
