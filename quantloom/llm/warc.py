@@ -5,19 +5,25 @@ and its half-written file never shows; an empty gzip member serves as the line s
 Rows with equal payloads (SHA-1 and length) of at least `min_bytes` become one response, that of the largest key, and
 revisits of it.
 
-Reading. Every file is read as bytes by one task; `records_per_file` bounds its size. After a member that doesn't
-inflate, or a record whose header, length, end or payload digest is wrong, the reader searches for the next valid gzip
-member or version line, goes on there, and reports the bytes between as quarantined.
+Reading. At each place of a file stands a gzip member or a plain record, whatever bytes payloads hold. After a member that doesn't
+inflate or holds no record, or a record whose header, length, end, block digest or payload digest is wrong, the reader tries
+every later gzip magic and version line until one holds a whole record, goes on there, and logs the bytes between as
+quarantined. Every file is parsed once, as bytes, by one task: the writer bounds files by `file_bytes` (as an average, the
+largest record on top), and Spark reads no file above 2 GB this way, so larger foreign archives must be split first.
+Records and gaps are one table on disk.
 
 Defined results: a null payload is the empty payload. Rows that repeat both key and payload of the response are responses
 too. A null key is written as an empty field and read back as null; it counts as smaller than every other key. A null
 address is written as the `urn:` of the key. No rows give an archive without records. Extra columns aren't written.
+A record whose id isn't this writer's has page_id null (record_id has it as it stands); one without type or length is
+quarantined; a revisit that repeats no HTTP length, and a record of any other type, has the length of what payload it holds.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path
+from .common import cut, delete, fresh_path, written
 
 VERSION = b"WARC/1.1\r\n"
 MAGIC = b"\x1f\x8b\x08"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
-RECORD = "page_id bigint, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, target_uri string"
-GAP = "file string, gap_start bigint, gap_end bigint, reason string"
+FIELDS = "page_id bigint, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, target_uri string, record_id string"
+FOUND = f"file string, start bigint, stop bigint, reason string, {FIELDS}"
+NAMES = [x.split()[0] for x in FOUND.split(", ")]
+KINDS = [pa.int64() if x.endswith("bigint") else pa.string() for x in FOUND.split(", ")]
 
 
 def member(data: bytes) -> bytes:
@@ -44,12 +52,15 @@ def urn(key: int | None) -> str:
 
 
 def key_of(value: str) -> int | None:
-    digits = value.strip("<>").rpartition(":")[2]
-    return int(digits) if digits else None
+    own = re.fullmatch("<?urn:page:(-?[0-9]+)>?", value)
+    return int(own[1]) if own else None
+
+
+def digest_of(data: bytes) -> str:
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
 def record(key: int | None, uri: str | None, payload: bytes, revisit: bool, refers_to: int | None) -> bytes:
-    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = HTTP % len(payload)
     body = http if revisit else http + payload
     lines = [
@@ -57,8 +68,8 @@ def record(key: int | None, uri: str | None, payload: bytes, revisit: bool, refe
         f"WARC-Record-ID: {urn(key)}",
         "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Target-URI: {' '.join((uri or urn(key)).split())}",
-        f"WARC-Payload-Digest: sha1:{digest}",
-        f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(body).digest()).decode()}",
+        f"WARC-Payload-Digest: {digest_of(payload)}",
+        f"WARC-Block-Digest: {digest_of(body)}",
         "Content-Type: application/http; msgtype=response",
     ]
     if revisit:
@@ -67,8 +78,10 @@ def record(key: int | None, uri: str | None, payload: bytes, revisit: bool, refe
     return VERSION + head + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 4000) -> None:
+def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = 32 << 20) -> None:
     """pages: page_id, url, html."""
+    size = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)))).first()[0] or 0
+    records_per_file = max(1, int(file_bytes // (size + 1000)))  # before compression, with some room for headers
     own = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html")
     ).withColumns({"sha": F.sha1(F.encode("html", "utf-8")), "size": F.octet_length("html")})
@@ -108,27 +121,11 @@ def inflate(data: bytes, start: int, step: int = 1 << 15) -> tuple[bytes, int]:
     return b"".join(out), at - len(d.unused_data)
 
 
-def members_of(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, content) of the valid gzip members of a file, or the file itself where it isn't compressed."""
-    if MAGIC not in data:
-        yield 0, len(data), data
-        return
-    start = data.find(MAGIC)
-    while start >= 0:
-        try:
-            content, end = inflate(data, start)
-        except zlib.error:
-            end = start + 1
-        else:
-            yield start, end, content
-        start = data.find(MAGIC, end)
-
-
 def parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     """The record that starts at `at`: where it ends, its header fields, its block. Damage if any check fails."""
     if not data.startswith(b"WARC/1.", at):
         raise Damage("no version line")
-    stop = data.find(b"\r\n\r\n", at)
+    stop = data.find(b"\r\n\r\n", at, at + MOST_HEADER)
     if stop < 0:
         raise Damage("header without end")
     fields = {}
@@ -139,83 +136,114 @@ def parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
         fields[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
     if not fields.get("content-length", "").isdigit():
         raise Damage("no length")
+    if not fields.get("warc-type"):
+        raise Damage("no type")
     begin = stop + 4
     end = begin + int(fields["content-length"])
-    block = data[begin:end]
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damage("record doesn't end where its length says")
+    block = data[begin:end]
     said = fields.get("warc-block-digest", "")
-    if said and said != "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode():
+    if said.startswith("sha1:") and said != digest_of(block):
         raise Damage("wrong block digest")
+    said = fields.get("warc-payload-digest", "")
+    if said.startswith("sha1:") and fields["warc-type"] != "revisit" and said != digest_of(payload_of(fields, block)):
+        raise Damage("wrong payload digest")
     return end + 4, fields, block
 
 
+MOST_HEADER = 1 << 16
+
+
+def payload_of(fields: dict[str, str], block: bytes) -> bytes:
+    return block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
+
+
+def record_at(data: bytes, at: int) -> tuple[int, list[tuple[dict[str, str], bytes]], str]:
+    """What stands at `at`, a gzip member or a plain record: its end, its records, and why some of a member were lost, if so."""
+    if not data.startswith(MAGIC, at):
+        end, fields, block = parse(data, at)
+        return end, [(fields, block)], ""
+    try:
+        content, end = inflate(data, at)
+    except zlib.error:
+        raise Damage("no valid gzip member") from None
+    found, inner, why = [], 0, ""
+    while inner < len(content):
+        try:
+            inner, fields, block = parse(content, inner)
+            found.append((fields, block))
+        except Damage as damage:
+            why = why or str(damage)
+            inner = content.find(b"WARC/1.", inner + 1)
+            inner = len(content) if inner < 0 else inner
+    if content and not found:
+        raise Damage(why)
+    return end, found, why
+
+
 def salvage(data: bytes) -> tuple[list[tuple[dict[str, str], bytes]], list[tuple[int, int, str]]]:
-    """Records of one file, and the gaps (start, end, reason) in bytes of the file that gave none."""
-    found, gaps, reached = [], [], 0
-    for start, end, content in members_of(data):
-        if start > reached:
-            gaps.append((reached, start, "no valid gzip member"))
-        reached, plain = end, content is data
-        at = 0
-        while at < len(content):
-            try:
-                at, fields, block = parse(content, at)
-                found.append((fields, block))
-            except Damage as why:
-                then = content.find(b"WARC/1.", at + 1)
-                then = len(content) if then < 0 else then
-                gaps.append((at, then, str(why)) if plain else (start, end, str(why)))
-                at = then
-    if reached < len(data):
-        gaps.append((reached, len(data), "no valid gzip member"))
+    """Records of one file, and the gaps (start, end, reason) in bytes of the file: what gave no record, or not all of a member's."""
+    found, gaps = [], []
+    at = lost = 0
+    why = ""
+    while at < len(data):
+        try:
+            end, records, inner = record_at(data, at)
+        except Damage as damage:
+            why = why or str(damage)
+            then = [x for x in (data.find(MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
+            at = min(then, default=len(data))
+            continue
+        if lost < at:
+            gaps.append((lost, at, why))
+        if inner:
+            gaps.append((at, end, inner))
+        found += records
+        at = lost = end
+        why = ""
+    if lost < len(data):
+        gaps.append((lost, len(data), why))
     return found, gaps
 
 
 def page_row(fields: dict[str, str], block: bytes) -> tuple:
-    """A row of RECORD. A revisit carries no payload: its length is that of the HTTP header it repeats."""
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = len(payload)
+    """A row of FIELDS. A revisit carries no payload: its length is that of the HTTP header it repeats, if there is one."""
+    payload = payload_of(fields, block)
+    size, digest = len(payload), fields.get("warc-payload-digest", "")
     revisit = fields["warc-type"] == "revisit"
     if revisit:
-        size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-        digest = fields["warc-payload-digest"].removeprefix("sha1:")
-    else:
-        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    refers = key_of(fields["warc-refers-to"]) if revisit else None
-    return key_of(fields["warc-record-id"]), fields["warc-type"], size, digest, refers, fields.get("warc-target-uri")
+        said = re.search(rb"(?im)^content-length:[ \t]*([0-9]+)", block)
+        size = int(said[1]) if said else size
+    elif not digest.startswith("sha1:"):
+        digest = digest_of(payload)
+    refers = key_of(fields.get("warc-refers-to", "")) if revisit else None
+    own = fields.get("warc-record-id", "")
+    return key_of(own), fields["warc-type"], size, digest.removeprefix("sha1:") or None, refers, fields.get("warc-target-uri"), own or None
 
 
 def read_archive(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, quarantined gaps) of all files of a folder."""
+    """(records, quarantined gaps: file, start, stop, reason) of all files of a folder: two views of one table."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column(1):
-                got = [page_row(*x) for x in salvage(data.as_py())[0]]
-                cols = [pa.array(c, t) for c, t in zip(zip(*got, strict=True) if got else [()] * 6, KINDS, strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, NAMES)
-
-    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                got = [(name, *x) for x in salvage(data.as_py())[1]]
-                if got:
-                    cols = [pa.array(c) for c in zip(*got, strict=True)]
-                    yield pa.RecordBatch.from_arrays(cols, ["file", "gap_start", "gap_end", "reason"])
-
-    return files.mapInArrow(rows, RECORD), files.mapInArrow(gaps, GAP)
-
+                records, gaps = salvage(data.as_py())
+                found = [(name, None, None, None, *page_row(*x)) for x in records] + [(name, *x, *[None] * 7) for x in gaps]
+                for i in range(0, len(found), 1000):
+                    cols = [pa.array(c, t) for c, t in zip(zip(*found[i : i + 1000], strict=True), KINDS, strict=True)]
+                    yield pa.RecordBatch.from_arrays(cols, NAMES)
 
-NAMES = [x.split()[0] for x in RECORD.split(", ")]
-KINDS = [pa.int64() if x.endswith("bigint") else pa.string() for x in RECORD.split(", ")]
+    found = written(files.mapInArrow(rows, FOUND), "archive")
+    return found.where("reason is null").drop("start", "stop", "reason"), found.where("reason is not null").select("file", "start", "stop", "reason")
 
 
 def op8_warc_salvage(spark, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     records, _ = read_archive(spark, path)
+    delete(spark, path)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
