@@ -4,8 +4,8 @@ A histogram of all lengths is counted by Spark. Dynamic programming over it choo
 the padding when every row is padded to its bucket's bound. Inside a bucket, batches hold as many rows as the token
 budget allows at the padded length; a row longer than the budget is a batch of its own.
 
-The histogram on the driver has at most `max_bins` bins: where there are more different lengths, lengths that agree in
-their leading bits share a bin (its bound is the longest length seen in it), and the choice is optimal among those bounds.
+The driver holds one number for each different length and no more: texts of D different lengths have D * (D - 1) / 2 words at
+least, so D is below 7 million even for 2e13 words. The dynamic program runs over all of them, and takes D steps for a bucket.
 
 Defined results: a null text has length 0. Rows of length 0 are packed like any other (a bucket bound is at least 1).
 Rows with the same key are ranked by all of (hash, key, length) and each gets a place of its own. No rows give no batches.
@@ -28,59 +28,70 @@ def n_words(text: Column) -> Column:
 
 
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[int]:
-    """Upper bounds, ascending, of the buckets with the least padding in total. lengths: ascending, all different."""
+    """Upper bounds, ascending, of the buckets with the least padding in total. lengths: ascending, all different.
+
+    A bucket of lengths[i:j] pads lengths[j - 1] * (rows[j] - rows[i]) - (tokens[j] - tokens[i]). For each i that is a line
+    in lengths[j - 1] with slope -rows[i], so the best i for every j comes from a hull of lines whose slopes fall and whose
+    queries rise.
+    """
     n = len(lengths)
     if n == 0:
         return []
-    k = min(n_buckets, n)
-    rows = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-    tokens = np.concatenate([[0], np.cumsum(counts * lengths)]).astype(np.int64)
-    # cost of bins i..j-1 in one bucket: lengths[j-1] * rows - tokens; best[j] is the least for the first j bins
-    best = lengths[np.arange(n)] * rows[1:] - tokens[1:]
-    best = np.concatenate([[0], best])
+    length = [int(x) for x in lengths]
+    rows, tokens = [0], [0]
+    for x, c in zip(length, counts.tolist(), strict=True):
+        rows.append(rows[-1] + c)
+        tokens.append(tokens[-1] + c * x)
+    best: list[int | None] = [0] + [None] * n  # least padding of the first j lengths in as many buckets as rounds so far
     cuts = []
-    for _ in range(1, k):
-        new, cut = best.copy(), np.zeros(n + 1, np.int64)
+    for _ in range(min(n_buckets, n)):
+        hull: list[tuple[int, int, int]] = []  # slope, height, i
+        at, cut = 0, [0] * (n + 1)
+        new: list[int | None] = [0] + [None] * n
         for j in range(1, n + 1):
-            i = np.arange(j)
-            cost = best[:j] + lengths[j - 1] * (rows[j] - rows[i]) - (tokens[j] - tokens[i])
-            cut[j] = int(np.argmin(cost))
-            new[j] = cost[cut[j]]
+            i = j - 1
+            if best[i] is not None:
+                line = (-rows[i], best[i] + tokens[i], i)
+                while len(hull) > 1 and crosses_first(hull[-2], hull[-1], line):
+                    hull.pop()
+                hull.append(line)
+                at = min(at, len(hull) - 1)
+            if not hull:
+                continue
+            x = length[j - 1]
+            while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] <= hull[at][0] * x + hull[at][1]:
+                at += 1
+            new[j] = hull[at][0] * x + hull[at][1] + x * rows[j] - tokens[j]
+            cut[j] = hull[at][2]
         cuts.append(cut)
         best = new
     bounds, j = [], n
     for cut in reversed(cuts):
-        bounds.append(int(lengths[j - 1]))
-        j = int(cut[j])
+        bounds.append(length[j - 1])
+        j = cut[j]
         if j == 0:
             break
-    if j:
-        bounds.append(int(lengths[j - 1]))
-    return sorted(set(bounds))
-
-
-def histogram(lengths: DataFrame, max_bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """(longest length of each bin, rows in it), ascending; no more than max_bins bins."""
-    by = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-    keep = 63
-    while True:
-        # the `keep` leading bits of a length name its bin
-        drop = F.greatest(F.lit(0), F.ceil(F.log2(F.col("length") + F.lit(1))).cast("int") - keep)
-        bins = by.groupBy(drop.alias("dropped"), F.call_function("shiftright", F.col("length"), drop).alias("lead"))
-        got = bins.agg(F.max("length").alias("longest"), F.sum("n").alias("n")).select("longest", "n").limit(max_bins + 1).toPandas()
-        if len(got) <= max_bins:
-            got = got.sort_values("longest")
-            return got["longest"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
-        keep = 10 if keep == 63 else keep - 1
+    return sorted(bounds)
+
+
+def crosses_first(a: tuple, b: tuple, c: tuple) -> bool:
+    """Whether c is below a before b is: then b is never the lowest. Slopes fall from a to c."""
+    return (c[1] - a[1]) * (a[0] - b[0]) <= (b[1] - a[1]) * (a[0] - c[0])
+
+
+def histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All different lengths, ascending, and how many rows have each."""
+    got = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("length")
+    return got["length"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
 
 
 def pack(
-    docs: DataFrame, length: Column, key: str = "doc_id", n_buckets: int = 16, token_budget: int = 65536, max_bins: int = 2048, shard_rows: int = 20000
+    docs: DataFrame, length: Column, key: str = "doc_id", n_buckets: int = 16, token_budget: int = 65536, shard_rows: int = 20000
 ) -> DataFrame:
     """key, length, bucket, padded_length, batch_id ("bucket:number"), slot, padding."""
     lengths = written(docs.select(F.col(key).alias("key"), length.cast("bigint").alias("length")), "lengths")
-    longest, counts = histogram(lengths, max_bins)
-    bounds = optimal_bounds(longest, counts, n_buckets) or [0]
+    different, counts = histogram(lengths)
+    bounds = optimal_bounds(different, counts, n_buckets) or [0]
     shards = max(1, int(counts.sum()) // shard_rows)
     edge = [F.when(F.col("length") <= b, F.lit(i)) for i, b in enumerate(bounds)]
     placed = lengths.withColumn("bucket", F.coalesce(*edge)).withColumn("padded", F.greatest(F.lit(1), F.element_at(F.array(*map(F.lit, bounds)), F.col("bucket") + 1)).cast("bigint"))
