@@ -8,11 +8,18 @@ shingles of either; 0.8 or more makes a link. Texts of at most `SHORT` shingles
 for one shingle in either, so that at 0.8 none of their links depends on the sketches.
 
 Texts with equal words are one representative from the start. A bucket holds the texts that share a sketch entry. First, in
-at most `rounds` rounds, texts are paired with the bucket's leader alone, the least in one of `N_ORDERS` random orders that
-change from sketch to sketch and from round to round; linked texts stay and may lead. These rounds only save work: they join
-families at a cost that grows with the texts, and end as soon as few pairs are left. Then every pair that shares a bucket, is not yet in one class and was not yet
-aligned is aligned, unless their numbers of shingles alone rule a link out. So two texts of different classes share no bucket,
-or are sure to be under the threshold. Classes are the connected components of the links, found by alternating star contraction.
+at most `rounds` rounds, texts are paired with the bucket's leader alone: in the first round the text whose entries are the most
+popular, which is the original of a family if it is there, later the least in one of `N_ORDERS` random orders that
+change from sketch to sketch and from round to round. Linked texts stay and may lead. These rounds only save work: they join
+families at a cost that grows with the texts, and end as soon as few pairs are left.
+
+Then no link within a bucket is left out. In a bucket where at most `FEW` texts are outside its largest class, these are aligned
+with all texts of other classes. Texts of all other buckets make the hot set, and all links within it are found by prefixes: their
+shingles are ordered by how many texts of the set have them, rarest first, and two texts of sizes a and b that agree in m or
+more shingles share one of the first a - m + 1 and b - m + 1. Entries of prefixes are keyed by shingle and by both sizes' classes (3 % wide), so
+that a prefix is no longer than that partner needs; keys that only one class has are done. Copies edited at different places share
+their common shingles alone, which stand behind their own rare ones and so outside the prefixes: they are no pairs.
+Classes are the connected components of the links, found by alternating star contraction.
 
 Defined results: a text without words (null, empty or blank) is alone in its class. A text of fewer than k words has one
 shingle, all its words. Rows that repeat an id are documents of their own, told apart by their texts' hashes; the class
@@ -34,6 +41,8 @@ from .common import cut, forget, written
 
 U = np.uint64
 N_ORDERS = 3
+FEW = 16
+STEP = 1.03
 #: Texts of so many shingles at most have entries of their own: two of them that agree in 0.8 are the same but for one shingle in either.
 SHORT = 9
 
@@ -115,10 +124,6 @@ def alignment(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     return m / (na + nb - m)
 
 
-def words_of(text: str) -> np.ndarray:
-    return windows.word_units(pa.array([text]))[0]
-
-
 def sketches(docs: DataFrame, k: int, n_sketches: int, ell: int) -> DataFrame:
     """docs: key, text. key, two hashes of all words (null without words), number of shingles, entries."""
 
@@ -144,27 +149,31 @@ def sketches(docs: DataFrame, k: int, n_sketches: int, ell: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(task, "key bigint, w1 bigint, w2 bigint, size int, entries array<bigint>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """pairs: a, b. Those whose texts (key, text) are similar, with the similarity."""
+def shingled(docs: DataFrame, k: int) -> DataFrame:
+    """docs: key, text. key, and the labelled shingles in order, 8 bytes each."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut(batches, 1):
+            values, at = windows.word_units(b.column(1))
+            own = [shingles(values[x:y], k).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["key", "seq"])
+
+    return docs.select("key", "text").mapInArrow(task, "key bigint, seq binary")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """pairs: a, b. Those whose shingles (key, seq) are similar, with the similarity."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
-        for b in batches:
-            a, c, s = [], [], []
-            ta, tc = b.column(2), b.column(3)
-            for i, (x, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                if x != last:
-                    last, own = x, shingles(words_of(ta[i].as_py()), k)
-                similarity = alignment(own, shingles(words_of(tc[i].as_py()), k), threshold)
-                if similarity >= threshold:
-                    a.append(x)
-                    c.append(y)
-                    s.append(similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
-
-    right = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    both = right.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(task, "a bigint, b bigint, similarity double")
+        for b in cut(batches, 2, 4 << 20):
+            x, y = (b.column(i).to_numpy() for i in (0, 1))
+            s = np.array([alignment(np.frombuffer(p.as_buffer(), U), np.frombuffer(q.as_buffer(), U), threshold) for p, q in zip(b.column(2), b.column(3), strict=True)])
+            yes = s >= threshold
+            yield pa.RecordBatch.from_arrays([pa.array(x[yes]), pa.array(y[yes]), pa.array(s[yes])], ["a", "b", "similarity"])
+
+    right = pairs.join(texts.select(F.col("key").alias("b"), F.col("seq").alias("seq_b")), "b")
+    both = right.join(texts.select(F.col("key").alias("a"), F.col("seq").alias("seq_a")), "a")
+    return both.select("a", "b", "seq_a", "seq_b").mapInArrow(task, "a bigint, b bigint, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -205,74 +214,141 @@ def crossing(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return out
 
 
-def at_most(crossed: DataFrame) -> int:
-    """No fewer than the pairs that crossing_pairs can join."""
-    counts = crossed.groupBy("entry", "label").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    by = counts.groupBy("entry").agg(F.sum("c").alias("all"), F.max("c").alias("most"))
-    return int(by.agg(F.sum(F.col("all") * (F.col("all") - F.col("most")))).first()[0] or 0)
+def outside(crossed: DataFrame) -> DataFrame:
+    """entry, largest (the class with the most texts of the bucket), n (texts of others), of (all texts)."""
+    counts = crossed.groupBy("entry", "label").agg(F.count(F.lit(1)).alias("c"))
+    by = counts.groupBy("entry").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("of"))
+    return by.select("entry", F.col("top.label").alias("largest"), (F.col("of") - F.col("top.c")).alias("n"), "of")
 
 
-def crossing_pairs(crossed: DataFrame, threshold: float) -> DataFrame:
-    """a, b: all pairs of different classes that share a bucket and can be similar.
+def crossing_pairs(crossed: DataFrame, largest: DataFrame, threshold: float) -> DataFrame:
+    """a, b: all pairs of different classes that share one of the buckets of `largest` and can be similar.
 
-    Of a bucket's largest class no two texts are ever joined with one another: the others are joined with all.
+    Of a bucket's largest class no two texts are ever joined with one another: the others, few, are joined with all.
     """
-    counts = crossed.groupBy("entry", "label").agg(F.count(F.lit(1)).alias("c"))
-    largest = counts.groupBy("entry").agg(F.max(F.struct("c", "label"))["label"].alias("largest"))
-    own = written(crossed.join(written(largest, "largest"), "entry"), "ranked")
+    own = written(crossed.join(largest, "entry"), "ranked")
     x = own.where("label <> largest").select("entry", F.col("rep").alias("x"), F.col("size").alias("x_size"), F.col("label").alias("x_label"))
     y = own.select("entry", F.col("rep").alias("y"), F.col("size").alias("y_size"), F.col("label").alias("y_label"), (F.col("label") == F.col("largest")).alias("in_largest"))
     both = x.join(y, "entry").where((F.col("x_label") != F.col("y_label")) & (F.col("in_largest") | (F.col("x") < F.col("y"))) & possible(F.col("x_size"), F.col("y_size"), threshold))
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def prefix_pairs(hot: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """hot: rep, size, label (unique reps). a, b: all pairs of different classes whose prefixes leave room for `threshold`."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut(batches, 3):
+            seqs = [np.frombuffer(q.as_buffer(), np.int64) for q in b.column(3)]
+            at = np.repeat(np.arange(len(seqs)), [len(q) for q in seqs])
+            cols = [b.column(i).take(pa.array(at)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(seqs) if seqs else np.zeros(0, np.int64))], ["rep", "size", "label", "shingle"])
+
+    own = hot.join(texts, F.col("rep") == F.col("key")).select("rep", "size", "label", "seq")
+    rows = written(own.mapInArrow(task, "rep bigint, size int, label bigint, shingle bigint"), "shingles")
+    common = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("df > 1"), "common")
+    kept = rows.join(common, "shingle").groupBy("rep", "size", "label")
+    ranked = kept.agg(F.array_sort(F.collect_list(F.struct("df", "shingle", (F.col("lo") != F.col("hi")).alias("mixed")))).alias("s"))
+    # shingles that no other text has come first, and need no entry
+    each = ranked.withColumn("own", F.col("size") - F.size("s")).select("rep", "size", "label", "own", F.posexplode("s").alias("i", "s"))
+    each = each.select("rep", "size", "label", "s.shingle", "s.mixed", (F.col("own") + F.col("i")).alias("pos"))
+    size = F.col("size")
+    class_of = lambda x: F.floor(F.log(F.lit(STEP), x)).cast("int")
+    first = each.where(F.col("mixed") & (F.col("pos") <= size - F.ceil(threshold * size - F.lit(1e-9))))
+    wide = first.withColumn("c", class_of(F.greatest(size, F.lit(1)).cast("double")))
+    wide = wide.withColumn("d", F.explode(F.sequence(class_of(F.greatest(F.lit(1.0), threshold * size)) - 1, class_of(size / threshold) + 1)))
+    smallest = F.greatest(F.lit(1.0), F.floor(F.pow(F.lit(STEP), F.col("d"))) - 1)
+    least = F.ceil(threshold * (size + smallest) / (1 + threshold) - F.lit(1e-9))
+    wide = wide.where(F.col("pos") <= size - least).select("shingle", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "c", "rep", "size", "label", "pos")
+    entries = written(wide, "prefixes")
+    keys = ["shingle", "lo", "hi"]
+    mixed = written(entries.groupBy(*keys).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(*keys), "mixed")
+    open_ = written(entries.join(mixed, keys), "open")
+    for used in (rows, common, entries, mixed):
+        forget(used)
+    a, b = (open_.select(*keys, *[F.col(x).alias(f"{side}_{x}") for x in ("c", "rep", "size", "label", "pos")]) for side in "ab")
+    both = a.join(b, keys).where(
+        (F.col("a_c") == F.col("lo")) & (F.col("b_c") == F.col("hi")) & ((F.col("lo") < F.col("hi")) | (F.col("a_rep") < F.col("b_rep"))) & (F.col("a_label") != F.col("b_label"))
+    )
+    needed = F.ceil(threshold * (F.col("a_size") + F.col("b_size")) / (1 + threshold) - F.lit(1e-9))
+    both = both.where(possible(F.col("a_size"), F.col("b_size"), threshold) & (F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos")) >= needed))
+    return both.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """left joined with right, which has a row for each key at most. Keys that have over a thousandth of left's rows, and so
+
+    at most 1000 of them, are broadcast; all others have few rows each.
+    """
+    limit = left.count() / 1000
+    often = left.groupBy(*on).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > limit).select(*on)
+    heavy = written(right.join(F.broadcast(often), on), "heavy")
+    light = left.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(right, on)
+    return light.unionByName(left.join(F.broadcast(heavy), on))
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, n_sketches: int = 32, ell: int = 5, rounds: int = 4) -> DataFrame:
     """id, class_id, n_links (links of the text's representative that were found), kept (first of its class)."""
     own = windows.keyed(docs, key, text)
     marks = written(sketches(own, k, n_sketches, ell), "sketches")
-    # a table of its own, so that Spark can split the join where one text has very many copies
     texts_of = written(marks.where("w1 is not null").groupBy("w1", "w2").agg(F.min("key").alias("rep")), "texts_of")
-    members = written(marks.select("key", "w1", "w2").join(texts_of, ["w1", "w2"]).select("key", "rep"), "members")
-    reps = marks.join(members.where("key = rep").select("key"), "key").select(F.col("key").alias("rep"), "size", F.posexplode("entries").alias("band", "entry"))
+    reps = marks.join(texts_of.select("rep"), F.col("key") == F.col("rep")).select("rep", "size", F.posexplode("entries").alias("band", "entry"))
     entries = written(reps.select("rep", "size", "entry", F.pmod("band", F.lit(N_ORDERS)).alias("order")), "entries")
-    shared = written(entries.groupBy("entry").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("entry"), "often")
-    todo = written(entries.join(shared, "entry").withColumn("label", F.col("rep")), "shared")
-    texts = written(own.join(todo.select(F.col("rep").alias("key")).distinct(), "key").select("key", "text"), "texts")
+    shared = written(entries.groupBy("entry").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")
+    todo = entries.join(shared, "entry")
+    fame = todo.groupBy("rep").agg(F.sum("c").alias("fame"))
+    todo = written(todo.drop("c").join(fame, "rep").withColumn("label", F.col("rep")), "shared")
+    forget(entries)
+    forget(shared)
+    texts = written(shingled(own.join(todo.select(F.col("rep").alias("key")).distinct(), "key"), k), "texts")
     links, tried, labels, n_entries = None, None, None, todo.count()
     for turn in range(rounds + 1):
-        whole = turn == rounds or (turn > 0 and at_most(todo) <= 4 * n_entries)
-        if not whole:
-            by = F.struct(F.xxhash64("rep", "order", F.lit(turn)).alias("x"), F.col("rep").alias("leader"), F.col("size").alias("leader_size"), F.col("label").alias("leader_label"))
+        buckets = None
+        if turn > 0:
+            buckets = written(outside(todo), "buckets")
+            pairs_left = buckets.agg(F.sum(F.col("n").cast("double") * F.col("of"))).first()[0] or 0
+        last = turn == rounds or (turn > 0 and pairs_left <= 4 * n_entries)
+        if not last:
+            order = -F.col("fame") if turn == 0 else F.xxhash64("rep", "order", F.lit(turn))
+            by = F.struct(order.alias("x"), F.col("rep").alias("leader"), F.col("size").alias("leader_size"), F.col("label").alias("leader_label"))
             leaders = written(todo.groupBy("entry").agg(F.min(by).alias("by")).select("entry", "by.leader", "by.leader_size", "by.leader_label"), "leaders")
             pairs = todo.join(leaders, "entry").where((F.col("label") != F.col("leader_label")) & possible(F.col("size"), F.col("leader_size"), threshold))
             pairs = pairs.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
         else:
-            pairs = crossing_pairs(todo, threshold)
+            pairs = crossing_pairs(todo, buckets.where(F.col("n") <= FEW).select("entry", "largest"), threshold)
+            hot = written(todo.join(buckets.where(F.col("n") > FEW).select("entry"), "entry", "left_semi").select("rep", "size", "label").distinct(), "hot")
+            if not hot.isEmpty():
+                pairs = pairs.unionByName(prefix_pairs(hot, texts, threshold)).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new = written(verified(pairs, texts, k, threshold), "links")
+        new = written(verified(pairs, texts, threshold), "links")
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             labels = written(components(links), "labels")
-            if not whole:
-                todo = crossing(todo, labels)
-        if whole:
+        if last:
             break
+        if labels is not None:
+            todo = crossing(todo, labels)
     forget(texts)
+    by_text = texts_of.withColumnsRenamed({"rep": "node"})
     if links is None:
-        named = members.select("key", F.col("rep").alias("label"), F.lit(0).cast("bigint").alias("n_links"))
+        by_text = by_text.select("w1", "w2", F.col("node").alias("label"), F.lit(0).cast("bigint").alias("n_links"))
     else:
-        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-        named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-        named = named.select("key", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = own.select("key", "id").join(named, "key", "left").select(
-        "key", "id", F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")
-    )
-    firsts = own.select(F.col("key").alias("label"), F.col("id").alias("class_id"))
-    out = out.join(firsts, "label")
-    return out.select(F.col("id").alias(key), "class_id", "n_links", (F.col("key") == F.col("label")).alias("kept"))
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+        by_text = by_text.join(labels, "node", "left").join(degree, "node", "left")
+        by_text = by_text.select("w1", "w2", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    by_text = written(by_text, "classes")
+    kind = docs.schema[key].dataType.simpleString()
+    worded = spread_join(marks.where("w1 is not null").select("key", "w1", "w2"), by_text, ["w1", "w2"]).select("key", "label", "n_links")
+    named = worded.unionByName(marks.where("w1 is null").select("key", F.col("key").alias("label"), F.lit(0).cast("bigint").alias("n_links")))
+    if not hasattr(own, "_quantloom_path"):  # the keys are the ids
+        out = named.select(F.col("key").cast(kind).alias("id"), F.col("label").cast(kind).alias("class_id"), "n_links", (F.col("key") == F.col("label")).alias("kept"))
+    else:
+        named = written(named, "named")
+        firsts = own.select(F.col("key").alias("label"), F.col("id").alias("class_id"))
+        out = spread_join(named, firsts, ["label"]).join(own.select("key", "id"), "key").select("id", "class_id", "n_links", (F.col("key") == F.col("label")).alias("kept"))
+    return out.withColumnRenamed("id", key)
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
