@@ -66,7 +66,7 @@ PAGES = "page_id bigint, url string, html string, key string"
 def test_archive_round_trip(spark):
     data = [(1, "http://a", "<p>é</p>", "x"), (2, None, None, "x"), (3, "http://b", "<p>é</p>", "x"), (4, "u", "", "x"), (5, "a b\r\nc", "WARC/1.1\r\n\r\n fake \x1f\x8b\x08", "x"), (None, "n", "null id", "x"), (3, "http://b", "<p>é</p>", "x")]
     path = fresh_path(spark, "t")
-    warc.write_archive(spark.createDataFrame(data, PAGES).repartition(2), path, records_per_file=2)
+    warc.write_archive(spark.createDataFrame(data, PAGES).repartition(2), path, file_bytes=2100)
     records, gaps = warc.read_archive(spark, path)
     got = sorted(((r["page_id"] or 0, r["record_type"], r["payload_bytes"], r["refers_to"] or 0) for r in records.collect()))
     assert got == [(0, "response", 7, 0), (1, "revisit", 9, 3), (2, "revisit", 0, 4), (3, "response", 9, 0), (3, "response", 9, 0), (4, "response", 0, 0), (5, "response", 22, 0)]
@@ -107,6 +107,45 @@ def test_salvage_goes_on_behind_damage():
         assert {0, 4} <= set(ids(bytes(data)))
 
 
+def test_salvage_of_foreign_and_odd_archives():
+    ids = lambda data: [f.get("warc-record-id") for f, _ in warc.salvage(data)[0]]
+    bomb = b"\x1f\x8b\x08 and \x1f\x8b\x08\x00 \r\nWARC/1.1\r\n\r\n"
+    plain = [warc.record(i, f"http://x/{i}", bomb if i == 1 else b"text %d" % i, False, None) for i in range(4)]
+    assert len(ids(b"".join(plain))) == 4 and warc.salvage(b"".join(plain))[1] == []
+    head = "WARC/1.0\r\nWARC-Type: {t}\r\nWARC-Record-ID: <urn:uuid:0f3a-{n}>\r\n{more}Content-Length: {n}\r\n\r\n"
+
+    def foreign(kind, body, more=""):
+        return head.format(t=kind, n=len(body), more=more).encode() + body + b"\r\n\r\n"
+
+    untyped = foreign("x", b"ab").replace(b"WARC-Type: x\r\n", b"")
+    wrong = foreign("resource", b"abc", "WARC-Payload-Digest: sha1:AAAA\r\n")
+    data = foreign("warcinfo", b"software: x") + untyped + foreign("revisit", b"") + wrong + warc.member(foreign("resource", b"abcd")) + plain[0]
+    found, gaps = warc.salvage(data)
+    rows = [warc.page_row(*x) for x in found]
+    assert [(r[0], r[1], r[2]) for r in rows] == [(None, "warcinfo", 11), (None, "revisit", 0), (None, "resource", 4), (0, "response", 6)]
+    assert [r[6] for r in rows[:3]] == ["<urn:uuid:0f3a-11>", "<urn:uuid:0f3a-0>", "<urn:uuid:0f3a-4>"]
+    assert [g[2] for g in gaps] == ["no type", "wrong payload digest"]
+    assert sum(b - a for a, b, _ in gaps) == len(untyped) + len(wrong)
+    assert warc.salvage(b"no archive at all " * 9)[0] == []
+
+
+def test_gaps_are_kept_as_a_table(spark):
+    path = fresh_path(spark, "t")
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 40, "x") for i in range(6)], PAGES).repartition(1)
+    warc.write_archive(pages, path)
+    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    local = files[0].removeprefix("file:")
+    data = bytearray(open(local, "rb").read())
+    data[60] ^= 0x55  # in the first record
+    open(local, "wb").write(data)
+    import os
+
+    os.remove(os.path.join(os.path.dirname(local), f".{os.path.basename(local)}.crc"))
+    records, gaps = warc.read_archive(spark, path)
+    got, lost = records.collect(), gaps.collect()
+    assert 4 <= len(got) < 6 and len(lost) >= 1 and all(0 <= g["start"] < g["stop"] <= len(data) and g["file"] == files[0] for g in lost)
+
+
 def test_pipeline_is_its_operators_one_after_the_other(spark, sf):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality_classifier", "quality_rules", "near_duplicates", "repeated_passages", "packing"]

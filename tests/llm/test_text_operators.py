@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -315,10 +316,23 @@ def test_packing_is_optimal_and_fits(docs, awkward, empty):
     assert packing.pack(empty, packing.n_words(F.col("text"))).count() == 0
 
 
-def test_histogram_is_bounded(spark):
-    df = spark.range(1, 5000).select(F.col("id").alias("length"))
-    longest, counts = packing.histogram(df, 256)
-    assert len(longest) <= 256 and counts.sum() == 4999 and longest[-1] == 4999
+def test_packing_is_optimal_over_thousands_of_lengths(spark):
+    import numpy as np
+
+    df = spark.range(1, 5000).select((F.col("id") * F.col("id") % 9973).alias("length"))
+    lengths, counts = packing.histogram(df)
+    assert counts.sum() == 4999 and len(lengths) > 2048 and (np.diff(lengths) > 0).all()
+    bounds = packing.optimal_bounds(lengths, counts, 6)
+    rows, tokens = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(counts * lengths))
+    best = np.append(0, np.full(len(lengths), 1 << 60))
+    for _ in range(6):  # the plain quadratic program
+        new = best.copy()
+        for j in range(1, len(best)):
+            new[j] = min(best[j], (best[:j] + lengths[j - 1] * (rows[j] - rows[:j]) - (tokens[j] - tokens[:j])).min())
+        best = new
+    bound_of = np.array(bounds)[np.searchsorted(bounds, lengths)]
+    assert ((bound_of - lengths) * counts).sum() == best[-1]
+    assert packing.optimal_bounds(np.array([5]), np.array([2]), 4) == [5]
 
 
 def test_segmentations(docs, awkward, empty):
@@ -345,6 +359,60 @@ def test_segmentations(docs, awkward, empty):
     assert pieces.sampled(empty, path).count() == 0
 
 
+def every_path(lat, state):
+    """All paths through one lattice, with their log probabilities."""
+    _, then, piece, share = lat.flat
+    stack = [(state, (), 0.0)]
+    while stack:
+        s, ids, p = stack.pop()
+        if s < 0:
+            yield ids, p
+            continue
+        for e in range(int(lat.first[s]), int(lat.first[s + 1])):
+            stack.append((int(then[e]), (*ids, int(piece[e])), p + math.log(share[e])))
+
+
+def test_segmentation_beside_those_taken():
+    """The walk that avoids taken paths has the odds of the others, and ends when there are none."""
+    import numpy as np
+
+    lat = pieces.Lattices(tokens.tokenizer_path("piece_bpe_32k.model"), 0.4)
+    state = int(lat.prepare([pieces.normal("that")])[0])
+    paths = dict(every_path(lat, state))
+    likely = sorted(paths, key=paths.get, reverse=True)
+    for n in (1, 3, len(paths) - 2):
+        taken = likely[:n]
+        rest = {p: math.exp(paths[p]) for p in paths if p not in taken}
+        got = collections.Counter(pieces.walk_beside(lat, state, taken, s * 7919)[0] for s in range(3000))
+        assert set(got) <= set(rest)
+        for p in sorted(rest, key=rest.get, reverse=True)[:3]:
+            assert got[p] / 3000 == pytest.approx(rest[p] / sum(rest.values()), abs=0.04)
+    assert pieces.walk_beside(lat, state, likely, 1) is None
+    assert np.isclose(sum(lat.weight(state, p) for p in paths), 1)
+    lat.done()
+
+
+def test_the_librarys_own_segmentation_is_in_the_lattice():
+    path = tokens.tokenizer_path("piece_bpe_32k.model")
+    lat = pieces.Lattices(path, 0.4)
+    for text in ("if x:\n    return  1", "a   b", "   lead", "trail   ", "naïve 中文 \t x", "\n\n  \n"):
+        found = pieces.STRETCHES.findall(pieces.normal(text))
+        assert "".join(found) == pieces.normal(text)
+        ways = [[list(lat.expanded(np_ids(p))) for p, _ in every_path(lat, int(s))] for s in lat.prepare(found)]
+        left = [[]]
+        want = lat.model.encode(text)
+        for w in ways:
+            left = [[*a, *b] for a in left for b in w if want[len(a) : len(a) + len(b)] == b]
+        assert want in left, text
+    lat.done()
+
+
+def np_ids(ids):
+    import numpy as np
+
+    return np.array(ids, np.int32)
+
+
 def test_segmentation_frequencies_without_replacement():
     import itertools
 
@@ -353,7 +421,7 @@ def test_segmentation_frequencies_without_replacement():
     lat = pieces.Lattices(tokens.tokenizer_path("piece_bpe_32k.model"), 0.4)
     text, n = "of th", 5000
     stretches = pieces.STRETCHES.findall(pieces.normal(text))
-    paths = [list(pieces.every_path(lat, int(s))) for s in lat.prepare(stretches)]
+    paths = [list(every_path(lat, int(s))) for s in lat.prepare(stretches)]
     lat.done()
     p = {sum((x[0] for x in c), ()): float(np.exp(sum(x[1] for x in c))) for c in itertools.product(*paths)}
     assert sum(p.values()) == pytest.approx(1)
