@@ -137,7 +137,7 @@ def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[: len(keys) - (width - have)], keys[width - have :]) if width > have else keys
 
 
-def anchors(values: np.ndarray, at: np.ndarray, window: int, gram: int):
+def anchors(values: np.ndarray, at: np.ndarray, window: int, gram: int, with_whole: bool = True):
     """Of each window its anchor: the gram with the least hash inside it, the first of equals.
 
     Equal windows so have equal anchors at equal places. Windows in a row that share an anchor make one group. Returns arrays
@@ -163,6 +163,8 @@ def anchors(values: np.ndarray, at: np.ndarray, window: int, gram: int):
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(valid)))
     start, place = valid[first], place[first]
+    if not with_whole:
+        return start, count, place, hashes[place], None
     whole = Spans(values, 1)(start, start + count - 1 + window)
     whole = mix(whole + (place - start).astype(U) * U(BASES[0]) + count.astype(U))
     return start, count, place, hashes[place], whole

@@ -1,18 +1,21 @@
 """Removal of repeated byte strings by a depth-limited radix sort of suffixes.
 
-Every suffix of every text that is at least `length` bytes long takes part, and is ordered through its first `length`
-bytes only, by passes over digits, most significant first: bytes 0 - 31, then 32 - 95, then the rest. After a pass the
-suffixes of one group agree in all digits so far, and groups of one are done: they take no part in the next. The groups left
-after the last pass are exactly the repeated strings; every byte they cover is removed, strings being judged on the input.
-
-A digit is too wide to have a bucket of its own, so a group is named by a hash of its digits: some 40 bits in the first
-passes, which only let suffixes go on, and 96 bits plus the bucket in the last one, which decides. Inside a pass the order is
+Suffixes of at least `length` bytes are ordered through their first `length` bytes only, by passes over digits, most
+significant first: bytes 0 - 63, then the rest. After a pass the suffixes of one group agree in all digits so far, and
+groups of one are done: they take no part in the next. The groups left after the last pass are exactly the repeated strings;
+every byte they cover is removed, strings being judged on the input. All suffixes start in a cheaper pass that only drops: of every
+string of `length` bytes the anchor, a gram of 64 bytes, depends on the string alone, so a suffix whose anchor stands nowhere else
+repeats nothing. Some fifty suffixes share an anchor, and so one name.
+
+A digit is too wide to have a bucket of its own, so a group is named by a hash of its digits: 32 bits and the bucket's number in the
+first pass, which only lets suffixes go on; 64 bits and the bucket's number by an independent hash in the last one, which decides. As the
+number of buckets grows with the input, some 1e-14 pairs a suffix are expected to agree by chance. Inside a pass the order is
 that of these names. A pass runs as a bucket sort on Spark: texts lie in chunks of some MB; a task sorts the suffixes of a chunk
 by name and sends each bucket the names in it, once each, with a bit for "more than once"; the task of a bucket sorts what all
 chunks sent, and answers each of them with one bit a name: does the group have more than one suffix? So the most
 frequent group sends one name a chunk, no text or position is ever shuffled with a suffix, and a bucket is of bounded size: their number
-grows with the input. A pass deals its buckets in as many rounds as keep a round's names within the size of the
-texts. At very large inputs chunks should grow too (64 MB at 100 TB), as a chunk sends a row to every bucket.
+grows with the input. A pass deals the suffixes, by anchor, in as many rounds (8 at most) as keep a round's names within the size of
+the texts. At very large inputs chunks should grow too (64 MB at 100 TB), as a chunk sends a row to every bucket.
 
 Defined results: a null text is empty, and a text shorter than `length` is left whole (n_spans 0, the hash of all its
 bytes). Matches never cross documents. Rows that repeat an id are documents of their own, so repeated long rows remove each
@@ -33,12 +36,14 @@ from . import kernels, windows
 from .common import batches_of, cut, forget, written
 
 U = np.uint64
-DEPTHS = (32, 96)
-CHUNK = 2 << 20
-BUCKET = 16 << 20
-LEAST_ROUND = 64 << 20
+DIGIT = 64
+CHUNK = 1 << 20
+BUCKET = 8 << 20
+CLASSES = 8
 CHUNKS = "keys binary, base binary, size binary, data binary, n_suffixes bigint"
 SENT = "chunk bigint, bucket int, n int, names binary, more binary"
+ANSWER = "chunk bigint, bucket int, n int, bits binary"
+ALIVE = "chunk bigint, keys binary, base binary, size binary, data binary, n_suffixes bigint, alive binary"
 
 
 def chunked(docs: DataFrame, length: int, chunk_bytes: int) -> DataFrame:
@@ -76,66 +81,104 @@ def numbers(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.int64)
 
 
-class Pass:
-    """Names of the suffixes of a chunk through `depth` bytes, in one round of a pass."""
+def ordered(name: np.ndarray, bucket: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of names (by bucket, then name), and where groups of equal ones begin in it.
+
+    Sorting numbers that hold the leading bits and the place is far quicker than sorting places; names that agree in these bits
+    alone show afterwards and are sorted in full.
+    """
+    n = len(name)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = U(int(n).bit_length())
+    bits = 32 if name.dtype == np.uint32 else 64
+    top = name.astype(U) << U(64 - bits)
+    lead = U(0)
+    if bucket is not None:
+        lead = U(int(bucket.max()).bit_length())
+        top = (top >> lead) | (bucket << (U(64) - lead) if lead else U(0))
+    packed = (top >> low << low) | np.arange(n, dtype=U)
+    packed.sort()
+    order = (packed & ((U(1) << low) - U(1))).astype(np.int64)
+    ranked = name[order]
+    new = np.empty(n, bool)
+    new[0], new[1:] = True, ranked[1:] != ranked[:-1]
+    if bucket is not None:
+        new[1:] |= bucket[order[1:]] != bucket[order[:-1]]
+    if bits > 64 - int(low) - int(lead):
+        lost = packed >> low
+        if (new[1:] & (lost[1:] == lost[:-1])).any():
+            order = np.lexsort((name,) if bucket is None else (name, bucket))
+            ranked = name[order]
+            new[1:] = ranked[1:] != ranked[:-1]
+            if bucket is not None:
+                new[1:] |= bucket[order[1:]] != bucket[order[:-1]]
+    return order, np.flatnonzero(new)
+
+
+class AnchorPass:
+    """The pass that only drops: a suffix is named by its anchor, and goes on in the anchor's class."""
+
+    rounds, width = 1, 8
+
+    def __init__(self, length: int, buckets: int):
+        self.length, self.buckets = length, buckets
+
+    def names(self, data: np.ndarray, size: np.ndarray, alive: bytes | None):
+        at = np.append(0, np.cumsum(size))
+        start, n, _, gram, _ = kernels.anchors(kernels.byte_values(0)[data], at, self.length, min(DIGIT, (self.length + 1) // 2), False)
+        gram = gram.astype(U)
+        yield (start, n, gram), gram, ((gram >> U(32)) * U(self.buckets)) >> U(32)
+
+    def go_on(self, alive: np.ndarray, where: tuple, hit: np.ndarray) -> int:
+        start, n, gram = (x[hit] for x in where)
+        own, i = windows.runs_of(n)
+        alive[start[own] + i] = (1 + (gram & U(CLASSES - 1))).astype(np.uint8)[own]
+        return len(own)
+
+
+class DigitPass:
+    """Suffixes named through `depth` bytes, in rounds of whole classes."""
 
     def __init__(self, depth: int, last: bool, rounds: int, buckets: int):
-        self.depth, self.last, self.rounds, self.buckets = depth, last, rounds, buckets
-
-    def starts(self, sizes: np.ndarray, length: int, alive: bytes | None, n: int) -> np.ndarray:
-        if alive is not None:
-            return np.flatnonzero(np.unpackbits(np.frombuffer(alive, np.uint8), count=n))
-        return np.flatnonzero(kernels.starts_inside(np.append(0, np.cumsum(sizes)), length))
-
-    def named(self, data: np.ndarray, at: np.ndarray, turn: int):
-        """Which of `at` fall in this round, and their names: (bucket and 32 bits, nothing), or (64 bits, 32 more)."""
-        name = kernels.Spans(kernels.byte_values(0)[data], 0)(at, at + self.depth)
-        bucket = ((name >> U(32)) * U(self.rounds * self.buckets)) >> U(32)
-        mine = np.flatnonzero((bucket >= turn * self.buckets) & (bucket < (turn + 1) * self.buckets))
-        name, bucket = name[mine], bucket[mine] - U(turn * self.buckets)
-        if not self.last:
-            return mine, bucket << U(32) | (name & U(0xFFFFFFFF)), None, bucket
-        more = kernels.Spans(kernels.byte_values(1)[data], 1)(at[mine], at[mine] + self.depth) >> U(32)
-        return mine, name, more, bucket
-
-    def groups(self, name: np.ndarray, more: np.ndarray | None):
-        """The order of the suffixes, and where groups begin in it."""
-        order, new = sorted_groups(name, more)
-        return order, np.flatnonzero(new)
-
-
-def sorted_groups(name: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(name)
-    ranked = name[order]
-    new = np.append(np.ones(min(1, len(name)), bool), ranked[1:] != ranked[:-1])
-    if more is not None:
-        rest = more[order]
-        differs = np.append(np.zeros(min(1, len(name)), bool), rest[1:] != rest[:-1])
-        if (differs & ~new).any():  # equal in 64 bits, but not in the others
-            order = np.lexsort((more, name))
-            ranked, rest = name[order], more[order]
-            return order, np.append(np.ones(1, bool), (ranked[1:] != ranked[:-1]) | (rest[1:] != rest[:-1]))
-    return order, new
-
-
-def send(chunks: DataFrame, step: Pass, turn: int, length: int) -> DataFrame:
+        self.depth, self.last, self.rounds, self.buckets, self.width = depth, last, rounds, buckets, 8 if last else 4
+
+    def names(self, data: np.ndarray, size: np.ndarray, alive: bytes | None, turn: int | None = None):
+        """For each round, or for one: the places of its suffixes, their names and buckets."""
+        classes = np.frombuffer(alive, np.uint8)
+        own = kernels.Spans(kernels.byte_values(0)[data], 0)
+        other = kernels.Spans(kernels.byte_values(1)[data], 1) if self.last else None
+        step = CLASSES // self.rounds
+        for t in range(self.rounds) if turn is None else (turn,):
+            at = np.flatnonzero((classes > t * step) & (classes <= (t + 1) * step))
+            name = own(at, at + self.depth)
+            deal = other(at, at + self.depth) if self.last else name
+            bucket = ((deal >> U(32)) * U(self.buckets)) >> U(32)
+            yield at, name if self.last else (name & U(0xFFFFFFFF)).astype(np.uint32), bucket
+
+    def go_on(self, alive: np.ndarray, where: np.ndarray, hit: np.ndarray) -> int:
+        """The classes of those that are hit stay."""
+        gone = where[~hit]
+        alive[gone] = 0
+        return len(where) - len(gone)
+
+
+def send(chunks: DataFrame, step, turn: int) -> DataFrame:
     """What the chunks (chunk, size, data, alive) send to the buckets of one round."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, size, raw, alive in zip(*(b.column(i) for i in range(4)), strict=True):
-                data = np.frombuffer(raw.as_buffer(), np.uint8)
-                at = step.starts(numbers(size.as_py()), length, alive.as_py(), len(data))
-                _, name, more, bucket = step.named(data, at, turn)
-                order, first = step.groups(name, more)
+                data, size, alive = np.frombuffer(raw.as_buffer(), np.uint8), numbers(size.as_py()), alive.as_py()
+                _, name, bucket = next(iter(step.names(data, size, alive) if step.rounds == 1 else step.names(data, size, alive, turn)))
+                order, first = ordered(name, bucket)
                 many = np.diff(np.append(first, len(order))) > 1
                 name, bucket = name[order[first]], bucket[order[first]]
                 edges = np.searchsorted(bucket, np.arange(step.buckets + 1, dtype=U))
                 rows = []
                 for j in np.flatnonzero(np.diff(edges)).tolist():
                     part = slice(int(edges[j]), int(edges[j + 1]))
-                    own = (name[part] & U(0xFFFFFFFF)).astype(np.uint32).tobytes() if more is None else name[part].tobytes() + more[order[first[part]]].astype(np.uint32).tobytes()
-                    rows.append((j, part.stop - part.start, own, np.packbits(many[part]).tobytes()))
+                    rows.append((j, part.stop - part.start, name[part].tobytes(), np.packbits(many[part]).tobytes()))
                 if rows:
                     cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()] * len(rows), pa.int64()), *cols], ["chunk", "bucket", "n", "names", "more"])
@@ -143,21 +186,16 @@ def send(chunks: DataFrame, step: Pass, turn: int, length: int) -> DataFrame:
     return chunks.select("chunk", "size", "data", "alive").mapInArrow(task, SENT)
 
 
-def answer(last: bool):
+def answer(width: int):
     """For the rows of a bucket: a bit for each name, whether its group has more than one suffix."""
+    kind = U if width == 8 else np.uint32
 
     def task(table: pa.Table) -> pa.Table:
         n = table.column("n").to_numpy()
-        raw = [x.as_buffer() for x in table.column("names")]
-        weight = 1 + np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=k) for x, k in zip(table.column("more"), n.tolist(), strict=True)]).astype(np.int64)
-        if last:
-            name = np.concatenate([np.frombuffer(x, U, count=k) for x, k in zip(raw, n.tolist(), strict=True)])
-            more = np.concatenate([np.frombuffer(x, np.uint32, offset=8 * k) for x, k in zip(raw, n.tolist(), strict=True)])
-        else:
-            name, more = np.concatenate([np.frombuffer(x, np.uint32) for x in raw]), None
-        order, new = sorted_groups(name, more)
-        first = np.flatnonzero(new)
-        found = np.add.reduceat(weight[order], first) > 1
+        name = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column("names")])
+        weight = 1 + np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=k) for x, k in zip(table.column("more"), n.tolist(), strict=True)])
+        order, first = ordered(name)
+        found = np.add.reduceat(weight[order], first, dtype=np.int64) > 1
         hit = np.empty(len(name), bool)
         hit[order] = np.repeat(found, np.diff(np.append(first, len(name))))
         edges = np.append(0, np.cumsum(n))
@@ -167,31 +205,29 @@ def answer(last: bool):
     return task
 
 
-def heard(chunks: DataFrame, answers: DataFrame, step: Pass, length: int) -> DataFrame:
+def heard(chunks: DataFrame, answers: DataFrame, step) -> DataFrame:
     """The chunks with the suffixes that go on: those whose group has more than one."""
     each = answers.groupBy("chunk").agg(F.collect_list(F.struct("turn", "bucket", "n", "bits")).alias("told"))
-    both = chunks.drop("n_suffixes").join(each, "chunk")
+    both = chunks.join(each, "chunk")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                data = np.frombuffer(b.column(4)[r].as_buffer(), np.uint8)
-                at = step.starts(numbers(b.column(3)[r].as_py()), length, b.column(5)[r].as_py(), len(data))
+                data, size, before = np.frombuffer(b.column(4)[r].as_buffer(), np.uint8), numbers(b.column(3)[r].as_py()), b.column(5)[r].as_py()
                 told = sorted(((t["turn"], t["bucket"], t["n"], t["bits"]) for t in b.column(6)[r].as_py()), key=lambda t: t[:2])
-                alive, suffixes = np.zeros(len(data), bool), 0
-                for turn in range(step.rounds):
+                alive = np.zeros(len(data), np.uint8) if before is None else np.frombuffer(before, np.uint8).copy()
+                suffixes = 0
+                for turn, (where, name, bucket) in enumerate(step.names(data, size, before)):
                     bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for t, _, n, x in told if t == turn]
-                    if not bits:
-                        continue
-                    mine, name, more, _ = step.named(data, at, turn)
-                    order, first = step.groups(name, more)
-                    hit = np.repeat(np.concatenate(bits) > 0, np.diff(np.append(first, len(order))))
-                    alive[at[mine[order[hit]]]] = True
-                    suffixes += int(hit.sum())
+                    if bits:
+                        order, first = ordered(name, bucket)
+                        hit = np.empty(len(name), bool)
+                        hit[order] = np.repeat(np.concatenate(bits) > 0, np.diff(np.append(first, len(order))))
+                        suffixes += step.go_on(alive, where, hit)
                 if suffixes:
-                    yield pa.RecordBatch.from_arrays([*(c.slice(r, 1) for c in b.columns[:5]), pa.array([suffixes], pa.int64()), pa.array([np.packbits(alive).tobytes()], pa.binary())], ["chunk", "keys", "base", "size", "data", "n_suffixes", "alive"])
+                    yield pa.RecordBatch.from_arrays([*(c.slice(r, 1) for c in b.columns[:5]), pa.array([suffixes], pa.int64()), pa.array([alive.tobytes()], pa.binary())], [x.split()[0] for x in ALIVE.split(", ")])
 
-    return both.select("chunk", "keys", "base", "size", "data", "alive", "told").mapInArrow(task, "chunk bigint, keys binary, base binary, size binary, data binary, n_suffixes bigint, alive binary")
+    return both.select("chunk", "keys", "base", "size", "data", "alive", "told").mapInArrow(task, ALIVE)
 
 
 def runs(chunks: DataFrame) -> DataFrame:
@@ -202,7 +238,7 @@ def runs(chunks: DataFrame) -> DataFrame:
             for keys, base, size, alive in zip(*(b.column(i) for i in range(4)), strict=True):
                 keys, base, size = (numbers(x.as_py()) for x in (keys, base, size))
                 at = np.append(0, np.cumsum(size))
-                on = np.flatnonzero(np.unpackbits(np.frombuffer(alive.as_buffer(), np.uint8), count=int(at[-1])))
+                on = np.flatnonzero(np.frombuffer(alive.as_buffer(), np.uint8))
                 piece = np.searchsorted(at, on, "right") - 1
                 new = np.append(True, (np.diff(on) > 1) | (np.diff(piece) > 0))
                 first = np.flatnonzero(new)
@@ -214,27 +250,29 @@ def runs(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
 
 
-def repeated(docs: DataFrame, length: int, chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET, least_round: int = LEAST_ROUND) -> DataFrame:
+def repeated(docs: DataFrame, length: int, chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET) -> DataFrame:
     """docs: key (unique, not null), text. Returns key, marks: the suffixes left after the last pass."""
     spark = docs.sparkSession
     with batches_of(spark, 4):  # chunks in an Arrow batch
         chunks = chunked(docs, length, chunk_bytes)
         n_bytes = chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
         state = chunks.withColumn("alive", F.lit(None).cast("binary"))
-        for depth in sorted({min(d, length) for d in (*DEPTHS, length)}):
-            last = depth == length
-            names = (state.agg(F.sum("n_suffixes")).first()[0] or 0) * (12 if last else 4)
-            rounds = max(1, -(-names // max(n_bytes, least_round)))
-            step = Pass(depth, last, rounds, max(1, -(-names // (rounds * bucket_bytes))))
-            told = None
-            for turn in range(rounds):
-                sent = send(state, step, turn, length)
-                got = written(sent.groupBy("bucket").applyInArrow(answer(last), "chunk bigint, bucket int, n int, bits binary").withColumn("turn", F.lit(turn)), "answers")
-                told = [got] if told is None else [*told, got]
-            all_told = told[0]
+        for depth in (0, *sorted({min(DIGIT, length), length})):
+            n = state.agg(F.sum("n_suffixes")).first()[0] or 0
+            if depth == 0:
+                step = AnchorPass(length, max(1, n // 20 * 8 // bucket_bytes))  # some twenty suffixes have one anchor at least
+            else:
+                names = n * (8 if depth == length else 4)
+                rounds = next(r for r in (1, 2, 4, 8) if r == CLASSES or names <= r * max(n_bytes, 8 * bucket_bytes))
+                step = DigitPass(depth, depth == length, rounds, max(1, -(-names // (rounds * bucket_bytes))))
+            told = []
+            for turn in range(step.rounds):
+                got = send(state, step, turn).groupBy("bucket").applyInArrow(answer(step.width), ANSWER)
+                told.append(written(got.withColumn("turn", F.lit(turn)), "answers"))
+            every = told[0]
             for t in told[1:]:
-                all_told = all_told.unionByName(t)
-            new = written(heard(state, all_told, step, length), "alive", block=16 << 20)
+                every = every.unionByName(t)
+            new = written(heard(state, every, step), "alive", block=16 << 20)
             for used in (*told, chunks):
                 forget(used)
             chunks = state = new
