@@ -1,14 +1,15 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by the order of `n_pivots` pivots, nearest first. It is posted in the inverted files of its
-`n_files` nearest pivots. A query finds the vectors posted in the files of its own nearest pivots, ranks them by the
-footrule distance of the two orders, and reranks the best `rerank` share of them (and `least` at least) by the exact
-distance. The shares don't depend on the table's size. The pivots are the one thing fitted: `n_pivots` vectors, those with
-the least hashes. A query that finds fewer than k vectors that way is answered by all rows.
+A vector is represented by the order of pivots, nearest first. It is posted in the inverted files of its `n_files` nearest of
+`n_pivots` pivots. A query meets the vectors that stand in `shared` or more of the files of its own nearest pivots, ranks them by the
+footrule distance of the orders of the first `n_ranked` pivots, and reranks the best of them by the exact distance: `extra`, and a
+share `rerank` of all vectors of the block. These don't depend on the table's size. The pivots are the one thing fitted:
+`n_pivots` vectors, those with the least hashes (fewer in smaller tables). A query that finds fewer than k vectors that way is
+answered by all rows.
 
 Equal vectors are one entry of the index, with the k + 1 smallest of their ids: no larger one can be among the k
-nearest of any query. Entries lie in blocks of bounded size, each with its own inverted files, and distinct query vectors
-in blocks of their own; a task holds one of each.
+nearest of any query. Entries lie in blocks of bounded size. The index is a table with a row for each block: its vectors, inverted
+files and orders. Distinct query vectors lie in blocks of their own; a task holds one of each.
 
 Defined results: vectors that are null, zero, or have null, NaN or infinite components take no part, nor do vectors of
 another dimension than the most frequent one (the smaller of several), nor rows with a null id. Rows that repeat an id and a
@@ -29,6 +30,7 @@ from .common import written
 
 BLOCK, QUERY_BLOCK = 16384, 4096
 FOUND = "query_class bigint, distance double, members array<bigint>"
+INDEX = "block int, vectors binary, members array<array<bigint>>, posted binary, starts binary, places binary"
 
 
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -38,41 +40,45 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return kept.where(F.coalesce(fine, F.lit(False)) & F.exists("v", lambda x: x != 0))
 
 
-def orders(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """For each vector the pivots, nearest first; ties to the first pivot."""
-    d = (pivots**2).sum(1)[None] - 2 * vectors @ pivots.T
-    return np.argsort(d, axis=1, kind="stable")
-
-
-def search_block(vectors: np.ndarray, order: np.ndarray, queries: np.ndarray, q_order: np.ndarray, n_files: int, rerank: float, least: int, k: int, files: bool = True):
-    """For each query: rows of the block and their exact distances, k of them or all ties of the k-th too."""
-    n, p = order.shape
-    place = np.empty((n, p), np.int16)
-    np.put_along_axis(place, order, np.arange(p, dtype=np.int16)[None], 1)
-    near = order[:, :n_files]
-    by_pivot = np.argsort(near.ravel(), kind="stable") // near.shape[1]
-    starts = np.searchsorted(np.sort(near.ravel()), np.arange(p + 1))
-    posted = [by_pivot[starts[i] : starts[i + 1]] for i in range(p)]
-    for q, q_near in zip(queries, q_order, strict=True):
-        if files:
-            seen = np.zeros(n, bool)
-            for pivot in q_near[:n_files]:
-                seen[posted[pivot]] = True
-            rows = np.flatnonzero(seen)
-            depth = max(least, int(np.ceil(rerank * len(rows))))
-            if len(rows) > depth:
-                q_place = np.empty(p, np.int16)
-                q_place[q_near] = np.arange(p, dtype=np.int16)
-                foot = np.abs(place[rows] - q_place).sum(1, dtype=np.int64)
-                limit = np.partition(foot, depth - 1)[depth - 1]
-                rows = rows[foot <= limit]  # ties too
-        else:
-            rows = np.arange(n)
-        distance = np.sqrt(((vectors[rows] - q) ** 2).sum(1))
-        if len(rows) > k:
-            keep = distance <= np.partition(distance, k - 1)[k - 1]
-            rows, distance = rows[keep], distance[keep]
-        yield rows, distance
+def distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Squared distances less what is the same for all pivots."""
+    return (pivots**2).sum(1)[None] - 2 * vectors @ pivots.T
+
+
+def files_of(vectors: np.ndarray, pivots: np.ndarray, n_files: int) -> np.ndarray:
+    """The nearest pivots of each vector, as a set: the files that it is posted in."""
+    n_files = min(n_files, len(pivots))
+    return np.argpartition(distances(vectors, pivots), n_files - 1, axis=1)[:, :n_files]
+
+
+def places_of(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Which place each pivot has in a vector's order, nearest first; ties to the first pivot."""
+    order = np.argsort(distances(vectors, pivots), axis=1, kind="stable")
+    place = np.empty(order.shape, np.int16)
+    np.put_along_axis(place, order, np.arange(order.shape[1], dtype=np.int16)[None], 1)
+    return place
+
+
+def inverted(near: np.ndarray, n_pivots: int) -> tuple[np.ndarray, np.ndarray]:
+    """The files one after the other, and where each begins."""
+    by_pivot = np.argsort(near.ravel(), kind="stable")
+    starts = np.searchsorted(near.ravel()[by_pivot], np.arange(n_pivots + 1))
+    return (by_pivot // near.shape[1]).astype(np.int32), starts.astype(np.int64)
+
+
+def met(posted: np.ndarray, starts: np.ndarray, files: np.ndarray, n: int, shared: int) -> np.ndarray:
+    """Rows that stand in `shared` or more of these files."""
+    rows = np.concatenate([posted[starts[f] : starts[f + 1]] for f in files])
+    return np.flatnonzero(np.bincount(rows, minlength=n) >= min(shared, len(files)))
+
+
+def closest(vectors: np.ndarray, rows: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of these rows the k nearest, or all ties of the k-th too, and their exact distances."""
+    distance = np.sqrt(((vectors[rows] - q) ** 2).sum(1))
+    if len(rows) > k:
+        keep = distance <= np.partition(distance, k - 1)[k - 1]
+        rows, distance = rows[keep], distance[keep]
+    return rows, distance
 
 
 def nearest(
@@ -81,10 +87,12 @@ def nearest(
     key: str = "vec_id",
     vector: str = "embedding",
     k: int = 10,
-    n_pivots: int = 128,
-    n_files: int = 16,
-    rerank: float = 0.35,
-    least: int = 1000,
+    n_pivots: int = 2048,
+    n_files: int = 64,
+    shared: int = 4,
+    n_ranked: int = 128,
+    rerank: float = 0.05,
+    extra: int = 100,
 ) -> DataFrame:
     """query_id, rank, vec_id, score. is_query: a condition on column `id`."""
     spark = rows.sparkSession
@@ -102,30 +110,46 @@ def nearest(
     blocks = max(1, -(-n // BLOCK))
     q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    entries = classes.select("v", "members", F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int").alias("block"), numbers(q_blocks).alias("q_block"))
-
-    def sides(q: DataFrame):
-        asks = q.select("cls", "v", F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(q_blocks)).cast("int").alias("q_block"), numbers(blocks).alias("block"))
-        return entries.groupBy("block", "q_block").cogroup(asks.groupBy("block", "q_block"))
-
-    def searched(files: bool):
-        def task(own: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-            if not len(own) or not len(asks):
-                return pd.DataFrame({"query_class": np.zeros(0, np.int64), "distance": np.zeros(0), "members": np.zeros(0, object)})
-            vectors, wanted = np.stack(own["v"].to_numpy()), np.stack(asks["v"].to_numpy())
-            got = search_block(vectors, orders(vectors, pivots), wanted, orders(wanted, pivots), n_files, rerank, least, k + 1, files)
-            members, out = own["members"].to_numpy(), []
-            for cls, (at, distance) in zip(asks["cls"].to_numpy(), got, strict=True):
-                out.append(pd.DataFrame({"query_class": cls, "distance": distance, "members": members[at]}))
+    ranked = pivots[:n_ranked]
+
+    def built(own: pd.DataFrame) -> pd.DataFrame:
+        vectors = np.stack(own["v"].to_numpy())
+        posted, starts = inverted(files_of(vectors, pivots, n_files), len(pivots))
+        raw = [x.tobytes() for x in (vectors, posted, starts, places_of(vectors, ranked))]
+        return pd.DataFrame({"block": [own["block"].iloc[0]], "vectors": [raw[0]], "members": [own["members"].tolist()], "posted": [raw[1]], "starts": [raw[2]], "places": [raw[3]]})
+
+    entries = classes.select("v", "members", F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int").alias("block"))
+    index = written(entries.groupBy("block").applyInPandas(built, INDEX), "index")
+
+    def searched(asks: DataFrame, files: bool) -> DataFrame:
+        def task(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"query_class": np.zeros(0, np.int64), "distance": np.zeros(0), "members": np.zeros(0, object)})]
+            if len(own) and len(asked):
+                block, wanted = own.iloc[0], np.stack(asked["v"].to_numpy())
+                vectors = np.frombuffer(block["vectors"]).reshape(-1, dim)
+                posted, starts = np.frombuffer(block["posted"], np.int32), np.frombuffer(block["starts"], np.int64)
+                places = np.frombuffer(block["places"], np.int16).reshape(len(vectors), -1)
+                members = np.empty(len(vectors), object)
+                members[:] = list(block["members"])
+                depth = extra + int(np.ceil(rerank * len(vectors)))
+                for cls, q, near, place in zip(asked["cls"], wanted, files_of(wanted, pivots, n_files), places_of(wanted, ranked), strict=True):
+                    at = met(posted, starts, near, len(vectors), shared) if files else np.arange(len(vectors))
+                    if files and len(at) > depth:
+                        foot = np.abs(places[at] - place).sum(1, dtype=np.int64)
+                        at = at[foot <= np.partition(foot, depth - 1)[depth - 1]]  # ties too
+                    at, distance = closest(vectors, at, q, k + 1)
+                    out.append(pd.DataFrame({"query_class": cls, "distance": distance, "members": members[at]}))
             return pd.concat(out)
 
-        return task
+        own = index.select("*", numbers(q_blocks).alias("q_block")) if q_blocks > 1 else index.withColumn("q_block", F.lit(0))
+        q = asks.select("cls", "v", F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(q_blocks)).cast("int").alias("q_block"), numbers(blocks).alias("block"))
+        return own.groupBy("block", "q_block").cogroup(q.groupBy("block", "q_block")).applyInPandas(task, FOUND)
 
-    found = written(sides(queries).applyInPandas(searched(True), FOUND), "found")
+    found = written(searched(queries, True), "found")
     short = found.groupBy("query_class").agg(F.sum(F.size("members")).alias("n")).where(F.col("n") > k)
-    rest = queries.join(short, queries["cls"] == short["query_class"], "left_anti")
-    if n > least and not rest.isEmpty():  # with n <= least all rows were reranked
-        found = found.join(rest, found["query_class"] == rest["cls"], "left_anti").unionByName(sides(rest).applyInPandas(searched(False), FOUND))
+    rest = written(queries.join(short, queries["cls"] == short["query_class"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        found = found.join(rest, found["query_class"] == rest["cls"], "left_anti").unionByName(searched(rest, False))
     each = found.select("query_class", "distance", F.explode("members").alias("vec_id"))
     best = Window.partitionBy("query_class").orderBy("distance", "vec_id")
     top = each.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
