@@ -2,15 +2,17 @@
 
 The content view sees the text: which of the telling words it has, and shares of symbols, capitals, repeated lines and
 the like. The metadata view sees what is known without the text: source, language, length. Both are logistic
-regressions. In each round either one labels the documents of an unlabelled pool of which it is confident, and the other
-one learns from these labels too. Held-out labelled documents then calibrate both views and weigh their sum. A document is
-good if its quality is 1 and it isn't toxic.
+regressions. In each round either one labels those unlabelled documents of which it is confident, and the other one learns
+from these labels too. Held-out labelled documents then calibrate each view by itself, and weigh the two calibrated views
+against each other. A document is good if its quality is 1 and it isn't toxic.
 
-Fitting uses samples of bounded size, those rows with the least hashes of their ids: `max_labelled` labelled documents
-(a quarter of them held out) and `max_pool` unlabelled ones. Telling words, `max_words` of them, are those of the sample
-with the largest chi-squared. Scoring covers every document and its whole text.
+What is fitted on a sample are the labelled rows alone: `max_labelled` of them at most, those with the least hashes of their ids (a
+quarter is held out). Telling words, `max_words` of them, are those of this sample with the largest chi-squared. All unlabelled
+documents take part in the exchange: their features are a table, and a step of Newton's method adds up their gradients and curvatures
+task by task, then in two levels of groups, so that the driver gets one row. Together they weigh no more than the labelled
+ones. Scoring covers every document and its whole text.
 
-Defined results: a null text is empty; null metadata are values of their own. A null label counts as unlabelled; if an id has
+Defined results: a null text is empty; null metadata are values of their own. A document with a null label, or a null id, is unlabelled; if an id has
 several labels, it is good only if all say so. Rows that repeat an id are scored each for itself. Where the labels have one
 class only or there are none, every document gets that class's score, or 1, and `kept` follows from it. An empty table gives
 no rows. Only the named columns are read.
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import cut, written
+from .common import cut, forget, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Kinds of bytes that are counted: symbols, capitals, small letters (and bytes of others), digits, ends of sentences, bars.
@@ -39,28 +41,36 @@ SOURCES, LANGUAGES = 64, 16
 
 @dataclass
 class Logistic:
-    """Ridge logistic regression by Newton steps, over standardised columns."""
+    """Ridge logistic regression by Newton steps, over columns standardised by the rows that it was first fitted on."""
 
     ridge: float = 1.0
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scale: np.ndarray = field(default_factory=lambda: np.ones(0))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.hstack([(x - self.mean) / self.scale, np.ones((len(x), 1))])
+
+    def sums(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and curvature of the log likelihood of these rows."""
+        z = self.standard(x)
+        p = sigmoid(np.clip(z @ self.weights, -30, 30))
+        return z.T @ (y - p), (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z
+
+    def step(self, gradient: np.ndarray, curvature: np.ndarray) -> float:
+        penalty = np.full(len(self.weights), self.ridge)
+        penalty[-1] = 1e-6
+        move = np.linalg.solve(curvature + np.diag(penalty), gradient - penalty * self.weights)
+        self.weights = self.weights + move
+        return float(np.abs(move).max())
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
         self.mean, self.scale = x.mean(0), x.std(0)
         self.scale = np.where(self.scale > 1e-9, self.scale, 1.0)
-        z = np.hstack([(x - self.mean) / self.scale, np.ones((len(x), 1))])
-        w = np.zeros(z.shape[1])
-        penalty = np.full(len(w), self.ridge)
-        penalty[-1] = 1e-6
+        self.weights = np.zeros(x.shape[1] + 1)
         for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            h = (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + np.diag(penalty)
-            step = np.linalg.solve(h, z.T @ (y - p) - penalty * w)
-            w += step
-            if np.abs(step).max() < 1e-6:
+            if self.step(*self.sums(x, y)) < 1e-6:
                 break
-        self.weights = w
         return self
 
     def logit(self, x: np.ndarray) -> np.ndarray:
@@ -83,7 +93,7 @@ def content(texts: pa.Array, words: dict[str, int]) -> np.ndarray:
         out[:, j] = (sums[at[1:]] - sums[at[:-1]]) / size
     known = words.keys()
     for i, text in enumerate(texts.to_pylist()):
-        found = LETTERS.findall((text or "").lower())
+        found = letters(text)
         distinct = set(found)
         lines = [x for x in (text or "").split("\n") if x.strip()]
         n = max(1, len(found))
@@ -93,6 +103,11 @@ def content(texts: pa.Array, words: dict[str, int]) -> np.ndarray:
     return out
 
 
+def letters(text: str | None) -> list[str]:
+    """The words of a text, for choosing telling words as for finding them: runs of letters, small."""
+    return LETTERS.findall((text or "").lower())
+
+
 def metadata(languages: list, sources: list, lengths: list) -> np.ndarray:
     """One column for each hashed source and language, and the length."""
     out = np.zeros((len(sources), SOURCES + LANGUAGES + 2), np.float32)
@@ -116,10 +131,11 @@ def metadata(languages: list, sources: list, lengths: list) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What scoring needs: telling words, both views, and how their log odds are calibrated and added."""
+    """What scoring needs: telling words, both views, how each is calibrated, and how they are weighed."""
 
     words: dict[str, int]
     views: tuple[Logistic, Logistic] | None
+    calibrated: tuple[Logistic, Logistic] | None
     joint: Logistic | None
     constant: float = 1.0
 
@@ -127,74 +143,127 @@ class Model:
         """Columns: content view, metadata view, both: probabilities that the document is good."""
         if self.views is None:
             return np.full((len(x), 3), self.constant)
-        odds = np.column_stack([self.views[0].logit(x), self.views[1].logit(m)])
+        odds = np.column_stack([c.logit(v.logit(f)[:, None]) for c, v, f in zip(self.calibrated, self.views, (x, m), strict=True)])
         return np.column_stack([sigmoid(odds), sigmoid(self.joint.logit(odds))])
 
 
-def samples(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int) -> DataFrame:
-    """id, text, metadata and good (null in the pool) of the documents to learn from, as a table of bounded size."""
-    spark = docs.sparkSession
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, good: of the ids with labels."""
     good = F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("good")
-    known = labels.where("quality is not null and toxic is not null").groupBy("doc_id").agg(good)
-    ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    few = ids.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    pool = ids.join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_pool)
-    chosen = [(r["doc_id"], r["good"]) for r in few.collect()] + [(r["doc_id"], None) for r in pool.collect()]
-    wanted = spark.createDataFrame(chosen, "doc_id bigint, good int")  # max_labelled + max_pool rows of 16 bytes at most
-    return written(docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(wanted), "doc_id"), "sample")
+    return labels.where("quality is not null and toxic is not null and doc_id is not null").groupBy("doc_id").agg(good)
+
+
+def sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
+    """doc_id, text, metadata and good of the labelled documents to learn from, as a table of bounded size."""
+    spark = docs.sparkSession
+    few = docs.select("doc_id").distinct().join(known_labels(labels), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    wanted = spark.createDataFrame([(r["doc_id"], r["good"]) for r in few.collect()], "doc_id bigint, good int")  # max_labelled rows of 16 bytes at most
+    return written(docs.select(*READ).join(F.broadcast(wanted), "doc_id"), "sample")
 
 
-def telling_words(sample: DataFrame, max_words: int, least: int = 8) -> list[str]:
+def telling_words(labelled: DataFrame, max_words: int, least: int = 8) -> list[str]:
     """Words of the labelled sample whose presence goes most with one class, by chi-squared."""
-    known = sample.where("good is not null")
-    n, n_good = known.agg(F.count(F.lit(1)), F.sum("good")).first()
+    n, n_good = labelled.agg(F.count(F.lit(1)), F.sum("good")).first()
     if not n or not 0 < n_good < n:
         return []
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[\\p{L}]+"), F.lit(0)))
-    by = known.select("good", F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("good").alias("dg")).where(F.col("df") >= least)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut(batches, 1):
+            each = [(g, w) for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in set(letters(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in each], pa.int32()), pa.array([w for _, w in each], pa.string())], ["good", "word"])
+
+    words = labelled.select("good", "text").mapInArrow(task, "good int, word string")
+    by = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("good").alias("dg")).where(F.col("df") >= least)
     expected = F.col("df") * F.lit(n_good / n)
     chi = (F.col("dg") - expected) * (F.col("dg") - expected) / (expected * F.lit(1 - n_good / n))
     return [r["word"] for r in by.where(chi > 12).orderBy(chi.desc(), "word").limit(max_words).collect()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pool: int = 3000, max_words: int = 192, rounds: int = 3, confident: float = 0.98) -> Model:
-    sample = samples(docs, labels, max_labelled, max_pool)
-    words = {w: i for i, w in enumerate(telling_words(sample, max_words))}
+def features(docs: DataFrame, words: dict[str, int]) -> DataFrame:
+    """READ columns and `good` to good and both views' features, float32."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches, 1):
             x = content(b.column(1), words)
             m = metadata(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], ["id", "good", "x", "m"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), *[pa.array([r.tobytes() for r in v], pa.binary()) for v in (x, m)]], ["id", "good", "x", "m"])
+
+    return docs.select(*READ, "good").mapInArrow(task, "id bigint, good int, x binary, m binary")
 
-    rows = sample.select("doc_id", "text", "lang", "source", "n_chars", "good").mapInArrow(task, "id bigint, good int, x binary, m binary").toPandas().sort_values("id")
-    known = rows[rows["good"].notna()]
-    y = known["good"].to_numpy(float)
+
+def stacked(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1).astype(float)
+
+
+def told(pool: DataFrame, judges: list[Logistic], now: list[Logistic], confident: float, groups: int = 1) -> tuple | None:
+    """Over all documents of the pool of which the other view's judge is confident: for each view how many they are, and the
+    gradient and curvature of its present weights. None if the pool is empty. groups: of tasks, whose sums are added up first."""
+    sizes = [len(v.weights) for v in now]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [[0, np.zeros(n), np.zeros((n, n))] for n in sizes]
+        for b in batches:
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                rows = [stacked(part.column(c).to_pylist()) for c in (0, 1)]
+                for v in (0, 1):
+                    p = sigmoid(judges[1 - v].logit(rows[1 - v]))
+                    sure = (p >= confident) | (p <= 1 - confident)
+                    if sure.any():
+                        gradient, curvature = now[v].sums(rows[v][sure], (p[sure] >= 0.5).astype(float))
+                        total[v][0] += int(sure.sum())
+                        total[v][1] += gradient
+                        total[v][2] += curvature
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([np.append(n, g) if k == 0 else g.ravel() for n, *gs in total for k, g in enumerate(gs)]).tobytes()], pa.binary())], ["sums"])
+
+    def added(table: pa.Table) -> pa.Table:
+        out = 0
+        for x in table.column("sums"):
+            out = out + np.frombuffer(x.as_buffer())
+        return pa.table([pa.array([table.column("part")[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["part", "sums"])
+
+    parts = pool.select("x", "m").mapInArrow(task, "sums binary").withColumn("part", F.spark_partition_id())
+    first = parts.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("part").applyInArrow(added, "part int, sums binary")
+    last = first.withColumn("part", F.lit(0)).groupBy("part").applyInArrow(added, "part int, sums binary").collect()
+    if not last:
+        return None
+    flat, out, at = np.frombuffer(last[0]["sums"]), [], 0
+    for n in sizes:
+        out.append((flat[at], flat[at + 1 : at + 1 + n], flat[at + 1 + n : at + 1 + n + n * n].reshape(n, n)))
+        at += 1 + n + n * n
+    return tuple(out)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_words: int = 192, rounds: int = 3, steps: int = 2, confident: float = 0.98) -> Model:
+    labelled = sample(docs, labels, max_labelled)
+    words = {w: i for i, w in enumerate(telling_words(labelled, max_words))}
+    rows = features(labelled, words).toPandas().sort_values("id")
+    y = rows["good"].to_numpy(float)
     if len(y) < 8 or y.min() == y.max():
-        return Model(words, None, None, float(y.mean()) if len(y) else 1.0)
-    stacked = lambda col: np.stack([np.frombuffer(v, np.float32) for v in col]).astype(float) if len(col) else None
+        return Model(words, None, None, None, float(y.mean()) if len(y) else 1.0)
     held = np.arange(len(y)) % 4 == 3
-    views = [stacked(known["x"]), stacked(known["m"])]
-    pool = rows[rows["good"].isna()]
-    others = [stacked(pool["x"]), stacked(pool["m"])]
-    given = [np.full(len(pool), np.nan), np.full(len(pool), np.nan)]  # what each view was told by the other one
-
-    def learnt(v: int) -> Logistic:
-        told = ~np.isnan(given[v])
-        x, t = views[v][~held], y[~held]
-        if told.any():
-            x, t = np.vstack([x, others[v][told]]), np.append(t, given[v][told])
-        return Logistic(ridge=4.0).fit(x, t)
-
-    for _ in range(rounds if len(pool) else 0):
-        now = [learnt(0), learnt(1)]
-        for v in (0, 1):
-            p = sigmoid(now[v].logit(others[v]))
-            sure = (p >= confident) | (p <= 1 - confident)
-            given[1 - v][sure] = (p[sure] >= 0.5).astype(float)
-    final = (learnt(0), learnt(1))
-    odds = np.column_stack([final[v].logit(views[v][held]) for v in (0, 1)])
-    return Model(words, final, Logistic(ridge=1.0).fit(odds, y[held]))
+    sides = [stacked(rows["x"].tolist()), stacked(rows["m"].tolist())]
+    views = [Logistic(ridge=4.0).fit(v[~held], y[~held]) for v in sides]
+    if rounds:
+        unknown = docs.select(*READ).join(known_labels(labels), "doc_id", "left").where("good is null")
+        pool = written(features(unknown, words), "pool")
+        groups = max(1, int(pool.select(F.spark_partition_id()).distinct().count() ** 0.5))
+        for _ in range(rounds):
+            judges = [replace(v) for v in views]
+            for _ in range(steps):
+                sums = told(pool, judges, views, confident, groups)
+                for v, view in enumerate(views):
+                    gradient, curvature = view.sums(sides[v][~held], y[~held])
+                    if sums is not None and sums[v][0]:
+                        share = min(1.0, (~held).sum() / sums[v][0])
+                        gradient, curvature = gradient + share * sums[v][1], curvature + share * sums[v][2]
+                    view.step(gradient, curvature)
+        forget(pool)
+    forget(labelled)
+    raw = [v.logit(f[held]) for v, f in zip(views, sides, strict=True)]
+    calibrated = tuple(Logistic(ridge=0.1).fit(r[:, None], y[held]) for r in raw)
+    odds = np.column_stack([c.logit(r[:, None]) for c, r in zip(calibrated, raw, strict=True)])
+    return Model(words, tuple(views), calibrated, Logistic(ridge=1.0).fit(odds, y[held]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
