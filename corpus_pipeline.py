@@ -3,6 +3,9 @@
 Each stage works on all that the one before it kept. Documents that the classifier or the rules reject go; of every class
 of near-duplicates its first document stays; of a passage that repeats, the first occurrence stays, and documents of which
 nothing is left go; what remains is packed into batches.
+
+Defined results: an empty table gives no batches. Rows with a null text or without words are rejected by the rules. Ids are unique
+and not null, as the table's are; other columns than those of COLUMNS aren't read.
 """
 
 from __future__ import annotations
@@ -51,9 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            delete(spark, before)
+        before = path
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # packing has its own table of lengths by now
+    delete(spark, before)
+    return packed
