@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 def order():
@@ -119,26 +120,25 @@ def filled(x) -> Column:
     return F.last(col(x), ignorenulls=True).over(order().rowsBetween(Window.unboundedPreceding, 0))
 
 
-def ewm(frame, value: str, spans: dict[str, float], by: str = "symbol", order: str = "trade_date"):
-    """frame's (by, order) with, for each name, the recursion y += (x - y) * 2 / (span + 1), seeded by the first value.
+def filled_back(x) -> Column:
+    """The next value that isn't null."""
+    return F.first(col(x), ignorenulls=True).over(order().rowsBetween(0, Window.unboundedFollowing))
 
-    Each symbol's history is one array, sorted and folded inside the JVM. Nulls are skipped.
-    """
-    rows = frame.where(F.col(value).isNotNull()).groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), F.col(value).cast("double").alias("x")))).alias("h"))
-    out = rows
-    for name, span in spans.items():
-        a = 2.0 / (span + 1.0)
-        out = out.withColumn(name, fold(F.col("h.x"), a))
-    zipped = F.arrays_zip(F.col("h.t").alias("t"), *[F.col(n) for n in spans])
-    names = [order, *spans]
-    return out.select(by, F.explode(zipped).alias("z")).select(by, *[F.col("z").getField(n).alias(m) for n, m in zip(["t", *spans], names, strict=True)])
 
+def ewm(frame: DataFrame, value: str, spans: dict[str, float], by: str = "symbol", order: str = "trade_date", carried: tuple[str, ...] = (), std: bool = False) -> DataFrame:
+    """frame's (by, order, carried ...) with, for each name, the recursion y += (x - y) * 2 / (span + 1), seeded by the first value;
 
-def fold(values: Column, a: float) -> Column:
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.array().cast("array<double>").alias("out"))
+    or, with std, the bias-corrected standard deviation under weights that decay by that rate. Nulls are skipped. A symbol's history is one
+    Arrow group, sorted and folded in its task: one pass, and its size is that of one history.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in frame.schema.fields}
+    kept = [by, order, *carried]
 
-    def step(acc: Column, x: Column) -> Column:
-        y = F.when(acc["y"].isNull(), x).otherwise(acc["y"] + (x - acc["y"]) * a)
-        return F.struct(y.alias("y"), F.concat(acc["out"], F.array(y)).alias("out"))
+    def task(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(order)
+        x = own[value].astype(float)
+        weighed = {n: x.ewm(span=s, adjust=True).std() if std else x.ewm(span=s, adjust=False).mean() for n, s in spans.items()}
+        return own[kept].assign(**weighed)
 
-    return F.aggregate(values, start, step, lambda acc: acc["out"])
+    rows = frame.where(F.col(value).isNotNull()).select(*dict.fromkeys([*kept, value]))
+    return rows.groupBy(by).applyInPandas(task, ", ".join([f"`{n}` {kinds[n]}" for n in kept] + [f"{n} double" for n in spans]))
