@@ -33,9 +33,9 @@ def processed(df: DataFrame, x: str) -> DataFrame:
 
 
 def average_rank(x: str, by: tuple[str, ...] = ("trade_date",)) -> Column:
-    """Rank from 1 with average ties. Nulls must be gone."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, x))
-    return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (ties - 1) / 2.0
+    """Rank from 1 with average ties. Nulls must be gone. From the ranks at both ends, so one partitioning does."""
+    w = Window.partitionBy(*by)
+    return (F.rank().over(w.orderBy(x)) + F.count(F.lit(1)).over(w) + 1 - F.rank().over(w.orderBy(F.desc(x)))) / 2.0
 
 
 def percent_rank(x: str, by: tuple[str, ...] = ("trade_date",)) -> Column:

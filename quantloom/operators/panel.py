@@ -33,12 +33,11 @@ def weekly_panel(spark, sf_dir: str) -> DataFrame:
 
 def model_dataset(spark, sf_dir: str) -> DataFrame:
     """universe, features, labels and tradability on (trade_date, symbol); rows with all features."""
-    bars = market.weekly_bar(spark, sf_dir)
     keys = ["trade_date", "symbol"]
-    universe = market.universe_membership(bars)
-    features = weekly_panel(spark, sf_dir).select(*keys, *FEATURES, "fwd")
-    tradable = market.tradability(bars).select(*keys, "can_buy", "can_sell", "is_new_listing", "is_st")
-    return universe.join(features, keys, "left").join(tradable, keys, "left").dropna(subset=FEATURES)
+    # features, label and tradability are windows over the same bars: one pass, one exchange by symbol
+    panel = market.tradability(weekly_panel(spark, sf_dir), carried=(*FEATURES, "fwd")).select(*keys, *FEATURES, "fwd", "can_buy", "can_sell", "is_new_listing", "is_st")
+    # rows without a feature are out anyway, so the outer join to the universe is an inner one
+    return market.universe_membership(market.weekly_bar(spark, sf_dir)).join(panel.dropna(subset=FEATURES), keys)
 
 
 def rank_ic(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -44,22 +44,22 @@ def rebalance(current: DataFrame, target: DataFrame, small: float = 0.005) -> Da
 
 
 def smoothed(weights: DataFrame, share: float = 0.5, least: float = 1e-4) -> DataFrame:
-    """trade_date, symbol, target_weight -> what is held when only `share` of each step is taken.
+    """trade_date, symbol, target_weight -> what is held when only `share` of each step is taken, and that scaled to the date's gross target.
 
-    The recursion w += share * (target - w) is a sum of past targets with weights that shrink by the power of the distance, so
-    each name's dates are one sorted array that is folded inside the JVM; no task sees more than one name.
+    w += share * (target - w) over all dates, one Arrow group a name; a name that left the target is held until less than `least` is left.
     """
-    dates = weights.select("trade_date").distinct()
-    grid = weights.select("symbol").distinct().crossJoin(F.broadcast(dates)).join(weights, ["trade_date", "symbol"], "left")
-    hist = grid.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("trade_date", F.coalesce("target_weight", F.lit(0.0)).alias("w")))).alias("h"))
-    start = F.struct(F.lit(0.0).alias("y"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc, x):
-        y = acc["y"] + (x["w"] - acc["y"]) * share
-        return F.struct(y.alias("y"), F.concat(acc["out"], F.array(y)).alias("out"))
-
-    out = hist.select("symbol", F.explode(F.arrays_zip(F.col("h.trade_date").alias("trade_date"), F.aggregate("h", start, step, lambda a: a["out"]).alias("held_weight"))).alias("z"))
-    return out.select("symbol", "z.trade_date", "z.held_weight").where(F.col("held_weight") >= least)
+    dates = weights.groupBy("trade_date").agg(F.sum("target_weight").alias("gross"))
+    grid = weights.select("symbol").distinct().crossJoin(F.broadcast(dates)).join(weights, ["trade_date", "symbol"], "left")  # a row a name and date
+    kind = weights.schema["symbol"].dataType.simpleString()
+
+    def task(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("trade_date")
+        targets = pd.Series([0.0, *own["target_weight"].fillna(0.0)])
+        return own[["trade_date", "symbol", "gross"]].assign(held_weight=targets.ewm(alpha=share, adjust=False).mean().to_numpy()[1:])
+
+    held = grid.groupBy("symbol").applyInPandas(task, f"trade_date date, symbol {kind}, gross double, held_weight double").where(F.col("held_weight") >= least)
+    total = F.sum("held_weight").over(Window.partitionBy("trade_date"))
+    return held.select("symbol", "trade_date", "held_weight", (F.col("held_weight") * F.col("gross") / total).alias("scaled_weight"))
 
 
 def backtest(market: DataFrame, scenarios: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def gate(ic: DataFrame, buckets: DataFrame, navs: DataFrame, turnover: DataFrame
     checks = [("ic", 0.02, 1), ("ir", 0.15, 1), ("monotonicity", 0.6, 1), ("max_drawdown", 0.3, -1), ("turnover", 0.5, -1)]
     each = [
         F.struct(
-            F.lit(c).alias("check"), F.col(c).alias("value"), F.lit(th).alias("threshold"), F.coalesce(F.col(c) >= th if sign > 0 else F.col(c) <= th, F.lit(False)).alias("passed"), F.col(c).isNull().alias("skipped")
+            F.lit(c).alias("check_name"), F.col(c).alias("value"), F.lit(th).alias("threshold"), F.coalesce(F.col(c) >= th if sign > 0 else F.col(c) <= th, F.lit(False)).alias("passed"), F.col(c).isNull().alias("skipped")
         )
         for c, th, sign in checks
     ]

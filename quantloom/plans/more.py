@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import cross as X
 from ..functions import windows as W
 from ..operators import panel as P
-from ..operators import portfolio as B
+from ..operators import research as R
 from ..operators import risk as K
 from ..sources import catalog, market
 from ..streaming import bars as T
 from . import sql as S
-from .panel import BUCKETS, IC, NAVS, PANEL, RANKED, navs, r, rounded, scored
+from .panel import IC, NAVS, PANEL, RANKED, UNI, navs, r, rounded, scored
 from .registry import query
 
 
@@ -59,7 +59,31 @@ def cost_scenarios(spark, d):
     return rounded(K.cost_scenarios(tv, navs(spark, d).select("trade_date", "daily_return"), [0.5, 1.0, 2.0, 4.0]), net_return=5)
 
 
-@query("strategy_gate", None)
+_TAIL = NAVS.split(UNI + ",")[1]
+#: One row each: gi (ic, sd, positive), gb (monotonicity), gt (turnover), gd (drawdown) of the processed factor.
+JUDGED = f"""{IC}, {UNI}, {_TAIL},
+gi as (select avg(rank_ic) as ic, stddev_samp(rank_ic) as sd, avg((rank_ic > 1e-12)::int::double) as positive from ic),
+g1 as (select trade_date, fwd, ceil(row_number() over (partition by trade_date order by mom20_z, symbol) * 5.0 / count(*) over (partition by trade_date)) as b from z where fwd is not null),
+g2 as (select trade_date, cast(greatest(1, least(5, b)) as int) as bucket, avg(fwd) as m from g1 group by all), g3 as (select bucket, avg(m) as y from g2 group by bucket), gb as (select corr(bucket, y) as monotonicity from g3),
+g4 as (select trade_date, symbol, row_number() over (partition by trade_date order by mom20_z desc, symbol) as i from z), g5 as (select trade_date, list(distinct symbol) as held from g4 where i <= 15 group by trade_date), g6 as (select *, lag(held) over (order by trade_date) as before from g5),
+gt as (select avg(case when before is null then 0.0 else 1 - len(list_intersect(held, before)) / len(held)::double end) as turnover from g6), gd as (select -min(drawdown) as max_drawdown from dd)"""
+GATE_SQL = f"""with {JUDGED}, v as (select 'ic' as check_name, ic as value, 0.02 as threshold, 1 as sign from gi union all select 'ir', ic / nullif(sd, 0), 0.15, 1 from gi union all select 'monotonicity', monotonicity, 0.6, 1 from gb
+union all select 'max_drawdown', max_drawdown, 0.3, -1 from gd union all select 'turnover', turnover, 0.5, -1 from gt)
+select check_name, {r("value")} as value, {r("threshold::double")} as threshold, coalesce(sign * value >= sign * threshold, false) as passed, value is null as skipped from v"""
+
+
+@query(
+    "factor_health",
+    f"""with {JUDGED}, v as (select ic as mean_ic, ic / nullif(sd, 0) as ir, positive, monotonicity, turnover from gi, gb, gt),
+c as (select *, coalesce(mean_ic >= 0.02, false)::int + coalesce(ir >= 0.15, false)::int + coalesce(positive >= 0.5, false)::int + coalesce(monotonicity >= 0.6, false)::int + coalesce(turnover <= 0.5, false)::int as n_passed from v)
+select {", ".join(f"{r(x)} as {x}" for x in ("mean_ic", "ir", "positive", "monotonicity", "turnover"))}, n_passed, case when n_passed = 5 then 'PASS' when n_passed * 3 >= 10 then 'CONDITIONAL' else 'FAIL' end as verdict from c""",
+)
+def factor_health(spark, d):
+    p = scored(spark, d)
+    return rounded(R.health(P.rank_ic(p, "mom20", "fwd"), P.quantile_returns(p, "mom20", "fwd"), P.selection_turnover(P.signal_ranks(p, "mom20"), 15)))
+
+
+@query("strategy_gate", GATE_SQL)
 def strategy_gate(spark, d):
     p = scored(spark, d)
     return rounded(K.gate(P.rank_ic(p, "mom20", "fwd"), P.quantile_returns(p, "mom20", "fwd"), navs(spark, d), P.selection_turnover(P.signal_ranks(p, "mom20"), 15)))
@@ -140,7 +164,7 @@ def rsi(spark, d):
 
 @query(
     "walk_forward_windows",
-    f"""with {IC}, d as (select trade_date, rank_ic, (row_number() over (order by trade_date) - 1) as i from ic), w as (select unnest(range(0, 10)) as fold)
+    f"""with {IC}, d as (select trade_date, rank_ic, (row_number() over (order by trade_date) - 1) as i from ic), w as (select unnest(range(0, (select max(i) from d) // 20 + 1)) as fold)
 select w.fold::int as fold, count(*) filter (i >= fold * 20 and i < fold * 20 + 100) as n_train, {r("avg(rank_ic) filter (i >= fold * 20 and i < fold * 20 + 100)")} as train_ic,
   count(*) filter (i >= fold * 20 + 121 and i < fold * 20 + 141) as n_test, {r("avg(rank_ic) filter (i >= fold * 20 + 121 and i < fold * 20 + 141)")} as test_ic from d, w group by w.fold having count(*) filter (i >= fold * 20 + 121 and i < fold * 20 + 141) > 0""",
 )
@@ -149,10 +173,11 @@ def walk_forward_windows(spark, d):
     from pyspark.sql import Window
 
     ic = P.rank_ic(scored(spark, d), "mom20", "fwd").withColumn("i", F.row_number().over(Window.orderBy("trade_date")) - 1)
-    folds = spark.range(10).select(F.col("id").cast("int").alias("fold"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("i") - 140) / 20.0))  # the folds that may hold a date
+    each = ic.withColumn("fold", F.explode(F.sequence(first.cast("int"), F.floor(F.col("i") / 20).cast("int"))))
     at = F.col("i") - 20 * F.col("fold")
     train, test = (at >= 0) & (at < 100), (at >= 121) & (at < 141)
-    both = ic.crossJoin(F.broadcast(folds)).groupBy("fold")  # dates x 10
+    both = each.groupBy("fold")
     out = both.agg(F.count(F.when(train, 1)).alias("n_train"), F.avg(F.when(train, F.col("rank_ic"))).alias("train_ic"), F.count(F.when(test, 1)).alias("n_test"), F.avg(F.when(test, F.col("rank_ic"))).alias("test_ic"))
     return rounded(out.where("n_test > 0"))
 

@@ -401,13 +401,12 @@ def market_regimes(spark, d):
     return rounded(R.market_regimes(navs(spark, d)))
 
 
-@query("factor_health", None)
-def factor_health(spark, d):
-    p = scored(spark, d)
-    return rounded(R.health(P.rank_ic(p, "mom20", "fwd"), P.quantile_returns(p, "mom20", "fwd"), P.selection_turnover(P.signal_ranks(p, "mom20"), 15)))
-
-
-@query("factor_states", None)
+@query(
+    "factor_states",
+    f"""with {FICS}, a as (select *, row_number() over (partition by feature order by trade_date) as i from fi), b as (select *, i - coalesce(max(case when not ic < -0.03 then i end) over (partition by feature order by trade_date), 0) as streak from a),
+c as (select *, min(case when streak >= 15 then i end) over (partition by feature order by trade_date) as off_at from b), e as (select *, max(case when streak = 0 and off_at is not null then 1 else 0 end) over (partition by feature order by trade_date) as back from c)
+select feature, trade_date, {r("ic")} as ic, streak, case when off_at is not null then case when back = 1 then 'RESERVE' else 'OFFLINE' end when streak >= 10 then 'REDUCED' when streak >= 5 then 'WATCH' else 'ACTIVE' end as state from e""",
+)
 def factor_states(spark, d):
     return rounded(R.factor_states(M.feature_ics(P.model_dataset(spark, d), FEAT, "fwd")))
 
@@ -474,13 +473,13 @@ def rebalance_actions(spark, d):
 
 
 @query(
-    "macd_rsi",
+    "macd_line",
     f"""with {PANEL}, u as (select symbol, trade_date, close, greatest(close - {S.lag("close")}, 0) as up, greatest({S.lag("close")} - close, 0) as dn from p),
 hl as (select symbol, list(trade_date order by trade_date) as ts, list(close order by trade_date) as xs from u group by symbol),
 e as (select symbol, ts[i] as trade_date, list_reduce(xs[1:i], lambda y, x: y + (x - y) * (2.0 / 13)) as f, list_reduce(xs[1:i], lambda y, x: y + (x - y) * (2.0 / 27)) as s from (select *, unnest(range(1, len(ts) + 1)) as i from hl))
 select symbol, trade_date, {r("f - s", 5)} as macd_diff from e""",
 )
-def macd_rsi(spark, d):
+def macd_line(spark, d):
     e = W.ewm(market.weekly_bar(spark, d), "close", {"fast": 12, "slow": 26})
     return e.select("symbol", "trade_date", F.round(F.col("fast") - F.col("slow") + N, 5).alias("macd_diff"))
 
@@ -512,7 +511,10 @@ def backtest_grid(spark, d):
 
 @query(
     "target_smoothing",
-    None,
+    f"""with {RANKED}, t as (select trade_date, symbol, least(0.1, 1.0 / count(*) over (partition by trade_date)) as w from sr where signal_rank <= 15),
+dt as (select trade_date, sum(w) as gross, row_number() over (order by trade_date) as i from t group by trade_date), tj as (select symbol, w, i from t join dt using (trade_date)),
+h as (select symbol, dt.trade_date, any_value(dt.gross) as gross, sum(w * 0.5 * pow(0.5, dt.i - tj.i)) as held from tj join dt on tj.i <= dt.i group by all), k as (select * from h where held >= 1e-4)
+select trade_date, symbol, {r("held")} as held_weight, {r("held * gross / sum(held) over (partition by trade_date)")} as scaled_weight from k""",
 )
 def target_smoothing(spark, d):
     ranked = P.signal_ranks(P.weekly_panel(spark, d), "mom20")

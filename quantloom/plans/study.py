@@ -17,7 +17,7 @@ from .registry import query
 FEAT = P.FEATURES
 MASTER = "m as (select s_suppkey as symbol, s_name as security_name, n_name as industry, n_nationkey as nation from supplier join nation on s_nationkey = n_nationkey)"
 QUARTERS = "fq as (select c_nationkey as nation, cast(date_trunc('quarter', o_orderdate) as date) as quarter, round(sum(o_totalprice), 2) as revenue from orders join customer on o_custkey = c_custkey group by c_nationkey, date_trunc('quarter', o_orderdate))"
-NAMED = {"m": MASTER, "uni": UNI, "ur": NAVS.split("nv as")[0].split(f"{PANEL}, ")[1].strip().rstrip(","), "fq": QUARTERS}
+NAMED = {"m": MASTER, "uni": UNI, "ur": NAVS.split("nv as")[0].split(f"{PANEL}, ")[1].strip().rstrip(","), "fq": QUARTERS, "sup": "sup as (select * from supplier)"}
 
 
 def frames(spark, d) -> dict:
@@ -32,6 +32,7 @@ def frames(spark, d) -> dict:
     return {
         "p": lambda: P.weekly_panel(spark, d),
         "m": lambda: named.selectExpr("s_suppkey as symbol", "s_name as security_name", "n_name as industry", "n_nationkey as nation"),
+        "sup": lambda: supplier,
         "uni": lambda: market.universe_membership(market.weekly_bar(spark, d)),
         "ur": returns,
         "fq": lambda: spark.sql(QUARTERS.split(" as ", 1)[1].strip()[1:-1].replace("from orders join customer", "from {orders} join {customer}"), orders=market.table(spark, d, "orders"), customer=market.table(spark, d, "customer")),
@@ -339,3 +340,40 @@ select symbol, trade_date, age, case when age <= 124 then 'fresh' when age <= 24
 
 both("leakage_check", f"""du as (select nation, quarter, revenue, {STATUTORY} as due from fq), nm as (select p.symbol, p.trade_date, nation from p join m on p.symbol = m.symbol),
 na as (select nm.trade_date, du.due from nm join du on nm.nation = du.nation and du.quarter = cast(date_trunc('quarter', nm.trade_date) as date)) select count(*) as n_rows, sum(case when due > trade_date then 1 else 0 end) as n_leaking, {r("avg(case when due > trade_date then 1e0 else 0e0 end)")} as leaking_share from na""", ("m", "fq"))
+
+both(
+    "full_gate",
+    f"""{RANKS}, {STRATEGY}, sv as (select trade_date, sret, sum(ln(1 + sret)) over (order by trade_date rows between unbounded preceding and current row) as ln_nav from sb),
+sd as (select ln_nav - max(ln_nav) over (order by trade_date rows between unbounded preceding and current row) as ln_dd from sv), dn as (select trade_date, row_number() over (order by trade_date) as k from (select distinct trade_date from hd) x),
+hk as (select symbol, k from hd join dn on hd.trade_date = dn.trade_date), tu as (select a.k, avg(case when b.symbol is null then 1e0 else 0e0 end) as t from hk a left join hk b on a.symbol = b.symbol and b.k = a.k - 1 where a.k > 1 group by a.k),
+ye as (select year(trade_date) as y, sum(active) as a from sb group by year(trade_date)), va as (
+select 'trade_count' as name, cast(count(*) as double) as value, 20e0 as threshold, 1 as sign from sb union all select 'ic', max(ic_mean), 0.02e0, 1 from st where factor = 'mom20' union all select 'ir', max(ic_ir), 0.15e0, 1 from st where factor = 'mom20' union all
+select 'monotonicity', max(monotonicity), 0.6e0, 1 from ls where factor = 'mom20' union all select 'excess', avg(active) * 52, 0e0, 1 from sb union all select 'max_drawdown', 1 - exp(min(ln_dd)), 0.3e0, -1 from sd union all
+select 'turnover', avg(t), 0.5e0, -1 from tu union all select 'yearly_wins', avg(case when a > 0 then 1e0 else 0e0 end), 0.6e0, 1 from ye union all select 'sharpe_increment', avg(sret) / nullif(stddev_samp(sret), 0) - avg(bret) / nullif(stddev_samp(bret), 0), 0e0, 1 from sb)
+select name, {r("value", 5)} as value, threshold, coalesce(sign * value >= sign * threshold, false) as passed, value is null as skipped from va""",
+    ("ur",),
+)
+
+both(
+    "enhanced_risk",
+    f"""{TOP}, w as (select tp.trade_date, tp.symbol, industry, volume, amount, 1e0 / 15 as w from tp join m on tp.symbol = m.symbol where i <= 15), g as (select trade_date, industry, sum(w) as iw from w group by trade_date, industry),
+a as (select trade_date, count(*) as n, sum(w) as gross, sum(w * w) as hhi, min(amount) as thinnest from w group by trade_date), b as (select trade_date, max(iw) as top_industry from g group by trade_date),
+c as (select a.*, top_industry, (case when n < 10 then 1 else 0 end) + (case when gross > 1.0001 then 1 else 0 end) + (case when hhi > 0.12 then 1 else 0 end) + (case when top_industry > 0.3 then 1 else 0 end) + (case when thinnest < 5000 then 1 else 0 end) as n_breaches from a join b on a.trade_date = b.trade_date)
+select trade_date, n as n_names, {r("gross")} as gross, {r("hhi")} as concentration, {r("top_industry")} as top_industry, {r("thinnest", 2)} as thinnest, n_breaches, case when n_breaches = 0 then 'ok' when n_breaches <= 2 then 'warn' else 'critical' end as level, n_breaches >= 4 as emergency from c""",
+    ("m",),
+)
+
+both("hashes", "select s_suppkey as symbol, s_name as security_name, md5(s_name) as name_md5, length(s_name) as n_characters from sup", ("sup",))
+
+both(
+    "adjusted_prices",
+    """ev as (select symbol, trade_date, 1 + 0.01 * (volume % 3) as step from p where volume % 50 = 0), fa as (select symbol, trade_date, exp(sum(ln(step)) over (partition by symbol order by trade_date)) as factor from ev),
+j as (select p.symbol, p.trade_date, p.close, fa.factor, row_number() over (partition by p.symbol, p.trade_date order by fa.trade_date desc) as k from p left join fa on p.symbol = fa.symbol and fa.trade_date <= p.trade_date)
+select symbol, trade_date, round(coalesce(factor, 1e0) + 1e-9, 6) as adjust_factor, round(close * coalesce(factor, 1e0) + 1e-9, 4) as adjusted_close from j where k = 1""",
+)
+
+both("latest_known", """k as (select symbol, max_by(close, trade_date) as last_close, max(trade_date) as last_date from p group by symbol) select p.symbol, p.trade_date, round(p.close / k.last_close + 1e-9, 6) as of_last from p join k on p.symbol = k.symbol""")
+
+both("month_spine", """mo as (select cast(date_trunc('month', trade_date) as date) as month, symbol, max_by(close, trade_date) as close from p group by 1, 2), sp as (select month from mo group by month), sy as (select symbol from mo group by symbol),
+g as (select sy.symbol, sp.month, mo.close from sy cross join sp left join mo on mo.symbol = sy.symbol and mo.month = sp.month), c as (select *, count(close) over (partition by symbol order by month) as k from g)
+select symbol, month, close is null as no_trade, round(max(close) over (partition by symbol, k) + 1e-9, 6) as month_end_close from c where k > 0""")

@@ -67,7 +67,7 @@ def with_returns(bars: DataFrame) -> DataFrame:
     return bars.withColumn("adj_close", F.col("close")).withColumn("pct_chg", 100 * (F.col("close") / F.lag("close").over(w) - 1))
 
 
-def tradability(bars: DataFrame, limit: float = 30.0, new_days: int = 60) -> DataFrame:
+def tradability(bars: DataFrame, limit: float = 30.0, new_days: int = 60, carried: tuple[str, ...] = ()) -> DataFrame:
     """Bars with a limit move can't be bought (up) or sold (down); names listed for fewer than new_days are new."""
     w = Window.partitionBy("symbol")
     b = with_returns(bars).withColumn("listed", F.min("trade_date").over(w))
@@ -80,6 +80,7 @@ def tradability(bars: DataFrame, limit: float = 30.0, new_days: int = 60) -> Dat
         (~down).alias("can_sell"),
         (F.datediff("trade_date", "listed") < new_days).alias("is_new_listing"),
         (F.col("symbol") % 17 == 0).alias("is_st"),
+        *carried,
     )
 
 
