@@ -28,7 +28,7 @@ def col(x: str | Column) -> Column:
 def full(n: int, x: str | Column, agg: Callable[[Column], Column], least: int | None = None) -> Column:
     """agg over the last n rows where at least `least` (n unless given) of them aren't null."""
     x = col(x)
-    return F.when(F.count(x).over(trailing(n)) >= (least or n), agg(x).over(trailing(n)))
+    return F.when(known(x, n) >= (least or n), agg(x).over(trailing(n)))
 
 
 def lag(x: str | Column, k: int = 1) -> Column:
@@ -48,16 +48,29 @@ def pct_change(x: str | Column, k: int) -> Column:
     return ratio(col(x), lag(x, k)) - 1
 
 
+def moved(x: Column, n: int, agg: Callable[[Column], Column]) -> Column:
+    """A count or sum over the last n rows as the difference of two running ones: a row costs the same whatever n is."""
+    upto, before = order().rowsBetween(Window.unboundedPreceding, 0), order().rowsBetween(Window.unboundedPreceding, -n)
+    return agg(x).over(upto) - F.coalesce(agg(x).over(before), F.lit(0))
+
+
+def known(x: Column, n: int) -> Column:
+    """How many of the last n values aren't null."""
+    return moved(x, n, F.count)
+
+
 def mean(x, n: int) -> Column:
-    return full(n, x, F.avg)
+    return total(x, n) / n
 
 
 def std(x, n: int) -> Column:
+    """Each window anew, for windows without spread must give 0 exactly."""
     return full(n, x, F.stddev_samp)
 
 
 def total(x, n: int) -> Column:
-    return full(n, x, F.sum)
+    x = col(x).cast("double")
+    return F.when(known(x, n) >= n, moved(x, n, F.sum))
 
 
 def highest(x, n: int) -> Column:

@@ -135,7 +135,7 @@ for n in (5, 10, 20, 60):
     add(f"vol_growth{n}", "liquidity", n + 1, lambda n=n: W.pct_change("v", n), S.pct("v", n))
 for n in (5, 20, 60):
     add(f"amount_growth{n}", "liquidity", n + 1, lambda n=n: W.pct_change("av", n), S.pct("av", n))
-    add(f"amihud_illiq_{n}d", "liquidity", n, lambda n=n: W.mean("il", n), S.mean("il", n))
+    add(f"amihud_illiq_{n}d", "liquidity", n, lambda n=n: W.mean("il", n), S.mean("il", n), 4)
 for n in (5, 10, 20):
     add(f"money_flow{n}", "liquidity", n, lambda n=n: W.ratio(W.total(K("tp") * K("v"), n), W.total("v", n)), S.div(S.total("tp * v", n), S.total("v", n)), 4)
 add("trade_activity", "liquidity", 60, lambda: W.ratio(W.mean("amt", 20), W.mean("amt", 60)), S.div(S.mean("amt", 20), S.mean("amt", 60)))
