@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_permutation_ann": ann.op1_permutation_ann,
         "op2_gumbel_segmentations": pieces.op2_gumbel_segmentations,
         "op3_quality_rules": rules.op3_quality_rules,
+        "quality_rule_ablations": rules.quality_rule_ablations,
         "op4_quality_classifier": classifier.op4_quality_classifier,
         "op5_packing": packing.op5_packing,
         "op6_token_counts": tokens.op6_token_counts,
@@ -21,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": rules.ORACLE, "op8_warc_salvage": warc.ORACLE, "op10_repeated_passages": phrases.ORACLE}
+    return {"op3_quality_rules": rules.ORACLE, "quality_rule_ablations": rules.ABLATIONS, "op8_warc_salvage": warc.ORACLE, "op10_repeated_passages": phrases.ORACLE}

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let
+from .common import BLANKS, let, written
 
 SYMBOLS = "#*$%&|<>"
 
@@ -189,6 +189,11 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_rule_ablations(spark, sf_dir: str) -> DataFrame:
+    """What each rule of the newest policy is worth, from a stored ledger: the texts are read once, whatever is asked of it."""
+    return ablations(written(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "ledger"))
+
+
 ORACLE = r"""
 with w as (
   select doc_id, coalesce(text, '') as text,
@@ -220,3 +225,9 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed, failed_bits = 0 as kept, failed_bits::bigint as failed_bits
 from b
 """
+
+ABLATIONS = f"""
+with led as ({ORACLE}), r as (select unnest({[x.name for x in RULES]}) as rule, unnest({[1 << i for i in range(len(RULES))]})::bigint as one)
+select rule, sum(((failed_bits & one) <> 0)::int)::bigint as n_failed, sum((failed_bits = one)::int)::bigint as n_failed_alone,
+  (sum((failed_bits = 0)::int) + sum((failed_bits = one)::int))::bigint as n_kept_without, count(*) as n_rows from led, r group by rule
+"""
