@@ -19,7 +19,7 @@ shingles are ordered by how many texts of the set have them, rarest first, and t
 more shingles share one of the first a - m + 1 and b - m + 1. Entries of prefixes are keyed by shingle and by both sizes' classes (3 % wide), so
 that a prefix is no longer than that partner needs; keys that only one class has are done. Copies edited at different places share
 their common shingles alone, which stand behind their own rare ones and so outside the prefixes: they are no pairs.
-Classes are the connected components of the links, found by alternating star contraction.
+Classes are the connected components of the links, found by contracting stars.
 
 Defined results: a text without words (null, empty or blank) is alone in its class. A text of fewer than k words has one
 shingle, all its words. Rows that repeat an id are documents of their own, told apart by their texts' hashes; the class
@@ -171,30 +171,43 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             yes = s >= threshold
             yield pa.RecordBatch.from_arrays([pa.array(x[yes]), pa.array(y[yes]), pa.array(s[yes])], ["a", "b", "similarity"])
 
-    right = pairs.join(texts.select(F.col("key").alias("b"), F.col("seq").alias("seq_b")), "b")
-    both = right.join(texts.select(F.col("key").alias("a"), F.col("seq").alias("seq_a")), "a")
+    right = pairs.hint("merge").join(texts.select(F.col("key").alias("b"), F.col("seq").alias("seq_b")), "b")
+    both = right.hint("merge").join(texts.select(F.col("key").alias("a"), F.col("seq").alias("seq_a")), "a")
     return both.select("a", "b", "seq_a", "seq_b").mapInArrow(task, "a bigint, b bigint, similarity double")
 
 
+def stars(links: DataFrame) -> DataFrame:
+    """links: a, b. node, label: a node near each node that has a link, the most linked one of its own and its neighbours' choice.
+
+    Nodes of one label are connected, and most of those connected have one label. Ties go by hash, so that chains shrink too.
+    """
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    degree = both.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    own = written(degree.select("node", F.struct("n", F.xxhash64("node").alias("h"), F.col("node").alias("label")).alias("by")), "degree")
+    seen = both.join(own.select(F.col("node").alias("other"), "by"), "other").select("node", "by")
+    near = written(seen.unionByName(own).groupBy("node").agg(F.max("by")["label"].alias("label")), "near")
+    forget(own)
+    far = near.select(F.col("node").alias("label"), F.col("label").alias("far"))
+    return near.join(far, "label").select("node", F.col("far").alias("label"))
+
+
 def components(links: DataFrame) -> DataFrame:
-    """links: a, b. node, label for each node with a link: the least node it is connected with."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
+    """links: a, b. node, label for each node with a link: the least node it is connected with.
+
+    Every star becomes one node, until no links are left between different ones: as many steps as the logarithm of the longest chain.
+    """
+    edges, labels = links.select("a", "b"), None
     while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        near = written(stars(edges), "stars")
+        later = near.select(F.col("node").alias("label"), F.col("label").alias("later"))
+        labels = near if labels is None else written(labels.join(later, "label", "left").select("node", F.coalesce("later", "label").alias("label")), "labels")
+        a, b = (near.select(F.col("node").alias(x), F.col("label").alias(f"to_{x}")) for x in "ab")
+        moved = edges.join(a, "a").join(b, "b").where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
+        edges = written(moved.distinct(), "edges")
+        if edges.isEmpty():
             break
-        state = now
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        new = written(small.where("u <> v").distinct(), "edges")
-        forget(edges)
-        forget(large)
-        edges = new
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    least = labels.groupBy("label").agg(F.min("node").alias("least"))
+    return labels.join(least, "label").select("node", F.col("least").alias("label"))
 
 
 def possible(a: Column, b: Column, threshold: float) -> Column:
@@ -207,10 +220,9 @@ def crossing(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """Those entries (rep, size, entry, order) whose buckets hold texts of different classes, with the label of each."""
     own = entries.select("rep", "size", "entry", "order").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     own = written(own.withColumn("label", F.coalesce("label", "rep")), "labelled")
-    mixed = written(own.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("entry"), "mixed")
+    mixed = own.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("entry")
     out = written(own.join(mixed, "entry"), "crossing")
     forget(own)
-    forget(mixed)
     return out
 
 
@@ -226,7 +238,7 @@ def crossing_pairs(crossed: DataFrame, largest: DataFrame, threshold: float) ->
 
     Of a bucket's largest class no two texts are ever joined with one another: the others, few, are joined with all.
     """
-    own = written(crossed.join(largest, "entry"), "ranked")
+    own = crossed.join(largest, "entry")
     x = own.where("label <> largest").select("entry", F.col("rep").alias("x"), F.col("size").alias("x_size"), F.col("label").alias("x_label"))
     y = own.select("entry", F.col("rep").alias("y"), F.col("size").alias("y_size"), F.col("label").alias("y_label"), (F.col("label") == F.col("largest")).alias("in_largest"))
     both = x.join(y, "entry").where((F.col("x_label") != F.col("y_label")) & (F.col("in_largest") | (F.col("x") < F.col("y"))) & possible(F.col("x_size"), F.col("y_size"), threshold))
@@ -249,27 +261,30 @@ def prefix_pairs(hot: DataFrame, texts: DataFrame, threshold: float) -> DataFram
     kept = rows.join(common, "shingle").groupBy("rep", "size", "label")
     ranked = kept.agg(F.array_sort(F.collect_list(F.struct("df", "shingle", (F.col("lo") != F.col("hi")).alias("mixed")))).alias("s"))
     # shingles that no other text has come first, and need no entry
-    each = ranked.withColumn("own", F.col("size") - F.size("s")).select("rep", "size", "label", "own", F.posexplode("s").alias("i", "s"))
-    each = each.select("rep", "size", "label", "s.shingle", "s.mixed", (F.col("own") + F.col("i")).alias("pos"))
+    each = ranked.withColumn("own", F.col("size") - F.size("s")).select("rep", "size", "label", "own", F.col("s.shingle").alias("all"), F.posexplode("s").alias("i", "s"))
+    before = F.slice("all", F.greatest(F.lit(1), F.col("i") - 5), F.least(F.lit(6), F.col("i")))
+    each = each.select("rep", "size", "label", "s.shingle", "s.mixed", (F.col("own") + F.col("i")).alias("pos"), before.alias("before"))
     size = F.col("size")
-    class_of = lambda x: F.floor(F.log(F.lit(STEP), x)).cast("int")
+    class_of = lambda x: F.floor(F.ln(x) / float(np.log(STEP))).cast("int")
     first = each.where(F.col("mixed") & (F.col("pos") <= size - F.ceil(threshold * size - F.lit(1e-9))))
     wide = first.withColumn("c", class_of(F.greatest(size, F.lit(1)).cast("double")))
     wide = wide.withColumn("d", F.explode(F.sequence(class_of(F.greatest(F.lit(1.0), threshold * size)) - 1, class_of(size / threshold) + 1)))
     smallest = F.greatest(F.lit(1.0), F.floor(F.pow(F.lit(STEP), F.col("d"))) - 1)
     least = F.ceil(threshold * (size + smallest) / (1 + threshold) - F.lit(1e-9))
-    wide = wide.where(F.col("pos") <= size - least).select("shingle", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "c", "rep", "size", "label", "pos")
+    wide = wide.where(F.col("pos") <= size - least).select("shingle", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "c", "rep", "size", "label", "pos", "before")
     entries = written(wide, "prefixes")
     keys = ["shingle", "lo", "hi"]
-    mixed = written(entries.groupBy(*keys).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(*keys), "mixed")
-    open_ = written(entries.join(mixed, keys), "open")
-    for used in (rows, common, entries, mixed):
-        forget(used)
-    a, b = (open_.select(*keys, *[F.col(x).alias(f"{side}_{x}") for x in ("c", "rep", "size", "label", "pos")]) for side in "ab")
+    mixed = entries.groupBy(*keys).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(*keys)
+    open_ = entries.join(mixed, keys)
+    forget(rows)
+    forget(common)
+    a, b = (open_.select(*keys, *[F.col(x).alias(f"{side}_{x}") for x in ("c", "rep", "size", "label", "pos", "before")]) for side in "ab")
     both = a.join(b, keys).where(
         (F.col("a_c") == F.col("lo")) & (F.col("b_c") == F.col("hi")) & ((F.col("lo") < F.col("hi")) | (F.col("a_rep") < F.col("b_rep"))) & (F.col("a_label") != F.col("b_label"))
     )
     needed = F.ceil(threshold * (F.col("a_size") + F.col("b_size")) / (1 + threshold) - F.lit(1e-9))
+    # a pair meets at every shingle that it shares; where it shares one just before too, it has met already
+    both = both.where(~F.arrays_overlap("a_before", "b_before"))
     both = both.where(possible(F.col("a_size"), F.col("b_size"), threshold) & (F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos")) >= needed))
     return both.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
 
@@ -286,24 +301,25 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return light.unionByName(left.join(F.broadcast(heavy), on))
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, n_sketches: int = 32, ell: int = 5, rounds: int = 4) -> DataFrame:
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, n_sketches: int = 32, ell: int = 5, rounds: int = 1) -> DataFrame:
     """id, class_id, n_links (links of the text's representative that were found), kept (first of its class)."""
     own = windows.keyed(docs, key, text)
     marks = written(sketches(own, k, n_sketches, ell), "sketches")
     texts_of = written(marks.where("w1 is not null").groupBy("w1", "w2").agg(F.min("key").alias("rep")), "texts_of")
-    reps = marks.join(texts_of.select("rep"), F.col("key") == F.col("rep")).select("rep", "size", F.posexplode("entries").alias("band", "entry"))
+    # merge joins, also where one side is small: what is shuffled then grows as the input does
+    reps = marks.join(texts_of.select("rep").hint("merge"), F.col("key") == F.col("rep")).select("rep", "size", F.posexplode("entries").alias("band", "entry"))
     entries = written(reps.select("rep", "size", "entry", F.pmod("band", F.lit(N_ORDERS)).alias("order")), "entries")
     shared = written(entries.groupBy("entry").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")
-    todo = entries.join(shared, "entry")
+    todo = entries.join(shared.hint("merge"), "entry")
     fame = todo.groupBy("rep").agg(F.sum("c").alias("fame"))
-    todo = written(todo.drop("c").join(fame, "rep").withColumn("label", F.col("rep")), "shared")
+    todo = written(todo.drop("c").join(fame.hint("merge"), "rep").withColumn("label", F.col("rep")), "shared")
     forget(entries)
     forget(shared)
-    texts = written(shingled(own.join(todo.select(F.col("rep").alias("key")).distinct(), "key"), k), "texts")
-    links, tried, labels, n_entries = None, None, None, todo.count()
+    texts = written(shingled(own.join(todo.select(F.col("rep").alias("key")).distinct().hint("merge"), "key"), k), "texts")
+    links, tried, n_entries = None, None, todo.count()
     for turn in range(rounds + 1):
         buckets = None
-        if turn > 0:
+        if turn > 0 or turn == rounds:
             buckets = written(outside(todo), "buckets")
             pairs_left = buckets.agg(F.sum(F.col("n").cast("double") * F.col("of"))).first()[0] or 0
         last = turn == rounds or (turn > 0 and pairs_left <= 4 * n_entries)
@@ -325,18 +341,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
         new = written(verified(pairs, texts, threshold), "links")
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
-            labels = written(components(links), "labels")
         if last:
             break
-        if labels is not None:
-            todo = crossing(todo, labels)
+        if links is not None:
+            todo = crossing(todo, stars(links))
     forget(texts)
     by_text = texts_of.withColumnsRenamed({"rep": "node"})
     if links is None:
         by_text = by_text.select("w1", "w2", F.col("node").alias("label"), F.lit(0).cast("bigint").alias("n_links"))
     else:
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-        by_text = by_text.join(labels, "node", "left").join(degree, "node", "left")
+        by_text = by_text.join(components(links), "node", "left").join(degree, "node", "left")
         by_text = by_text.select("w1", "w2", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     by_text = written(by_text, "classes")
     kind = docs.schema[key].dataType.simpleString()
