@@ -1,21 +1,22 @@
 """Removal of repeated byte strings by a depth-limited radix sort of suffixes.
 
 Suffixes of at least `length` bytes are ordered through their first `length` bytes only, by passes over digits, most
-significant first: bytes 0 - 63, then the rest. After a pass the suffixes of one group agree in all digits so far, and
-groups of one are done: they take no part in the next. The groups left after the last pass are exactly the repeated strings;
-every byte they cover is removed, strings being judged on the input. All suffixes start in a cheaper pass that only drops: of every
-string of `length` bytes the anchor, a gram of 64 bytes, depends on the string alone, so a suffix whose anchor stands nowhere else
-repeats nothing. Some fifty suffixes share an anchor, and so one name.
-
-A digit is too wide to have a bucket of its own, so a group is named by a hash of its digits: 32 bits and the bucket's number in the
-first pass, which only lets suffixes go on; 64 bits and the bucket's number by an independent hash in the last one, which decides. As the
-number of buckets grows with the input, some 1e-14 pairs a suffix are expected to agree by chance. Inside a pass the order is
+significant first. After a pass the suffixes of one group agree in all digits so far, and groups of one are done: they take no part in
+the next. The groups left after the last pass are exactly the repeated strings; every byte they cover is removed, strings being judged
+on the input. The first digit is the anchor of a suffix: of every string of `length` bytes a gram of 64 bytes that depends on
+the string alone, so a suffix whose anchor stands nowhere else repeats nothing. Some fifty suffixes in a row share an anchor, and so
+one name. Then come digits that end at the bytes `depths`, and at last all bytes. (A digit that ended at byte 64 dropped
+few suffixes more on the test tables, and cost more than it saved.)
+
+A digit is too wide to have a bucket of its own, so a group is named by a hash of its digits: 64 bits in the first and 32 and the bucket's
+number in middle passes, which only let suffixes go on; 64 bits and the bucket's number by an independent hash in the last one, which
+decides. As the number of buckets grows with the input, some 1e-14 pairs a suffix are expected to agree by chance. Inside a pass the order is
 that of these names. A pass runs as a bucket sort on Spark: texts lie in chunks of some MB; a task sorts the suffixes of a chunk
 by name and sends each bucket the names in it, once each, with a bit for "more than once"; the task of a bucket sorts what all
 chunks sent, and answers each of them with one bit a name: does the group have more than one suffix? So the most
 frequent group sends one name a chunk, no text or position is ever shuffled with a suffix, and a bucket is of bounded size: their number
-grows with the input. A pass deals the suffixes, by anchor, in as many rounds (8 at most) as keep a round's names within the size of
-the texts. At very large inputs chunks should grow too (64 MB at 100 TB), as a chunk sends a row to every bucket.
+grows with the input. A pass deals the suffixes, by anchor, in as many rounds (8 at most) as keep a round's names within three
+quarters of the size of the texts. At very large inputs chunks should grow too (64 MB at 100 TB), as a chunk sends a row to every bucket.
 
 Defined results: a null text is empty, and a text shorter than `length` is left whole (n_spans 0, the hash of all its
 bytes). Matches never cross documents. Rows that repeat an id are documents of their own, so repeated long rows remove each
@@ -40,6 +41,7 @@ DIGIT = 64
 CHUNK = 1 << 20
 BUCKET = 8 << 20
 CLASSES = 8
+ROUND = 0.75
 CHUNKS = "keys binary, base binary, size binary, data binary, n_suffixes bigint"
 SENT = "chunk bigint, bucket int, n int, names binary, more binary"
 ANSWER = "chunk bigint, bucket int, n int, bits binary"
@@ -119,7 +121,7 @@ def ordered(name: np.ndarray, bucket: np.ndarray | None = None) -> tuple[np.ndar
 class AnchorPass:
     """The pass that only drops: a suffix is named by its anchor, and goes on in the anchor's class."""
 
-    rounds, width = 1, 8
+    rounds, width, last = 1, 8, False
 
     def __init__(self, length: int, buckets: int):
         self.length, self.buckets = length, buckets
@@ -146,13 +148,18 @@ class DigitPass:
     def names(self, data: np.ndarray, size: np.ndarray, alive: bytes | None, turn: int | None = None):
         """For each round, or for one: the places of its suffixes, their names and buckets."""
         classes = np.frombuffer(alive, np.uint8)
-        own = kernels.Spans(kernels.byte_values(0)[data], 0)
-        other = kernels.Spans(kernels.byte_values(1)[data], 1) if self.last else None
         step = CLASSES // self.rounds
         for t in range(self.rounds) if turn is None else (turn,):
-            at = np.flatnonzero((classes > t * step) & (classes <= (t + 1) * step))
-            name = own(at, at + self.depth)
-            deal = other(at, at + self.depth) if self.last else name
+            on = (classes > t * step) & (classes <= (t + 1) * step)
+            at = np.flatnonzero(on)
+            # only bytes that one of these suffixes covers, in a row
+            upto = np.cumsum(on, dtype=np.int32)
+            covered = upto > 0
+            covered[self.depth :] = upto[self.depth :] > upto[: -self.depth]
+            few = data[covered]
+            begin = (np.cumsum(covered, dtype=np.int32) - 1)[at]
+            name = kernels.Spans(kernels.byte_values(0)[few], 0)(begin, begin + self.depth)
+            deal = kernels.Spans(kernels.byte_values(1)[few], 1)(begin, begin + self.depth) if self.last else name
             bucket = ((deal >> U(32)) * U(self.buckets)) >> U(32)
             yield at, name if self.last else (name & U(0xFFFFFFFF)).astype(np.uint32), bucket
 
@@ -206,7 +213,7 @@ def answer(width: int):
 
 
 def heard(chunks: DataFrame, answers: DataFrame, step) -> DataFrame:
-    """The chunks with the suffixes that go on: those whose group has more than one."""
+    """The chunks with the suffixes that go on: those whose group has more than one. The last pass leaves the texts out."""
     each = answers.groupBy("chunk").agg(F.collect_list(F.struct("turn", "bucket", "n", "bits")).alias("told"))
     both = chunks.join(each, "chunk")
 
@@ -225,7 +232,8 @@ def heard(chunks: DataFrame, answers: DataFrame, step) -> DataFrame:
                         hit[order] = np.repeat(np.concatenate(bits) > 0, np.diff(np.append(first, len(order))))
                         suffixes += step.go_on(alive, where, hit)
                 if suffixes:
-                    yield pa.RecordBatch.from_arrays([*(c.slice(r, 1) for c in b.columns[:5]), pa.array([suffixes], pa.int64()), pa.array([alive.tobytes()], pa.binary())], [x.split()[0] for x in ALIVE.split(", ")])
+                    texts = pa.array([b""], pa.binary()) if step.last else b.column(4).slice(r, 1)
+                    yield pa.RecordBatch.from_arrays([*(c.slice(r, 1) for c in b.columns[:4]), texts, pa.array([suffixes], pa.int64()), pa.array([alive.tobytes()], pa.binary())], [x.split()[0] for x in ALIVE.split(", ")])
 
     return both.select("chunk", "keys", "base", "size", "data", "alive", "told").mapInArrow(task, ALIVE)
 
@@ -250,20 +258,20 @@ def runs(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
 
 
-def repeated(docs: DataFrame, length: int, chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET) -> DataFrame:
-    """docs: key (unique, not null), text. Returns key, marks: the suffixes left after the last pass."""
+def repeated(docs: DataFrame, length: int, chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET, depths: tuple[int, ...] = ()) -> DataFrame:
+    """docs: key (unique, not null), text. Returns key, marks: the suffixes left after the last pass. depths: ends of digits before the last."""
     spark = docs.sparkSession
     with batches_of(spark, 4):  # chunks in an Arrow batch
         chunks = chunked(docs, length, chunk_bytes)
         n_bytes = chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
         state = chunks.withColumn("alive", F.lit(None).cast("binary"))
-        for depth in (0, *sorted({min(DIGIT, length), length})):
+        for depth in (0, *sorted({min(d, length) for d in (*depths, length)})):
             n = state.agg(F.sum("n_suffixes")).first()[0] or 0
             if depth == 0:
                 step = AnchorPass(length, max(1, n // 20 * 8 // bucket_bytes))  # some twenty suffixes have one anchor at least
             else:
                 names = n * (8 if depth == length else 4)
-                rounds = next(r for r in (1, 2, 4, 8) if r == CLASSES or names <= r * max(n_bytes, 8 * bucket_bytes))
+                rounds = next(r for r in (1, 2, 4, 8) if r == CLASSES or names <= r * max(ROUND * n_bytes, 8 * bucket_bytes))
                 step = DigitPass(depth, depth == length, rounds, max(1, -(-names // (rounds * bucket_bytes))))
             told = []
             for turn in range(step.rounds):
