@@ -177,6 +177,21 @@ def test_pipeline_is_its_operators_one_after_the_other(spark, sf):
     assert got == want and len(got) > 100
 
 
+def test_pipeline_on_empty_and_awkward_tables(spark, tmp_path):
+    kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, kept int, quality_score int"
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    g = random.Random(2)
+    word = lambda: "".join(g.choice("abcdefgh") for _ in range(g.randint(3, 8)))
+    good = [" ".join(word() for _ in range(80)) for _ in range(5)]
+    texts = [*good, good[0], None, "", "  ", "short text", good[1] + " " + word(), " ".join(word() for _ in range(20000))]
+    for name, data in (("empty", []), ("odd", [(i, t, None, None, None, "x", 1, 2) for i, t in enumerate(texts)])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(data, kinds).write.parquet(f"{d}/documents.parquet")
+        labels.write.parquet(f"{d}/labels.parquet")
+        got = {r["doc_id"]: r["length"] for r in corpus_pipeline.run(spark, d).collect()}
+        assert got == ({} if not data else {0: 80, 1: 80, 2: 80, 3: 80, 4: 80, 11: 20000})
+
+
 def test_classifier_finds_held_out_junk(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet").select(*classifier.READ)

@@ -141,23 +141,60 @@ def test_suffix_dedup_awkward(awkward, empty):
     assert suffix.remove_repeats(empty).count() == 0
 
 
-def test_suffix_dedup_of_long_texts_cut_in_stretches(spark, monkeypatch):
-    from quantloom.llm import kernels
+def marked_starts(df):
+    return {r["key"]: sorted(s for m in r["marks"] for s in range(m["start"], m["start"] + m["n"])) for r in df.collect()}
+
 
+def test_digit_passes_leave_the_repeated_suffixes(spark):
+    """Small chunks, buckets and rounds; long texts in several chunks; digits before the last change nothing."""
     g = random.Random(3)
-    base = "".join(g.choice("abcdefgh") for _ in range(3000))
-    texts = {0: base, 1: "".join(g.choice("xyz") for _ in range(500)) + base[1200:2900], 2: base[100:350], 3: "z" * 900}
-    monkeypatch.setattr(kernels, "STRETCH", 512)
-    data = {i: t.encode() for i, t in texts.items()}
-    from quantloom.llm import windows
+    base = "".join(g.choice("abcdefgh") for _ in range(6000))
+    texts = {0: base, 1: "".join(g.choice("xyz") for _ in range(500)) + base[1200:2900], 2: base[100:350], 3: "z" * 900, 4: None, 5: "é" * 150, 6: "q" + "é" * 120}
+    data = {k: (t or "").encode() for k, t in texts.items()}
+    seen = collections.Counter(b[j : j + 200] for b in data.values() for j in range(len(b) - 199))
+    want = {k: [j for j in range(len(b) - 199) if seen[b[j : j + 200]] > 1] for k, b in data.items()}
+    df = spark.createDataFrame(list(texts.items()), "key bigint, text string").repartition(2)
+    for depths in ((), (32, 64)):
+        got = marked_starts(suffix.repeated(df, 200, chunk_bytes=1000, bucket_bytes=600, depths=depths))
+        assert got == {k: v for k, v in want.items() if v}
+
+
+def test_names_that_agree_in_their_leading_bits_are_sorted_in_full():
+    import numpy as np
 
-    at, parts = __import__("numpy").array([0, 3000, 3250]), []
-    for row, part, shift in kernels.stretches(at, 200, 512):
-        parts += [(row + k, s - part[k] + shift if len(part) == 2 else s - part[k]) for k in range(len(part) - 1) for s in range(part[k], part[k + 1] - 199)]
-    assert sorted(parts) == [(0, s) for s in range(2801)] + [(1, s) for s in range(51)]
-    df = spark.createDataFrame([(i, t, None, None, None, None, None, None) for i, t in texts.items()], SCHEMA)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.remove_repeats(df).collect()}
-    assert got == dict(brute_bytes(data, 200)) and windows.byte_units
+    g = np.random.default_rng(1)
+    for n in (0, 1, 7, 5000):
+        for kind in (np.uint32, np.uint64):
+            name = (g.integers(0, 9, n).astype(np.uint64) << np.uint64(20) | g.integers(0, 5, n).astype(np.uint64)).astype(kind)
+            bucket = g.integers(0, 6, n).astype(np.uint64)
+            for b in (None, bucket):
+                order, first = suffix.ordered(name, b)
+                keys = [(int(x), int(y)) for x, y in zip(bucket if b is not None else np.zeros(n), name)]
+                ranked = [keys[i] for i in order]
+                assert sorted(order.tolist()) == list(range(n))
+                assert [ranked[i] for i in first] == list(dict.fromkeys(ranked)) and len(set(ranked)) == len(first)
+                if b is not None:
+                    assert [x for x, _ in ranked] == sorted(x for x, _ in ranked)
+
+
+def test_very_long_texts_reach_the_workers_cut(spark):
+    """Texts far longer than a stretch or a chunk share one passage at their ends and one across a cut."""
+    from quantloom.llm import kernels
+
+    g = random.Random(6)
+    word = lambda: "".join(g.choice("abcdefghijklmnop") for _ in range(5))
+    shared, other = [word() for _ in range(60)], [word() for _ in range(60)]
+    first = [word() for _ in range(kernels.STRETCH + 2000)]
+    second = [word() for _ in range(kernels.STRETCH + 2000)]
+    first[-60:] = shared
+    first[kernels.STRETCH - 30 : kernels.STRETCH + 30] = other
+    second[5:65] = shared
+    second[kernels.STRETCH - 25 : kernels.STRETCH + 35] = other
+    df = spark.createDataFrame(rows([" ".join(first), " ".join(second)]), SCHEMA)
+    got = {r["doc_id"]: r["n_removed"] for r in phrases.remove_passages(df).collect()}
+    assert got == {0: 0, 1: 120}
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix.remove_repeats(df).collect()}
+    assert all(s == 2 and 2 * 359 <= n <= 2 * 359 + 4 for n, s in got.values())
 
 
 def brute_passages(texts, width):
@@ -189,14 +226,44 @@ def test_repeated_passages_awkward(awkward, empty):
     assert phrases.remove_passages(empty).count() == 0
 
 
-def test_locate_is_exact_when_shards_are_small(monkeypatch):
-    import numpy as np
-    import pyarrow as pa
+def test_automata_locate_every_occurrence(monkeypatch):
+    monkeypatch.setattr(phrases, "SHARD", 2)
+    texts = ["a b c d e b c", "c d e\nx  y z", "é b c", None, "bc b", "b c b c b c"]
+    wanted = [" b c ", " c d e ", " y z ", " b c b ", " é "]
+    found = phrases.located(texts, wanted)
+    for text, (at, which) in zip(texts, found):
+        words = WORD.findall(text or "")
+        want = sorted((j, k) for k, p in enumerate(wanted) for j in range(len(words)) if words[j : j + len(p.split())] == p.split())
+        assert sorted(zip(at.tolist(), which.tolist())) == want
 
-    monkeypatch.setattr(phrases, "SHARD", 3)
-    texts = pa.array(["a b c d e f g", "c d e x y z", "é b c"])
-    owner, place = np.array([0, 0, 0, 0, 1, 1, 2]), np.array([0, 1, 2, 4, 0, 3, 0])
-    assert phrases.locate(texts, owner, place, 3).all()
+
+def test_automata_decide(spark, monkeypatch):
+    """Where the hashes of different phrases agree, only what is located letter by letter counts: without it words would go."""
+    from quantloom.llm import kernels, windows
+
+    texts = [" ".join(f"a{i}" for i in range(40)), " ".join(f"a{i}" for i in range(30)) + " tail", " ".join(f"b{i}" for i in range(40))]
+    df = spark.createDataFrame(rows(texts), SCHEMA)
+    own = windows.keyed(df, "doc_id", "text")
+    anchors = windows.anchor_rows(own, 20, 8)
+    again = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "at")).alias("first")).where("c > 1").select("gram", "first.key", "first.at")
+    good = phrases.locate(own, anchors, again, 20, 8).collect()
+    assert {r["key"] for r in good} == {0, 1}
+    wrong = again.withColumn("key", F.lit(2).cast("bigint")).withColumn("at", F.lit(3))  # as if the hashes stood for other words
+    assert phrases.locate(own, anchors, wrong, 20, 8).count() == 0
+    assert kernels is not None
+
+
+def test_ids_of_any_type(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([("x", text), ("b", text), (None, None), ("c", "one two")], "doc_id string, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in phrases.remove_passages(df).collect()} == {"x": 60, "b": 0, None: 0, "c": 0}
+    assert {r["doc_id"]: r["n_removed"] > 0 for r in suffix.remove_repeats(df).collect()} == {"x": True, "b": True, None: False, "c": False}
+    assert {r["doc_id"]: (r["class_id"], r["kept"]) for r in ordermin.classes(df).collect()} == {"x": ("b", False), "b": ("b", True), None: (None, True), "c": ("c", True)}
+    clash = df.where("doc_id is not null").selectExpr("doc_id", "text", "1 as n_words", "2 as kept", "3 as n_removed", "4 as id", "5 as rest")
+    out = phrases.drop_repeats(clash)
+    assert out.columns == clash.columns and sorted(r["doc_id"] for r in out.collect()) == ["b", "c"]
+    got = pieces.sampled(df, tokens.tokenizer_path("piece_bpe_32k.model"), k=1)
+    assert got.count() == 4 and pieces.decode(got.withColumn("text", F.lit("old")), tokens.tokenizer_path("piece_bpe_32k.model")).where("text = 'one two'").count() == 1
 
 
 def shingle_sets(texts):
@@ -269,6 +336,33 @@ def test_families_and_chains_of_near_duplicates_are_whole(spark):
     assert got == want
 
 
+def test_prefixes_find_every_pair(spark, monkeypatch):
+    """The exact way through hot buckets: every similar pair of different classes is a pair, and few others are."""
+    g = random.Random(12)
+    texts = {}
+    for f, n in ((0, 60), (1, 61), (2, 90)):
+        base = [f"f{f}w{i}" for i in range(n)]
+        for i in range(70):
+            out = list(base)
+            for _ in range(g.randrange(6)):
+                at = g.randrange(len(out))
+                out[at : at + g.randrange(2)] = [f"e{f}.{i}.{g.randrange(3)}"] * g.randrange(2)
+            texts[len(texts)] = " ".join(out)
+    sets = shingle_sets(texts)
+    df = spark.createDataFrame(list(texts.items()), "key bigint, text string")
+    seqs = ordermin.shingled(df, 5)
+    hot = spark.createDataFrame([(i, len(s), i % 50) for i, s in sets.items()], "rep bigint, size int, label bigint")
+    got = {(r["a"], r["b"]) for r in ordermin.prefix_pairs(hot, seqs, 0.8).collect()}
+    same = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    want = {(i, j) for i in sets for j in sets if i < j and i % 50 != j % 50 and same(i, j) >= 0.8 and texts[i].split() != texts[j].split()}
+    assert want <= got and len(got) < 210 * 209 / 2 * 0.6 and len(want) > 200
+    # the whole operator, with all buckets hot
+    monkeypatch.setattr(ordermin, "FEW", 0)
+    df = spark.createDataFrame(rows([texts[i] for i in sorted(texts)]), SCHEMA)
+    for rounds in (0, 4):
+        assert {r["doc_id"]: r["class_id"] for r in ordermin.classes(df, rounds=rounds).collect()} == linked_classes(texts)
+
+
 def test_alignment_is_the_longest_common_sequence():
     import numpy as np
 
