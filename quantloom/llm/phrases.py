@@ -25,6 +25,7 @@ from itertools import compress
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,6 @@ from .common import cut, written
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SHARD = 16_000
-ANCHORS = "start int, n int, place int, gram bigint, whole bigint"
 
 
 def plain(text: str | None) -> tuple[str, np.ndarray]:
@@ -74,31 +74,35 @@ def located(texts: list[str | None], phrases: list[str]) -> list[tuple[np.ndarra
     return [(np.searchsorted(begins, np.array(ends, np.int64)), np.array(which, np.int64)) for (_, begins), (ends, which) in zip(rows, found, strict=True)]
 
 
-def locate(docs: DataFrame, anchors: DataFrame, again: DataFrame, gram: int) -> DataFrame:
-    """Those anchors (key, start, n, place, gram, whole) at whose places the automata locate the phrase that their hash names."""
+def locate(docs: DataFrame, anchors: DataFrame, again: DataFrame, width: int, gram: int) -> DataFrame:
+    """The runs of windows (windows.RUN) at whose anchors the automata locate the phrase that the anchor's hash names."""
     known = written(dictionary(docs, again, gram), "dictionary")
-    asked = anchors.join(known, "gram").groupBy("key").agg(F.collect_list(F.struct("start", "n", "place", "gram", "whole", "phrase")).alias("asked"))
+    asked = anchors.select("key", "gram").join(known, "gram").groupBy("key").agg(F.collect_list(F.struct("gram", "phrase")).alias("asked"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches, 1, 1 << 19):
-            numbers: dict[str, int] = {}
-            asks = [None if not x.is_valid else x.values for x in b.column(2)]
-            wanted = [[] if x is None else [numbers.setdefault(p, len(numbers)) for p in x.field(5).to_pylist()] for x in asks]
-            for key, x, want, (at, which) in zip(b.column(0), asks, wanted, located(b.column(1).to_pylist(), list(numbers)), strict=True):
-                if x is None:
-                    continue
-                start, n, place, grams, whole = (x.field(i) for i in range(5))
-                here = (start.to_numpy().astype(np.int64) + place.to_numpy()) * len(numbers) + np.array(want, np.int64)
-                stands = pa.array(np.isin(here, at * len(numbers) + which))
-                cols = [c.filter(stands) for c in (start, n, place, grams, whole)]
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(cols[0]), pa.int64()), *cols], ["key", "start", "n", "place", "gram", "whole"])
-
-    return docs.join(asked, "key", "left").select("key", "text", "asked").mapInArrow(task, f"key bigint, {ANCHORS}")
+            asks = b.column(2).flatten()
+            phrases, numbers = np.unique(asks.field(1).to_numpy(zero_copy_only=False).astype(str), return_inverse=True) if len(asks) else (np.zeros(0, str), np.zeros(0, np.int64))
+            grams, first = np.unique(asks.field(0).to_numpy(), return_index=True)
+            number_of = numbers[first]  # of each hash, the phrase that it names
+            found = located(b.column(1).to_pylist(), phrases.tolist())
+            span = 2 + (pc.max(pc.binary_length(b.column(1))).as_py() or 0)  # more than any text has words
+            stands = np.sort(np.concatenate([(row * span + at) * len(phrases) + which for row, (at, which) in enumerate(found)] or [np.zeros(0, np.int64)]))
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            for row, start, n, place, gram_hash, whole in windows.anchored(b.column(1), width, gram, True):
+                at = np.minimum(np.searchsorted(grams, gram_hash), len(grams) - 1)
+                named = np.flatnonzero(grams[at] == gram_hash) if len(grams) else np.zeros(0, np.int64)
+                here = (row[named].astype(np.int64) * span + (start + place)[named]) * len(phrases) + number_of[at[named]]
+                kept = named[np.isin(here, stands)]
+                cols = [keys[row[kept]], start[kept], n[kept], place[kept], gram_hash[kept], whole[kept]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "start", "n", "place", "gram", "whole"])
+
+    return docs.join(asked, "key", "left").select("key", "text", "asked").mapInArrow(task, windows.RUN)
 
 
 def marked(docs: DataFrame, width: int, key: str, text: str, gram: int) -> DataFrame:
     own = windows.keyed(docs, key, text)
-    marks = windows.repeated(own, width, gram, 4, lambda d, rows, again: locate(d, rows, again, gram))
+    marks = windows.repeated(own, width, gram, 4, lambda d, rows, again: locate(d, rows, again, width, gram))
     return own.join(marks, "key", "left").select("id", "text", "marks")
 
 

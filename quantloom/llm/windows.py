@@ -24,7 +24,7 @@ from . import kernels
 from .common import cut, forget, written
 
 U = np.uint64
-ANCHOR = "key bigint, start int, n int, place int, gram bigint, whole bigint"
+RUN = "key bigint, start int, n int, place int, gram bigint, whole bigint"
 CONTEXT = "key bigint, start int, n int, place int, units binary"
 PART = "key bigint, run int, start int, n int, gram bigint, whole bigint"
 WINDOW = "key bigint, start int, gram bigint, whole bigint"
@@ -36,24 +36,28 @@ def word_units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return kernels.word_values(data, starts, ends), rows
 
 
+def anchored(column: pa.Array, window: int, gram: int, with_whole: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, start, n, place of the anchor, its hash, and a hash of all covered, of every run of windows in these texts that has one anchor."""
+    units, at = word_units(column)
+    for row, part, shift in kernels.stretches(at, window):
+        lo, hi = part[0], part[-1]
+        start, n, place, gram_hash, whole = kernels.anchors(units[lo:hi], part - lo, window, gram, with_whole)
+        if len(start):
+            own = np.searchsorted(part - lo, start, "right") - 1
+            base = (part - lo)[own] - shift
+            yield row + own, (start - base).astype(np.int32), n.astype(np.int32), (place - start).astype(np.int32), gram_hash.view(np.int64), whole.view(np.int64) if with_whole else None
+
+
 def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """docs: key, text."""
+    """docs: key, text. The anchors of all windows: key, word, hash."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches, 1):
             keys = b.column(0).to_numpy(zero_copy_only=False)
-            units, at = word_units(b.column(1))
-            for row, part, shift in kernels.stretches(at, window):
-                lo, hi = part[0], part[-1]
-                start, n, place, gram_hash, whole = kernels.anchors(units[lo:hi], part - lo, window, gram)
-                if not len(start):
-                    continue
-                own = np.searchsorted(part - lo, start, "right") - 1
-                base = (part - lo)[own] - shift
-                cols = [keys[row + own], (start - base).astype(np.int32), n.astype(np.int32), (place - start).astype(np.int32), gram_hash.view(np.int64), whole.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "start", "n", "place", "gram", "whole"])
+            for row, start, _, place, gram_hash, _ in anchored(b.column(1), window, gram, False):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array(start + place), pa.array(gram_hash)], ["key", "at", "gram"])
 
-    return docs.select("key", "text").mapInArrow(task, ANCHOR)
+    return docs.select("key", "text").mapInArrow(task, "key bigint, at int, gram bigint")
 
 
 def context_rows(docs: DataFrame, window: int) -> DataFrame:
@@ -159,12 +163,11 @@ def judged(rows: DataFrame, name: str) -> DataFrame:
 def repeated(docs: DataFrame, window: int, gram: int, part: int, locate: Callable) -> DataFrame:
     """docs: key (unique, not null), text. Returns key, marks array<struct<start, n>>: n windows from start on are marked.
 
-    locate gets docs, the anchors of all windows, and the phrases among them that occur again, each with the first place
-    where it does (gram, key, at); it returns the anchors at whose places the phrase stands.
+    locate gets docs, the anchors of all windows (key, at, gram), and the phrases among them that occur again, each with the first
+    place where it does (gram, key, at); it returns the runs of windows at whose anchors the phrase stands.
     """
     rows = written(anchor_rows(docs, window, gram), "anchors")
-    at = F.struct("key", (F.col("start") + F.col("place")).alias("at"))
-    again = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min(at).alias("first")).where("c > 1").select("gram", "first.key", "first.at"), "again")
+    again = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "at")).alias("first")).where("c > 1").select("gram", "first.key", "first.at"), "again")
     shared = written(locate(docs, rows, again), "located")
     forget(rows)
     forget(again)
