@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, classifier, ordermin, packing, phrases, pieces, rules, suffix, tokens, warc
+from . import ann, classifier, middle, ordermin, packing, phrases, pieces, rules, suffix, tokens, warc
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op8_warc_salvage": warc.op8_warc_salvage,
         "op9_order_minhash": ordermin.op9_order_minhash,
         "op10_repeated_passages": phrases.op10_repeated_passages,
+        "op11_fill_in_middle": middle.op11_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": rules.ORACLE, "quality_rule_ablations": rules.ABLATIONS, "op8_warc_salvage": warc.ORACLE, "op10_repeated_passages": phrases.ORACLE}
+    return {"op3_quality_rules": rules.ORACLE, "quality_rule_ablations": rules.ABLATIONS, "op8_warc_salvage": warc.ORACLE, "op10_repeated_passages": phrases.ORACLE, "op11_fill_in_middle": middle.ORACLE}
