@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, classifier, middle, ordermin, packing, phrases, pieces, rules, suffix, tokens, warc
+from . import ann, classifier, middle, negatives, ordermin, packing, phrases, pieces, rules, suffix, tokens, warc
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op9_order_minhash": ordermin.op9_order_minhash,
         "op10_repeated_passages": phrases.op10_repeated_passages,
         "op11_fill_in_middle": middle.op11_fill_in_middle,
+        "op12_hard_negatives": negatives.op12_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": rules.ORACLE, "quality_rule_ablations": rules.ABLATIONS, "op8_warc_salvage": warc.ORACLE, "op10_repeated_passages": phrases.ORACLE, "op11_fill_in_middle": middle.ORACLE}
+    return {"op3_quality_rules": rules.ORACLE, "quality_rule_ablations": rules.ABLATIONS, "op8_warc_salvage": warc.ORACLE, "op10_repeated_passages": phrases.ORACLE, "op11_fill_in_middle": middle.ORACLE, "op12_hard_negatives": negatives.ORACLE}
