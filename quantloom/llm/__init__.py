@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, classifier, middle, negatives, ordermin, packing, phrases, pieces, rules, suffix, tokens, warc
+from . import ann, cells, classifier, middle, negatives, ordermin, packing, phrases, pieces, rules, suffix, tokens, warc
 
 
 def queries() -> dict:
@@ -20,8 +20,9 @@ def queries() -> dict:
         "op10_repeated_passages": phrases.op10_repeated_passages,
         "op11_fill_in_middle": middle.op11_fill_in_middle,
         "op12_hard_negatives": negatives.op12_hard_negatives,
+        "op13_metric_range_join": cells.op13_metric_range_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": rules.ORACLE, "quality_rule_ablations": rules.ABLATIONS, "op8_warc_salvage": warc.ORACLE, "op10_repeated_passages": phrases.ORACLE, "op11_fill_in_middle": middle.ORACLE, "op12_hard_negatives": negatives.ORACLE}
+    return {"op3_quality_rules": rules.ORACLE, "quality_rule_ablations": rules.ABLATIONS, "op8_warc_salvage": warc.ORACLE, "op10_repeated_passages": phrases.ORACLE, "op11_fill_in_middle": middle.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_metric_range_join": cells.ORACLE}
