@@ -48,19 +48,14 @@ def pct_change(x: str | Column, k: int) -> Column:
     return ratio(col(x), lag(x, k)) - 1
 
 
-def moved(x: Column, n: int, agg: Callable[[Column], Column]) -> Column:
-    """A count or sum over the last n rows as the difference of two running ones: a row costs the same whatever n is."""
-    upto, before = order().rowsBetween(Window.unboundedPreceding, 0), order().rowsBetween(Window.unboundedPreceding, -n)
-    return agg(x).over(upto) - F.coalesce(agg(x).over(before), F.lit(0))
-
-
 def known(x: Column, n: int) -> Column:
-    """How many of the last n values aren't null."""
-    return moved(x, n, F.count)
+    """How many of the last n values aren't null: a difference of two running counts, which are exact, so the same work for any n."""
+    upto, before = order().rowsBetween(Window.unboundedPreceding, 0), order().rowsBetween(Window.unboundedPreceding, -n)
+    return F.count(x).over(upto) - F.coalesce(F.count(x).over(before), F.lit(0))
 
 
 def mean(x, n: int) -> Column:
-    return total(x, n) / n
+    return full(n, x, F.avg)
 
 
 def std(x, n: int) -> Column:
@@ -69,8 +64,8 @@ def std(x, n: int) -> Column:
 
 
 def total(x, n: int) -> Column:
-    x = col(x).cast("double")
-    return F.when(known(x, n) >= n, moved(x, n, F.sum))
+    """Each window anew, as all others: a difference of running sums would keep what a large value or an infinity has left behind."""
+    return full(n, col(x).cast("double"), F.sum)
 
 
 def highest(x, n: int) -> Column:
