@@ -29,6 +29,7 @@ def fold(df: DataFrame, by: str, date: str, order: list[str], step: Callable[[di
         first = known.select(by, F.col("state").alias("_state"))
         rows = rows.withColumn("_state", F.lit(None).cast("string")).unionByName(first, allowMissingColumns=True)
     names = [x.strip().split()[0].strip("`") for x in schema.split(",")]
+    whole = [c for c, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint") and c in columns]
 
     def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state, waiting = None, {}, None
@@ -50,7 +51,9 @@ def fold(df: DataFrame, by: str, date: str, order: list[str], step: Callable[[di
                 own = own[own[date].notna()]
             if len(own):
                 key = (key[0], own[date].iloc[0])
-                found = step(state, key[0], key[1], own[columns])
+                # a null anywhere in a batch turns its whole numbers into floating ones
+                own = own[columns].astype({c: "int64" for c in whole if own[c].dtype.kind == "f" and own[c].notna().all()})
+                found = step(state, key[0], key[1], own)
                 if found is not None and len(found):
                     yield found.assign(**{by: key[0], date: key[1], "state": None})[[*names, "state"]]
 
