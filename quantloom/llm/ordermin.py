@@ -15,9 +15,10 @@ families at a cost that grows with the texts, and end as soon as few pairs are l
 
 Then no link within a bucket is left out. In a bucket where at most `FEW` texts are outside its largest class, these are aligned
 with all texts of other classes. Texts of all other buckets make the hot set, and all links within it are found by prefixes: their
-shingles are ordered by how many texts of the set have them, rarest first, and two texts of sizes a and b that agree in m or
-more shingles share one of the first a - m + 1 and b - m + 1. Entries of prefixes are keyed by shingle and by both sizes' classes (3 % wide), so
-that a prefix is no longer than that partner needs; keys that only one class has are done. Copies edited at different places share
+shingles are ordered by how many texts of the set have them (in counters of a fixed number, so about), rare ones first, and two texts of sizes
+a and b that agree in m or more shingles share one of the first a - m + 1 and b - m + 1. These are the keys under which a text is met;
+one that very many texts have is a key only together with each further one. Inside a key a text meets those of possible sizes and other
+classes, if what follows both places can still agree enough. Copies edited at different places share
 their common shingles alone, which stand behind their own rare ones and so outside the prefixes: they are no pairs.
 Classes are the connected components of the links, found by contracting stars.
 
@@ -32,6 +33,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +44,8 @@ from .common import cut, forget, written
 U = np.uint64
 N_ORDERS = 3
 FEW = 16
-STEP = 1.03
+#: Counters of shingles, entries of a bucket, pairs that are looked at together, and texts that make a shingle no key by itself.
+COUNTERS, ENTRIES, PAIRS, OFTEN = 1 << 20, 1 << 18, 1 << 20, 4096
 #: Texts of so many shingles at most have entries of their own: two of them that agree in 0.8 are the same but for one shingle in either.
 SHORT = 9
 
@@ -196,16 +199,20 @@ def components(links: DataFrame) -> DataFrame:
 
     Every star becomes one node, until no links are left between different ones: as many steps as the logarithm of the longest chain.
     """
-    edges, labels = links.select("a", "b"), None
+    edges, labels = written(links.select("a", "b"), "edges"), None
     while True:
         near = written(stars(edges), "stars")
         later = near.select(F.col("node").alias("label"), F.col("label").alias("later"))
-        labels = near if labels is None else written(labels.join(later, "label", "left").select("node", F.coalesce("later", "label").alias("label")), "labels")
+        new = written(near if labels is None else labels.join(later, "label", "left").select("node", F.coalesce("later", "label").alias("label")), "labels")
         a, b = (near.select(F.col("node").alias(x), F.col("label").alias(f"to_{x}")) for x in "ab")
         moved = edges.join(a, "a").join(b, "b").where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
-        edges = written(moved.distinct(), "edges")
+        fewer = written(moved.distinct(), "edges")
+        for used in (near, edges, *([] if labels is None else [labels])):
+            forget(used)
+        labels, edges = new, fewer
         if edges.isEmpty():
             break
+    forget(edges)
     least = labels.groupBy("label").agg(F.min("node").alias("least"))
     return labels.join(least, "label").select("node", F.col("least").alias("label"))
 
@@ -245,48 +252,127 @@ def crossing_pairs(crossed: DataFrame, largest: DataFrame, threshold: float) ->
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def counters(texts: DataFrame) -> np.ndarray:
+    """How many texts hold shingles of each of COUNTERS hashes: a table of fixed size, whatever the number of shingles."""
+    chunk = 1 << 14
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            if b.num_rows:
+                n += np.bincount(counter_of(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64)), minlength=COUNTERS)
+        some = [i for i in range(0, COUNTERS, chunk) if n[i : i + chunk].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([n[i : i + chunk].tobytes() for i in some], pa.binary())], ["at", "n"])
+
+    def added(own: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"at": [own["at"].iloc[0]], "n": [sum(np.frombuffer(x, np.int64) for x in own["n"]).tobytes()]})
+
+    parts = texts.select("seq").mapInArrow(task, "at int, n binary").withColumn("some", F.pmod(F.spark_partition_id(), F.lit(32)))
+    out = np.zeros(COUNTERS, np.int64)
+    for r in parts.groupBy("at", "some").applyInPandas(added, "at int, n binary").groupBy("at").applyInPandas(added, "at int, n binary").collect():
+        out[r["at"] : r["at"] + chunk] = np.frombuffer(r["n"], np.int64)
+    return out
+
+
+def counter_of(shingles: np.ndarray) -> np.ndarray:
+    return (kernels.mix(shingles.view(np.uint64)) >> np.uint64(64 - int(COUNTERS).bit_length() + 1)).astype(np.int64)
+
+
+def prefix_of(seq: np.ndarray, counts: np.ndarray, threshold: float, often: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys under which a text is met, and the place of each key's shingle in the text's order, from 0.
+
+    The order is by counter, then by value: the same for all texts, rare shingles first. Two similar texts share a shingle among as many as one
+    more than need not agree; and two among one more than these, where they have two. A shingle that very many texts hold is no key by itself, but
+    with each other one of these: so a hot key is split, and no pair is lost.
+    """
+    size = len(seq)
+    n = counts[counter_of(seq)]
+    order = np.lexsort((seq, n))
+    free = size - int(np.ceil(threshold * size - 1e-9))  # that need not agree with any partner
+    first, wider = order[: free + 1], order[: free + 2]
+    hot = (n[first] > often) & (size > 1)
+    keys, at = [seq[first[~hot]].view(np.uint64)], [np.flatnonzero(~hot)]
+    for i in np.flatnonzero(hot):
+        others = seq[np.delete(wider, i)].view(np.uint64)
+        keys.append(kernels.mix(others) ^ kernels.mix(seq[first[i] : first[i] + 1].view(np.uint64)))
+        at.append(np.full(len(others), i))
+    return np.concatenate(keys), np.concatenate(at)
+
+
+def met_in(entries: np.ndarray, threshold: float) -> np.ndarray:
+    """a, b: pairs of different classes that share a key and whose sizes and places leave room for the threshold; each once."""
+    entries = entries[np.lexsort((entries["size"], entries["key"]))]
+    size, key = entries["size"].astype(np.float64), entries["key"]
+    ends = np.searchsorted(key, key, "right")  # the partners of a row are behind it, up to the largest size that is possible
+    most = np.floor(size / threshold + 1e-9)
+    # sorted by key and size: a row's last partner is found by one search over both
+    rank = np.searchsorted(np.unique(key), key).astype(np.float64)
+    wide = size.max(initial=0) / threshold + 2
+    stop = np.minimum(ends, np.searchsorted(rank * wide + size, rank * wide + most, "right"))
+    n = np.maximum(stop - np.arange(len(entries)) - 1, 0)
+    found, i = [np.zeros((0, 2), np.int64)], 0
+    total = np.concatenate([[0], np.cumsum(n)])
+    while i < len(entries):  # some pairs at a time
+        j = max(i + 1, int(np.searchsorted(total, total[i] + PAIRS, "right")) - 1)
+        left = np.repeat(np.arange(i, j), n[i:j])
+        right = left + 1 + np.arange(len(left)) - np.repeat(total[i:j] - total[i], n[i:j])
+        a, b = entries[left], entries[right]
+        sizes = a["size"].astype(np.int64) + b["size"]
+        need = np.ceil(threshold * sizes / (1 + threshold) - 1e-9)
+        room = np.minimum(a["size"] - a["at"], b["size"] - b["at"]) >= need
+        fits = (np.minimum(a["size"], b["size"]) >= need) & (np.maximum(a["size"], b["size"]) > need)
+        ok = (a["label"] != b["label"]) & room & fits
+        found.append(np.stack([np.minimum(a["rep"], b["rep"])[ok], np.maximum(a["rep"], b["rep"])[ok]], axis=1))
+        found = [np.unique(np.concatenate(found), axis=0)]
+        i = j
+    return found[0]
+
+
 def prefix_pairs(hot: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """hot: rep, size, label (unique reps). a, b: all pairs of different classes whose prefixes leave room for `threshold`."""
+    """hot: rep, size, label (unique reps). a, b: all pairs of different classes whose prefixes leave room for `threshold`.
+
+    Entries go packed, by buckets of keys, and are met inside a bucket in numpy: what becomes rows are pairs.
+    """
+    own = written(hot.join(texts, F.col("rep") == F.col("key")).select("rep", "size", "label", "seq"), "prefixed")
+    counts = counters(own)
+    often = OFTEN + 2 * int(counts.mean())
+    known = own.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers
+    total = own.agg(F.sum("size")).first()[0] or 0
+    buckets = max(1, -(-int(total * (1 - threshold) + own.count()) // ENTRIES))
+    kind = np.dtype([("key", np.uint64), ("rep", np.int64), ("label", np.int64), ("size", np.int32), ("at", np.int32)])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def sent() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            bucket = (kernels.mix(rows["key"]) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            names, starts = np.unique(bucket[order], return_index=True)
+            parts = np.split(rows[order], starts[1:])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["bucket", "entries"])
+
         for b in cut(batches, 3):
-            seqs = [np.frombuffer(q.as_buffer(), np.int64) for q in b.column(3)]
-            at = np.repeat(np.arange(len(seqs)), [len(q) for q in seqs])
-            cols = [b.column(i).take(pa.array(at)) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(seqs) if seqs else np.zeros(0, np.int64))], ["rep", "size", "label", "shingle"])
-
-    own = hot.join(texts, F.col("rep") == F.col("key")).select("rep", "size", "label", "seq")
-    rows = written(own.mapInArrow(task, "rep bigint, size int, label bigint, shingle bigint"), "shingles")
-    common = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("df > 1"), "common")
-    kept = rows.join(common, "shingle").groupBy("rep", "size", "label")
-    ranked = kept.agg(F.array_sort(F.collect_list(F.struct("df", "shingle", (F.col("lo") != F.col("hi")).alias("mixed")))).alias("s"))
-    # shingles that no other text has come first, and need no entry
-    each = ranked.withColumn("own", F.col("size") - F.size("s")).select("rep", "size", "label", "own", F.col("s.shingle").alias("all"), F.posexplode("s").alias("i", "s"))
-    before = F.slice("all", F.greatest(F.lit(1), F.col("i") - 5), F.least(F.lit(6), F.col("i")))
-    each = each.select("rep", "size", "label", "s.shingle", "s.mixed", (F.col("own") + F.col("i")).alias("pos"), before.alias("before"))
-    size = F.col("size")
-    class_of = lambda x: F.floor(F.ln(x) / float(np.log(STEP))).cast("int")
-    first = each.where(F.col("mixed") & (F.col("pos") <= size - F.ceil(threshold * size - F.lit(1e-9))))
-    wide = first.withColumn("c", class_of(F.greatest(size, F.lit(1)).cast("double")))
-    wide = wide.withColumn("d", F.explode(F.sequence(class_of(F.greatest(F.lit(1.0), threshold * size)) - 1, class_of(size / threshold) + 1)))
-    smallest = F.greatest(F.lit(1.0), F.floor(F.pow(F.lit(STEP), F.col("d"))) - 1)
-    least = F.ceil(threshold * (size + smallest) / (1 + threshold) - F.lit(1e-9))
-    wide = wide.where(F.col("pos") <= size - least).select("shingle", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "c", "rep", "size", "label", "pos", "before")
-    entries = written(wide, "prefixes")
-    keys = ["shingle", "lo", "hi"]
-    mixed = entries.groupBy(*keys).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(*keys)
-    open_ = entries.join(mixed, keys)
-    forget(rows)
-    forget(common)
-    a, b = (open_.select(*keys, *[F.col(x).alias(f"{side}_{x}") for x in ("c", "rep", "size", "label", "pos", "before")]) for side in "ab")
-    both = a.join(b, keys).where(
-        (F.col("a_c") == F.col("lo")) & (F.col("b_c") == F.col("hi")) & ((F.col("lo") < F.col("hi")) | (F.col("a_rep") < F.col("b_rep"))) & (F.col("a_label") != F.col("b_label"))
-    )
-    needed = F.ceil(threshold * (F.col("a_size") + F.col("b_size")) / (1 + threshold) - F.lit(1e-9))
-    # a pair meets at every shingle that it shares; where it shares one just before too, it has met already
-    both = both.where(~F.arrays_overlap("a_before", "b_before"))
-    both = both.where(possible(F.col("a_size"), F.col("b_size"), threshold) & (F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos")) >= needed))
-    return both.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
+            for rep, size, label, seq in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                keys, at = prefix_of(np.frombuffer(seq, np.int64), known.value, threshold, often)
+                rows = np.zeros(len(keys), kind)
+                rows["key"], rows["rep"], rows["label"], rows["size"], rows["at"] = keys, rep, label, size, at
+                held.append(rows)
+                n += len(rows)
+            if n > ENTRIES:
+                yield sent()
+                held, n = [], 0
+        if n:
+            yield sent()
+
+    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+        found = met_in(np.frombuffer(b"".join(group["entries"]), kind), threshold)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    packed = own.mapInArrow(task, "bucket int, entries binary")
+    out = written(packed.groupBy("bucket").applyInPandas(pairs, "a bigint, b bigint").distinct(), "met")
+    forget(own)
+    return out
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -316,35 +402,43 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
     forget(entries)
     forget(shared)
     texts = written(shingled(own.join(todo.select(F.col("rep").alias("key")).distinct().hint("merge"), "key"), k), "texts")
-    links, tried, n_entries = None, None, todo.count()
+    links, tried, n_entries, used = None, None, todo.count(), [todo]
     for turn in range(rounds + 1):
         buckets = None
         if turn > 0 or turn == rounds:
             buckets = written(outside(todo), "buckets")
+            used.append(buckets)
             pairs_left = buckets.agg(F.sum(F.col("n").cast("double") * F.col("of"))).first()[0] or 0
         last = turn == rounds or (turn > 0 and pairs_left <= 4 * n_entries)
         if not last:
             order = -F.col("fame") if turn == 0 else F.xxhash64("rep", "order", F.lit(turn))
             by = F.struct(order.alias("x"), F.col("rep").alias("leader"), F.col("size").alias("leader_size"), F.col("label").alias("leader_label"))
             leaders = written(todo.groupBy("entry").agg(F.min(by).alias("by")).select("entry", "by.leader", "by.leader_size", "by.leader_label"), "leaders")
+            used.append(leaders)
             pairs = todo.join(leaders, "entry").where((F.col("label") != F.col("leader_label")) & possible(F.col("size"), F.col("leader_size"), threshold))
             pairs = pairs.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
         else:
             pairs = crossing_pairs(todo, buckets.where(F.col("n") <= FEW).select("entry", "largest"), threshold)
             hot = written(todo.join(buckets.where(F.col("n") > FEW).select("entry"), "entry", "left_semi").select("rep", "size", "label").distinct(), "hot")
+            used.append(hot)
             if not hot.isEmpty():
-                pairs = pairs.unionByName(prefix_pairs(hot, texts, threshold)).distinct()
+                met = prefix_pairs(hot, texts, threshold)
+                used.append(met)
+                pairs = pairs.unionByName(met).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
+        used.append(pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = written(verified(pairs, texts, threshold), "links")
+        used.append(new)
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
         if last:
             break
         if links is not None:
             todo = crossing(todo, stars(links))
+            used.append(todo)
     forget(texts)
     by_text = texts_of.withColumnsRenamed({"rep": "node"})
     if links is None:
@@ -354,6 +448,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
         by_text = by_text.join(components(links), "node", "left").join(degree, "node", "left")
         by_text = by_text.select("w1", "w2", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     by_text = written(by_text, "classes")
+    for table in (*used, texts_of):
+        forget(table)
     kind = docs.schema[key].dataType.simpleString()
     worded = spread_join(marks.where("w1 is not null").select("key", "w1", "w2"), by_text, ["w1", "w2"]).select("key", "label", "n_links")
     named = worded.unionByName(marks.where("w1 is null").select("key", F.col("key").alias("label"), F.lit(0).cast("bigint").alias("n_links")))
@@ -368,7 +464,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that are the first of their class, all their columns. For unique keys that are not null."""
-    return docs.join(classes(docs.select(key, text), key, text).where("kept").select(key), key, "left_semi").select(*docs.columns)
+    return docs.join(classes(docs.select(key, text), key, text).where("kept").select(key), key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_order_minhash(spark, sf_dir: str) -> DataFrame:
