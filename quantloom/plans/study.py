@@ -1,15 +1,18 @@
 """Research, construction and timing queries said once in SQL that Spark and the checking engine both read.
 
+Spark's side reads a stored panel, so a statement that names it many times doesn't derive it again; those that share the ranked table find that
+stored too. Where an operator of the library answers a query (rebuilt.py), it takes the place of the statement's Spark side.
+
 A statement selects from `p`, the weekly panel (bars, ret, four features, fwd), and from what else it names in `uses`: `m` (master),
 `uni` (universe), `ur` (the universe's return by date). Spark gets these as DataFrames and plans each statement as a whole.
 """
 
 from __future__ import annotations
 
-from ..functions import windows as W
 from ..operators import evaluation as E
 from ..operators import panel as P
 from ..sources import market
+from ..stored import stored
 from . import sql as S
 from .panel import NAVS, PANEL, UNI, r, rounded  # noqa: F401
 from .registry import query
@@ -23,17 +26,22 @@ NAMED = {"m": MASTER, "uni": UNI, "ur": NAVS.split("nv as")[0].split(f"{PANEL},
 def frames(spark, d) -> dict:
     """What statements may select from; nothing is computed before it is used."""
     supplier, nation = market.table(spark, d, "supplier"), market.table(spark, d, "nation")
+    panel = []
+
+    def p():
+        if not panel:
+            panel.append(stored(P.weekly_panel(spark, d), "panel"))
+        return panel[0]
     named = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
 
     def returns():
-        bars = market.weekly_bar(spark, d)
-        return E.universe_returns(market.universe_membership(bars), bars.withColumn("ret", W.pct_change("close", 1)))
+        return E.universe_returns(market.universe_membership(p()), p())
 
     return {
-        "p": lambda: P.weekly_panel(spark, d),
+        "p": p,
         "m": lambda: named.selectExpr("s_suppkey as symbol", "s_name as security_name", "n_name as industry", "n_nationkey as nation"),
         "sup": lambda: supplier,
-        "uni": lambda: market.universe_membership(market.weekly_bar(spark, d)),
+        "uni": lambda: market.universe_membership(p()),
         "ur": returns,
         "fq": lambda: spark.sql(QUARTERS.split(" as ", 1)[1].strip()[1:-1].replace("from orders join customer", "from {orders} join {customer}"), orders=market.table(spark, d, "orders"), customer=market.table(spark, d, "customer")),
     }
@@ -45,9 +53,15 @@ def both(name: str, text: str, uses: tuple[str, ...] = ()) -> None:
 
     def run(spark, d):
         known = frames(spark, d)
-        own = {u: known[u]() for u in ("p", *uses)}
+        own, body = {u: known[u]() for u in ("p", *uses)}, text
+        if "ur" in own:
+            own["ur"] = stored(own["ur"], "returns")
+        if text.startswith(RANKED):
+            own["lr"] = stored(spark.sql(f"with p as (select * from {{p}}), {RANKED} select * from lr", p=own["p"]), "ranked")
+            own["ic"] = stored(spark.sql(f"with lr as (select * from {{lr}}), {IC_OF} select * from ic", lr=own["lr"]), "ics")
+            body = text.removeprefix(RANKED).removeprefix(f", {IC_OF}").lstrip(", \n")
         tables = ", ".join(f"{u} as (select * from {{{u}}})" for u in own)
-        return spark.sql(f"with {tables}, {text}" if not text.startswith("select") else f"with {tables} {text}", **own)
+        return spark.sql(f"with {tables}, {body}" if not body.startswith("select") else f"with {tables} {body}", **own)
 
     query(name, f"with {PANEL}{extra}{' ' if text.startswith('select') else ', '}{text}")(run)
 
@@ -64,11 +78,12 @@ def rank_of(x: str, by: str) -> str:
 
 
 LONG = "lo as (" + " union all ".join(f"select symbol, trade_date, fwd, '{f}' as factor, {f} as x from p" for f in FEAT) + ")"
-RANKS = f"""{LONG}, lk as (select * from lo where x is not null and fwd is not null),
+RANKED = f"""{LONG}, lk as (select * from lo where x is not null and fwd is not null),
 lr as (select *, {rank_of("x", "factor, trade_date")} as rx, {rank_of("fwd", "factor, trade_date")} as ry, count(*) over (partition by factor, trade_date) as n,
-  row_number() over (partition by factor, trade_date order by x, symbol) as i from lk),
-li as (select factor, trade_date, {pearson("rx", "ry")} as ic from lr where n >= 20 group by factor, trade_date),
-ic as (select * from li where ic is not null),
+  row_number() over (partition by factor, trade_date order by x, symbol) as i from lk)"""
+IC_OF = f"""li as (select factor, trade_date, {pearson("rx", "ry")} as ic from lr where n >= 20 group by factor, trade_date),
+ic as (select * from li where ic is not null)"""
+RANKS = f"""{RANKED}, {IC_OF},
 lb as (select factor, trade_date, greatest(1, cast(ceil((i - 1) * 5.0 / greatest(n - 1, 1)) as int)) as bucket, avg(fwd) as y from lr group by 1, 2, 3),
 bk as (select factor, bucket, avg(y) as y from lb group by factor, bucket),
 ls as (select factor, max_by(y, bucket) - min_by(y, bucket) as long_short, {pearson("cast(bucket as double)", "y")} as monotonicity from bk group by factor),
