@@ -3,9 +3,9 @@
 Phrases of `gram` words that recur anywhere in the corpus are confirmed by their counts (windows.py) and make a dictionary: each
 phrase once, with its words as they stand at the first place. The dictionary is cut into shards by where it is needed: every
 part of the documents gets those phrases that the hashes of its own phrases ask for, whichever document they were taken from, in
-automata of at most `SHARD` phrases. All documents stream through the automata of their part, and only where a phrase of the
-dictionary is located letter by letter do windows of `width` words around it go on to be compared in full; a hash that
-agrees by chance is found out there. So no document meets phrases that it can't hold, and the work grows with the
+automata of at most `SHARD` phrases. All documents that ask for any stream through the automata of their part, and the places that
+these locate, letter by letter, are the only ones around which windows of `width` words go on to be compared in full: an occurrence of any of the part's
+phrases counts, and a hash that agrees by chance finds nothing. So no document meets phrases that it can't hold, and the work grows with the
 input, as it would not if all documents met all shards. Of equal windows the first (smallest id, then smallest start) stays, and
 the words of all others go. Windows are judged on the input.
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows
-from .common import cut, written
+from .common import cut, forget, written
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SHARD = 16_000
@@ -58,46 +58,47 @@ def dictionary(docs: DataFrame, again: DataFrame, gram: int) -> DataFrame:
     return docs.join(places, "key").select("text", "places").mapInArrow(task, "gram bigint, phrase string")
 
 
-def located(texts: list[str | None], phrases: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text, at which words and which of the phrases stand in it: every occurrence. Phrases differ, and have a blank at both ends."""
+def located(texts: list[str | None], phrases: list[str]) -> list[np.ndarray]:
+    """For each text, at which words one of the phrases stands: every occurrence. Phrases differ, and have a blank at both ends."""
     rows = [plain(t) for t in texts]
-    found = [([], []) for _ in rows]
+    found = [[] for _ in rows]
     for i in range(0, len(phrases), SHARD):
         automaton = ahocorasick.Automaton()
-        for k, phrase in enumerate(phrases[i : i + SHARD], i):
-            automaton.add_word(phrase, k)
+        for phrase in phrases[i : i + SHARD]:
+            automaton.add_word(phrase, 2 - len(phrase))  # from a hit's end to where its first word begins
         automaton.make_automaton()
-        for (words, _), (ends, which) in zip(rows, found, strict=True):
-            for end, k in automaton.iter(words):
-                ends.append(end - len(phrases[k]) + 2)
-                which.append(k)
-    return [(np.searchsorted(begins, np.array(ends, np.int64)), np.array(which, np.int64)) for (_, begins), (ends, which) in zip(rows, found, strict=True)]
+        for (words, _), at in zip(rows, found, strict=True):
+            at += [end + back for end, back in automaton.iter(words)]
+    return [np.searchsorted(begins, np.array(at, np.int64)) for (_, begins), at in zip(rows, found, strict=True)]
 
 
 def locate(docs: DataFrame, anchors: DataFrame, again: DataFrame, width: int, gram: int) -> DataFrame:
-    """The runs of windows (windows.RUN) at whose anchors the automata locate the phrase that the anchor's hash names."""
+    """The runs of windows (windows.RUN) around the places at which the automata locate a phrase. Takes the tables of anchors and phrases over.
+
+    A part of the documents gets the phrases that it may hold, told by hashes; where they stand, only the automata say.
+    """
     known = written(dictionary(docs, again, gram), "dictionary")
-    asked = anchors.select("key", "gram").join(known, "gram").groupBy("key").agg(F.collect_list(F.struct("gram", "phrase")).alias("asked"))
+    forget(again)
+    asks = written(anchors.select("key", "gram").join(known, "gram").select("key", "phrase"), "asked")
+    forget(anchors)
+    forget(known)
+    asked = asks.groupBy("key").agg(F.collect_list("phrase").alias("asked"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches, 1, 1 << 19):
-            asks = b.column(2).flatten()
-            phrases, numbers = np.unique(asks.field(1).to_numpy(zero_copy_only=False).astype(str), return_inverse=True) if len(asks) else (np.zeros(0, str), np.zeros(0, np.int64))
-            grams, first = np.unique(asks.field(0).to_numpy(), return_index=True)
-            number_of = numbers[first]  # of each hash, the phrase that it names
-            found = located(b.column(1).to_pylist(), phrases.tolist())
+            phrases = pc.unique(b.column(2).flatten()).to_pylist()
+            found = located(b.column(1).to_pylist(), phrases)
             span = 2 + (pc.max(pc.binary_length(b.column(1))).as_py() or 0)  # more than any text has words
-            stands = np.sort(np.concatenate([(row * span + at) * len(phrases) + which for row, (at, which) in enumerate(found)] or [np.zeros(0, np.int64)]))
+            places = np.unique(np.concatenate([row * span + at for row, at in enumerate(found)] or [np.zeros(0, np.int64)]))
             keys = b.column(0).to_numpy(zero_copy_only=False)
             for row, start, n, place, gram_hash, whole in windows.anchored(b.column(1), width, gram, True):
-                at = np.minimum(np.searchsorted(grams, gram_hash), len(grams) - 1)
-                named = np.flatnonzero(grams[at] == gram_hash) if len(grams) else np.zeros(0, np.int64)
-                here = (row[named].astype(np.int64) * span + (start + place)[named]) * len(phrases) + number_of[at[named]]
-                kept = named[np.isin(here, stands)]
+                kept = np.flatnonzero(np.isin(row.astype(np.int64) * span + start + place, places))
                 cols = [keys[row[kept]], start[kept], n[kept], place[kept], gram_hash[kept], whole[kept]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "start", "n", "place", "gram", "whole"])
 
-    return docs.join(asked, "key", "left").select("key", "text", "asked").mapInArrow(task, windows.RUN)
+    out = written(docs.join(asked, "key").select("key", "text", "asked").mapInArrow(task, windows.RUN), "located")
+    forget(asks)
+    return out
 
 
 def marked(docs: DataFrame, width: int, key: str, text: str, gram: int) -> DataFrame:

@@ -164,13 +164,11 @@ def repeated(docs: DataFrame, window: int, gram: int, part: int, locate: Callabl
     """docs: key (unique, not null), text. Returns key, marks array<struct<start, n>>: n windows from start on are marked.
 
     locate gets docs, the anchors of all windows (key, at, gram), and the phrases among them that occur again, each with the first
-    place where it does (gram, key, at); it returns the runs of windows at whose anchors the phrase stands.
+    place where it does (gram, key, at), and deletes both tables; it returns a table of the runs of windows at whose anchors a phrase stands.
     """
     rows = written(anchor_rows(docs, window, gram), "anchors")
     again = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "at")).alias("first")).where("c > 1").select("gram", "first.key", "first.at"), "again")
-    shared = written(locate(docs, rows, again), "located")
-    forget(rows)
-    forget(again)
+    shared = locate(docs, rows, again)
     runs = judged(shared, "runs")
     forget(shared)
     lists = runs.where("resolve").groupBy("key").agg(F.collect_list(F.struct("start", "n", "place")).alias("runs"))

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.llm import classifier, ordermin, packing, phrases, pieces, rules, suffix, tokens
+from quantloom.llm.common import written
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, `words` string, h1 int"
@@ -231,10 +232,10 @@ def test_automata_locate_every_occurrence(monkeypatch):
     texts = ["a b c d e b c", "c d e\nx  y z", "é b c", None, "bc b", "b c b c b c"]
     wanted = [" b c ", " c d e ", " y z ", " b c b ", " é "]
     found = phrases.located(texts, wanted)
-    for text, (at, which) in zip(texts, found):
+    for text, at in zip(texts, found):
         words = WORD.findall(text or "")
-        want = sorted((j, k) for k, p in enumerate(wanted) for j in range(len(words)) if words[j : j + len(p.split())] == p.split())
-        assert sorted(zip(at.tolist(), which.tolist())) == want
+        want = sorted(j for p in wanted for j in range(len(words)) if words[j : j + len(p.split())] == p.split())
+        assert sorted(at.tolist()) == want
 
 
 def test_automata_decide(spark, monkeypatch):
@@ -246,13 +247,24 @@ def test_automata_decide(spark, monkeypatch):
     own = windows.keyed(df, "doc_id", "text")
     anchors = windows.anchor_rows(own, 20, 8)
     again = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "at")).alias("first")).where("c > 1").select("gram", "first.key", "first.at")
-    good = phrases.locate(own, anchors, again, 20, 8).collect()
+    tables = lambda *dfs: [written(df, "table") for df in dfs]  # noqa: E731  locate deletes what it takes over
+    good = phrases.locate(own, *tables(anchors, again), 20, 8).collect()
     assert {r["key"] for r in good} == {0, 1}
     wrong = again.withColumn("key", F.lit(2).cast("bigint")).withColumn("at", F.lit(3))  # as if the hashes stood for other words
-    assert phrases.locate(own, anchors, wrong, 20, 8).count() == 0
+    assert phrases.locate(own, *tables(anchors, wrong), 20, 8).count() == 0
     assert kernels is not None
 
 
+def test_without_phrases_no_place_is_found(spark):
+    """The places come from the automata alone: anchors that recur, but whose phrases are not in the dictionary, lead to no run."""
+    from quantloom.llm import windows
+
+    own = windows.keyed(spark.createDataFrame(rows([" ".join(f"a{i}" for i in range(40))] * 2), SCHEMA), "doc_id", "text")
+    anchors = written(windows.anchor_rows(own, 20, 8), "anchors")
+    none = written(anchors.select("gram", "key", "at").limit(0), "again")
+    assert phrases.locate(own, anchors, none, 20, 8).count() == 0
+
+
 def test_ids_of_any_type(spark):
     text = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([("x", text), ("b", text), (None, None), ("c", "one two")], "doc_id string, text string")
