@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from . import extended, more, panel, pool, rebuilt, registry, study, timing  # noqa: F401  these register their queries
+    from . import checks, extended, more, panel, pool, rebuilt, registry, study, timing  # noqa: F401  these register their queries
 
     return registry.QUERIES

@@ -130,3 +130,20 @@ def adjusted_prices(spark, d):
     factors = steps.select("symbol", "trade_date", F.exp(F.sum(F.ln("step")).over(Window.partitionBy("symbol").orderBy("trade_date"))).alias("factor"))
     x = A.as_of(p, factors, "symbol", "trade_date", ["factor"]).withColumn("factor", F.coalesce("factor", F.lit(1.0)))
     return x.select("symbol", "trade_date", F.round(F.col("factor") + 1e-9, 6).alias("adjust_factor"), F.round(F.col("close") * F.col("factor") + 1e-9, 4).alias("adjusted_close"))
+
+
+@instead("staleness")
+def staleness(spark, d):
+    x = A.as_of(named(spark, d), quarters(spark, d).withColumn("since", F.col("due")), "nation", "trade_date", ["since"], "due").where("since is not null")
+    age = A.age_in_days("trade_date", "since")
+    return x.select("symbol", "trade_date", age.alias("age"), F.when(age <= 120, "fresh").when(age <= 240, "stale").otherwise("expired").alias("state"), (age > 240).alias("must_refresh"))
+
+
+@instead("score_ranks")
+def score_ranks(spark, d):
+    from pyspark.sql import Window
+
+    from ..functions import cross as X
+
+    p = P.weekly_panel(spark, d).where("mom20 is not null")
+    return rounded(p.select("trade_date", "symbol", F.rank().over(Window.partitionBy("trade_date").orderBy(F.desc("mom20"))).cast("bigint").alias("min_rank"), X.percent_rank("mom20").alias("share")))

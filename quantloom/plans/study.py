@@ -239,7 +239,7 @@ select trade_date, {r("avg(case when i <= greatest(1, floor(0.1e0 * n)) then fwd
 both("value_buckets", f"""q as (select trade_date, {", ".join(f"percentile_cont({k / 4}) within group (order by mom20) as e{k}" for k in (1, 2, 3))} from p where mom20 is not null group by trade_date)
 select p.trade_date, symbol, case when mom20 <= e1 then 1 when mom20 <= e2 then 2 when mom20 <= e3 then 3 else 4 end as bucket from p join q on p.trade_date = q.trade_date where mom20 is not null""")
 
-both("score_ranks", f"select trade_date, symbol, cast(rank() over (partition by trade_date order by mom20 desc) as bigint) as min_rank, {r('cume_dist() over (partition by trade_date order by mom20)')} as share from p where mom20 is not null")
+both("score_ranks", f"select trade_date, symbol, cast(rank() over (partition by trade_date order by mom20 desc) as bigint) as min_rank, {r(rank_of("mom20", "trade_date") + " / count(*) over (partition by trade_date)")} as share from p where mom20 is not null")
 
 both("normality", f"""k as (select ret, avg(ret) over () as mu from p where ret is not null), s as (select count(*) as n, avg(pow(ret - mu, 2)) as m2, avg(pow(ret - mu, 3)) as m3, avg(pow(ret - mu, 4)) as m4 from k)
 select n, {r("m3 / pow(m2, 1.5e0)", 4)} as skew, {r("m4 / (m2 * m2) - 3", 4)} as excess_kurtosis, n / 6e0 * (pow(m3 / pow(m2, 1.5e0), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4) < 5.99 as normal from s""")
@@ -349,9 +349,8 @@ _ASOF = f"""du as (select nation, quarter, revenue, {STATUTORY} as due from fq),
 nm as (select p.symbol, p.trade_date, nation from p join m on p.symbol = m.symbol), aj as (select nm.symbol, nm.trade_date, de.quarter, de.due, de.revenue, de.before, row_number() over (partition by nm.symbol, nm.trade_date order by de.quarter desc) as k from nm join de on nm.nation = de.nation and de.due <= nm.trade_date)"""
 both("lagged_fundamentals", f"{_ASOF} select symbol, trade_date, revenue, before as revenue_before, {r('revenue / nullif(before, 0) - 1', 5)} as growth from aj where k = 1", ("m", "fq"))
 
-_DAYS = "(year({0}) * 372 + month({0}) * 31 + day({0}))"
-both("staleness", f"""{_ASOF}, s as (select symbol, trade_date, {_DAYS.format("trade_date")} - {_DAYS.format("due")} as age from aj where k = 1)
-select symbol, trade_date, age, case when age <= 124 then 'fresh' when age <= 248 then 'stale' else 'expired' end as state, age > 248 as must_refresh from s""", ("m", "fq"))
+both("staleness", f"""{_ASOF}, s as (select symbol, trade_date, cast(trade_date - due as int) as age from aj where k = 1)
+select symbol, trade_date, age, case when age <= 120 then 'fresh' when age <= 240 then 'stale' else 'expired' end as state, age > 240 as must_refresh from s""", ("m", "fq"))
 
 both("leakage_check", f"""du as (select nation, quarter, revenue, {STATUTORY} as due from fq), nm as (select p.symbol, p.trade_date, nation from p join m on p.symbol = m.symbol),
 na as (select nm.trade_date, du.due from nm join du on nm.nation = du.nation and du.quarter = cast(date_trunc('quarter', nm.trade_date) as date)) select count(*) as n_rows, sum(case when due > trade_date then 1 else 0 end) as n_leaking, {r("avg(case when due > trade_date then 1e0 else 0e0 end)")} as leaking_share from na""", ("m", "fq"))

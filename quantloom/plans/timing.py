@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import cross as X
 from ..operators import asof as A
 from ..operators import fundamentals as U
 from ..operators import panel as P
@@ -137,17 +136,3 @@ select factor, {r("m")} as ic_mean, {r("ir")} as ic_ir, {r("mono")} as monotonic
 )
 def degradation_report(spark, d):
     return rounded(T.degradation(ranked(spark, d), 1998), best_year_share=4)
-
-
-@query(
-    "score_percentiles",
-    f"with {PANEL} select trade_date, symbol, rank() over (partition by trade_date order by mom20 desc) as min_rank, {r('(rank() over (partition by trade_date order by mom20) + (count(*) over (partition by trade_date, mom20) - 1) / 2.0) / count(*) over (partition by trade_date)')} as share from p where mom20 is not null",
-)
-def score_percentiles(spark, d):
-    """Of a score, the least rank from the top and the share with average ties."""
-    from pyspark.sql import Window
-
-    p = P.weekly_panel(spark, d).where("mom20 is not null")
-    return rounded(p.select("trade_date", "symbol", F.rank().over(Window.partitionBy("trade_date").orderBy(F.desc("mom20"))).cast("bigint").alias("min_rank"), X.percent_rank("mom20").alias("share")))
-
-
