@@ -25,7 +25,7 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,8 +78,8 @@ def record(key: int | None, uri: str | None, payload: bytes, revisit: bool, refe
     return VERSION + head + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = 32 << 20) -> None:
-    """pages: page_id, url, html."""
+def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = 32 << 20, spoil: Callable[[int | None, bytes], bytes] | None = None) -> None:
+    """pages: page_id, url, html. spoil: what to make of a page's member, for archives that are damaged on purpose."""
     size = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)))).first()[0] or 0
     records_per_file = max(1, int(file_bytes // (size + 1000)))  # before compression, with some room for headers
     own = pages.select(
@@ -99,6 +99,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: i
         for b in cut(batches, 2):
             cols = [c.to_pylist() for c in b.columns]
             out = [member(record(k, u, h.encode("utf-8"), again, first if again else None)) for k, u, h, first, again in zip(*cols, strict=True)]
+            out = out if spoil is None else [spoil(k, m) for k, m in zip(cols[0], out, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     end = member(b"").decode("latin-1")
@@ -247,6 +248,27 @@ def op8_warc_salvage(spark, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def spoilt(page_id: int | None, data: bytes) -> bytes:
+    """Every fiftieth member with a byte in its middle turned over."""
+    if page_id is None or page_id % 50 != 7:
+        return data
+    i = len(data) // 2
+    return data[:i] + bytes([data[i] ^ 0xFF]) + data[i + 1 :]
+
+
+def warc_salvage_gaps(spark, sf_dir: str) -> DataFrame:
+    """Of an archive damaged on purpose, which pages come back; what lies behind a damaged member does."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = fresh_path(spark, "warc")
+    write_archive(pages, path, spoil=spoilt)
+    records, _ = read_archive(spark, path)
+    delete(spark, path)
+    back = records.where(F.col("page_id").isNotNull()).select("page_id", F.lit(True).alias("recovered"))
+    return pages.select("page_id").join(back, "page_id", "left").select("page_id", F.coalesce("recovered", F.lit(False)).alias("recovered"))
+
+
+SALVAGED = "select page_id, page_id % 50 <> 7 as recovered from pages"
+
 ORACLE = r"""
 with p as (select page_id, coalesce(html, '') as html, encode(coalesce(html, ''))::blob as b from pages),
 d as (select page_id, octet_length(b)::bigint as payload_bytes, sha1(html) as hex from p),
