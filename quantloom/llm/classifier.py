@@ -245,8 +245,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_words:
     sides = [stacked(rows["x"].tolist()), stacked(rows["m"].tolist())]
     views = [Logistic(ridge=4.0).fit(v[~held], y[~held]) for v in sides]
     if rounds:
-        unknown = docs.select(*READ).join(known_labels(labels), "doc_id", "left").where("good is null")
-        pool = written(features(unknown, words), "pool")
+        every = features(docs.select(*READ, F.lit(None).cast("int").alias("good")), words)
+        # features are narrow where texts aren't; and a merge join at every size, so that what is shuffled grows as the input does
+        pool = written(every.join(known_labels(labels).select(F.col("doc_id").alias("id")).hint("merge"), "id", "left_anti"), "pool")
         groups = max(1, int(pool.select(F.spark_partition_id()).distinct().count() ** 0.5))
         for _ in range(rounds):
             judges = [replace(v) for v in views]
