@@ -160,6 +160,41 @@ def test_digit_passes_leave_the_repeated_suffixes(spark):
         assert got == {k: v for k, v in want.items() if v}
 
 
+def test_suffixes_of_hot_anchors_go_on_one_by_one(spark):
+    """A passage in many texts, each with contexts of its own, of which some repeat: the same rows whether its anchors are hot or not."""
+    g = random.Random(8)
+    word = lambda n: "".join(g.choice("abcdefgh ") for _ in range(n))
+    passage, contexts = word(260), [word(150) for _ in range(9)]
+    texts = {k: contexts[k % 7] + passage + (contexts[k % 9] if k % 3 else word(150)) for k in range(40)} | {40: passage * 3, 41: "ab" * 400}
+    data = {k: t.encode() for k, t in texts.items()}
+    seen = collections.Counter(b[j : j + 200] for b in data.values() for j in range(len(b) - 199))
+    want = {k: [j for j in range(len(b) - 199) if seen[b[j : j + 200]] > 1] for k, b in data.items()}
+    df = spark.createDataFrame(list(texts.items()), "key bigint, text string").repartition(3)
+    for hot in (1, 5, 1 << 14):
+        got = marked_starts(suffix.repeated(df, 200, chunk_bytes=2000, bucket_bytes=3000, hot=hot))
+        assert got == {k: v for k, v in want.items() if v}
+
+
+def test_digit_passes_decide_by_bytes():
+    """Suffixes that are dealt together without being equal part at the byte where they differ; those dealt apart aren't compared."""
+    import numpy as np
+
+    g = np.random.default_rng(5)
+    for length, ends in ((20, [8, 16, 20]), (24, [8, 16, 24]), (5, [5]), (20, [3, 8, 16, 20])):
+        data = g.integers(97, 99, 4000).astype(np.uint8)
+        data[2000:2300] = data[100:400]
+        at = np.arange(len(data) - length + 1)
+        weight = g.integers(1, 3, len(at))
+        group = g.integers(0, 3, len(at)).astype(np.uint64)
+        got = suffix.left_over(data.tobytes() + bytes(8), at, suffix.spread(group), weight, ends)
+        names = [(int(group[i]), data[i : i + length].tobytes()) for i in at]
+        total = collections.Counter()
+        for x, w in zip(names, weight.tolist()):
+            total[x] += w
+        assert got.tolist() == [total[x] > 1 for x in names]
+        assert 0 < got.sum() < len(got) or length == 5
+
+
 def test_names_that_agree_in_their_leading_bits_are_sorted_in_full():
     import numpy as np
 
