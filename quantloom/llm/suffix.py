@@ -43,7 +43,9 @@ BUCKET = 8 << 20
 CLASSES = 8
 ROUND = 0.75
 #: Different runs of one anchor that a bucket takes.
-HOT = 1 << 14
+HOT = 1 << 13
+#: Bytes of runs that a bucket takes: its task holds some thirty times as much, as every byte begins a suffix.
+ROOM = 2 << 20
 #: A run of suffixes with one anchor: first start in the chunk's data, how many, how far on the anchor is, the first run of the chunk with
 #: the same bytes, whether the anchor is hot, and its name.
 RUN = np.dtype([("start", "i4"), ("n", "i4"), ("off", "i4"), ("own", "i4"), ("hot", "u1"), ("name", "u8")])
@@ -332,13 +334,15 @@ def sorted_bucket(length: int, ends: list[int]):
         # equal runs are one, with the number of times they stand
         seen: dict[tuple[int, bytes], int] = {}
         own = np.array([seen.setdefault((o, data[x:y]), i) for i, (o, x, y) in enumerate(zip(off.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True))])
-        seen.clear()
         weight = np.bincount(own, 1 + more.astype(np.int64), minlength=len(n))
         first = np.flatnonzero(own == np.arange(len(n)))
         run, i = windows.runs_of(n[first])
         anchor = np.unique(head["name"][first], return_inverse=True)[1]
         group = (anchor[run] * (int(off.max()) + 1) + off[first][run] - i).astype(U)
-        hit = left_over(data, at[first][run] + i, spread(group), weight[first][run], ends)
+        where, own_weight = at[first][run] + i, weight[first][run]
+        del seen, anchor, run, i
+        hit = left_over(data, where, spread(group), own_weight, ends)
+        del where, own_weight, group
         begin = np.zeros(len(n), np.int64)
         begin[first] = np.append(0, np.cumsum(n[first])[:-1])
         run, i = windows.runs_of(n)
@@ -409,8 +413,9 @@ def repeated(docs: DataFrame, length: int, chunk_bytes: int = CHUNK, bucket_byte
             if not n:
                 break
         load = load or 0
+        room = min(bucket_bytes, ROOM)
         rounds = next(r for r in (1, 2, 4, 8) if r == CLASSES or load <= r * max(ROUND * (n_bytes or 0), 8 * bucket_bytes))
-        buckets = max(1, -(-load // (rounds * bucket_bytes)))
+        buckets = max(1, -(-load // (rounds * room)))
         ends = sorted({*range(8, length, 8), *(d for d in depths if 0 < d < length), length})
         told = []
         for turn in range(rounds):
