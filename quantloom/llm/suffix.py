@@ -153,8 +153,12 @@ def anchored(length: int):
 
     def asked(data: np.ndarray, size: np.ndarray, runs: bytes | None):
         at = np.append(0, np.cumsum(size))
-        start, n, place, gram, whole = kernels.anchors(kernels.byte_values(0)[data], at, length, min(GRAM, (length + 1) // 2))
-        return runs_at(start, n, place - start, gram), whole, np.zeros(0, RUN)
+        found = [(np.zeros(0, RUN), np.zeros(0, U))]
+        for _, part, _ in kernels.stretches(at, length):  # stretches of some bytes, so that sums and powers stay small
+            lo, hi = part[0], part[-1]
+            start, n, place, gram, whole = kernels.anchors(kernels.byte_values(0)[data[lo:hi]], part - lo, length, min(GRAM, (length + 1) // 2))
+            found.append((runs_at(start + lo, n, place - start, gram), whole))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.zeros(0, RUN)
 
     return asked
 
