@@ -7,7 +7,7 @@ on the input. All passes compare bytes; hashes only deal suffixes to tasks and l
 
 1. Of every string of `length` bytes the anchor is a gram of 64 bytes that depends on the string alone (kernels.anchors), so equal strings
    have equal anchors at equal places, and a suffix whose anchor stands nowhere else repeats nothing. Some fifty suffixes in a
-   row share an anchor: a run. Texts lie in chunks of about a MB; a chunk sends each bucket the anchors in it, once each, and hears
+   row share an anchor: a run. Texts lie in chunks of some 400 KB; a chunk sends each bucket the anchors in it, once each, and hears
    which of them stand elsewhere too.
 2. An anchor with more than HOT different runs would fill a task. Its suffixes go on one by one, each as a run of its own, named by a hash of its whole
    string, and only if that name occurs again: names spread over all buckets however frequent the anchor is.
@@ -38,7 +38,7 @@ from .common import batches_of, cut, forget, written
 
 U = np.uint64
 GRAM = 64
-CHUNK = 1 << 20
+CHUNK = 3 << 17
 BUCKET = 8 << 20
 CLASSES = 8
 ROUND = 0.75
@@ -96,7 +96,7 @@ def chunked(docs: DataFrame, length: int, chunk_bytes: int) -> DataFrame:
             yield row()
 
     rows = docs.select("key", "text").mapInArrow(task, CHUNKS)
-    return written(rows.withColumn("chunk", F.monotonically_increasing_id()), "chunks", block=16 << 20)
+    return written(rows.withColumn("chunk", F.monotonically_increasing_id()), "chunks", block=4 << 20)
 
 
 def numbers(raw: bytes) -> np.ndarray:
@@ -409,7 +409,7 @@ def repeated(docs: DataFrame, length: int, chunk_bytes: int = CHUNK, bucket_byte
         for asked, share in ((anchored(length), 20), (single(length), 1)):  # some twenty suffixes have one anchor at least
             buckets = max(1, (n or 0) // share * 8 // bucket_bytes)
             told = written(send_names(state, asked, buckets).groupBy("bucket").applyInArrow(told_names(hot), TOLD), "answers")
-            new = written(heard_names(state, told, asked, buckets, length), "runs", block=16 << 20)
+            new = written(heard_names(state, told, asked, buckets, length), "runs", block=4 << 20)
             forget(told)
             forget(chunks)
             chunks = state = new
