@@ -87,10 +87,11 @@ def batches_of(spark: SparkSession, rows: int):
 
 
 def cut(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches in parts whose text column holds about `most` bytes, or one longer text: what is worked on at once stays small."""
+    """The batches in parts whose column holds about `most` bytes of text, or values in its lists, or one longer row: what is worked on at once stays small."""
     for b in batches:
         texts = b.column(column)
-        sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+        length = pa.compute.list_value_length if pa.types.is_list(texts.type) else pa.compute.binary_length
+        sizes = length(texts).fill_null(0).to_numpy(zero_copy_only=False)
         at = np.cumsum(sizes)
         i, before = 0, 0
         while i < b.num_rows:

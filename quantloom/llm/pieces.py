@@ -17,14 +17,15 @@ all its stretches are drawn together. All noise is a hash of the row's key, the
 noise could lift them are not drawn.
 
 Defined results: a null text is empty; an empty text has one segmentation, of no pieces, with inclusion 1. Texts with fewer
-than k segmentations give fewer rows, with inclusion 1; a stretch whose segmentations but those taken weigh less than 1e-13 of it
-counts as having no more. Rows that repeat a key and text give the same samples. Keys may be of any type; null keys share one
+than k segmentations give fewer rows, with inclusion 1, and none is held for weightless: what is left of a stretch beside those taken is
+summed up, not taken off 1, where it is small. Rows that repeat a key and text give the same samples. Keys may be of any type; null keys share one
 seed. An empty table gives no rows. Only the two named columns are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -136,6 +137,7 @@ class Lattices:
             inner = size < left[here]
             then[e[inner]] = state[here[inner] + size]
         inside = np.zeros(n + 1)  # log weights of all ends; the last is that of nothing left
+        several = np.zeros(n + 1, bool)  # whether there is more than one way to go on
         level = np.append(0, np.cumsum(np.bincount(left)[1:])) if n else np.zeros(1, np.int64)
         for lo, hi in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
             if lo == hi:
@@ -148,12 +150,13 @@ class Lattices:
             total = np.add.reduceat(x, begins)
             inside[lo:hi] = top + np.log(total)
             share[a:b] = x / np.repeat(total, counts)
+            several[lo:hi] = (counts > 1) | np.logical_or.reduceat(several[then[a:b]], begins)
         upto = np.cumsum(share)
         numbers = np.repeat(np.arange(n), per_state)
         reach = numbers + (upto - np.append(0.0, upto)[first[:-1]][numbers] if n else upto)
         reach[first[1:] - 1] = np.arange(n) + 1.0
         self.flat = [reach, then, piece, share]
-        self.first = first
+        self.first, self.several = first, several
         return state[at[:-1]]
 
     def weight(self, state: int, ids: tuple) -> float:
@@ -166,8 +169,22 @@ class Lattices:
             state = int(then[e])
         return out
 
+    def rest(self, state: int, taken: list[tuple]) -> float:
+        """The share of the state's weight that all paths but those taken have: a sum, so right to the last digits however small it is."""
+        _, then, piece, share = self.flat
+        total, open_states = 0.0, [(state, [(t, 0) for t in taken], 1.0)]
+        while open_states:
+            state, paths, weight = open_states.pop()
+            if not paths:
+                total += weight
+            elif state >= 0:
+                for e in range(int(self.first[state]), int(self.first[state + 1])):
+                    x = piece[e]
+                    open_states.append((int(then[e]), [(t, i + 1) for t, i in paths if t[i] == x], weight * float(share[e])))
+        return total
+
     def done(self) -> None:
-        self.flat = self.first = None
+        self.flat = self.first = self.several = None
 
 
 def codes(text: str) -> np.ndarray:
@@ -223,19 +240,38 @@ def walk(lat: Lattices, state: np.ndarray, seed: np.ndarray):
     return piece[edges], offsets, total
 
 
+def walk_one(lat: Lattices, state: int, seed: int) -> tuple[tuple, float]:
+    """The same path as `walk` takes, through one lattice."""
+    reach, then, piece, share = lat.flat
+    ids, log_p = [], 0.0
+    while state >= 0:
+        x = (seed + len(ids) * 0x9E3779B97F4A7C15) % 2**64
+        x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 % 2**64
+        x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 % 2**64
+        aim = state + ((x >> 11) + 0.5) * 2.0**-53
+        e = int(lat.first[state])
+        while reach[e] <= aim:
+            e += 1
+        ids.append(int(piece[e]))
+        log_p += math.log(share[e])
+        state = int(then[e])
+    return tuple(ids), log_p
+
+
 class Path:
-    """A segmentation as its stretches' pieces and log probabilities, and where it may differ from what was taken."""
+    """A segmentation: which walk each stretch is from (pairs of the first stretch and the walk), what was changed, log
+    probabilities of the stretches, and where it may differ from what was taken."""
 
-    def __init__(self, parts: list, log_p: np.ndarray, free_from: int, taken: list):
-        self.parts, self.log_p, self.free_from, self.taken = parts, log_p, free_from, taken
+    def __init__(self, sources: list[tuple[int, int]], changes: dict[int, tuple], log_p: np.ndarray, free_from: int, taken: list):
+        self.sources, self.changes, self.log_p, self.free_from, self.taken = sources, changes, log_p, free_from, taken
 
 
 def other_part(lat: Lattices, state: int, taken: set, seed: int) -> tuple[tuple, float] | None:
     """A path through one lattice that isn't among those taken, by its probability among the rest."""
     for t in range(8):
-        ids, _, log_p = walk(lat, np.array([state]), np.array([(seed + t * 0x632BE59BD9B4E019) % 2**64], U))
-        if tuple(ids.tolist()) not in taken:
-            return tuple(ids.tolist()), float(log_p[0])
+        got = walk_one(lat, state, seed + t * 0x632BE59BD9B4E019)
+        if got[0] not in taken:
+            return got
     return walk_beside(lat, state, list(taken), seed)
 
 
@@ -247,8 +283,7 @@ def walk_beside(lat: Lattices, state: int, taken: list[tuple], seed: int) -> tup
         edges = range(int(lat.first[state]), int(lat.first[state + 1]))
         rest = []
         for e in edges:
-            gone = sum(lat.weight(int(then[e]), t[1:]) for t in taken if t[0] == piece[e])
-            rest.append(share[e] * max(0.0, 1 - gone) if gone < 1 - 1e-13 else 0.0)
+            rest.append(float(share[e]) * lat.rest(int(then[e]), [t[1:] for t in taken if t[0] == piece[e]]))
         total = sum(rest)
         if total <= 0:
             return None
@@ -273,6 +308,8 @@ def sample_rows(lat: Lattices, states: np.ndarray, walks: list, lo: int, hi: int
     n = hi - lo
     part = lambda w, j: tuple(w[0][w[1][lo + j] : w[1][lo + j + 1]].tolist())
     salts = np.arange(1, n + 1, dtype=U) * U(0xD6E8FEB86659FD93)
+    several = lat.several[states[lo:hi]]
+    own = lambda path, j: piece_of(path.sources, path.changes, j, walks, part)
 
     def bounds(path: Path, top: float, turn: int) -> np.ndarray:
         """Of the set of those that first differ from the path in stretch j: the largest perturbed log probability.
@@ -291,7 +328,9 @@ def sample_rows(lat: Lattices, states: np.ndarray, walks: list, lo: int, hi: int
             gone = np.exp(path.log_p[j:m])
             gone[0] += taken
             rest = 1 - gone
-            rest[rest < 1e-13] = 0
+            rest[~several[j:m]] = 0
+            for i in np.flatnonzero((rest < 1e-6) & several[j:m]).tolist():  # too small for a difference
+                rest[i] = lat.rest(int(states[lo + j + i]), [*(t for t, _ in path.taken if i == 0), own(path, j + i)])
             with np.errstate(divide="ignore"):
                 mass = before[j:m] + np.log(rest)
             noise = np.log(-np.log(uniform(salts[j:m] + U((seed + (turn + 1) * 0x94D049BB133111EB) % 2**64))))
@@ -300,9 +339,7 @@ def sample_rows(lat: Lattices, states: np.ndarray, walks: list, lo: int, hi: int
                 return out
             m = j + 8 * (m - j)
 
-    path = Path([], walks[0][2][lo:hi].copy(), 0, [])
-    changes: list[dict[int, tuple]] = [{}]
-    sources = [[(0, 0)]]  # from stretch on: which walk
+    path = Path([(0, 0)], {}, walks[0][2][lo:hi].copy(), 0, [])
     top = float(-np.log(-np.log(uniform(np.array([seed], U))[0])))
     paths, out, open_sets = [path], [(0, top)], [bounds(path, top, 0)]
     while len(out) < k:
@@ -313,23 +350,22 @@ def sample_rows(lat: Lattices, states: np.ndarray, walks: list, lo: int, hi: int
         j = int(open_sets[best].argmax())
         open_sets[best][j] = -np.inf
         old, new = paths[best], len(paths)
-        taken = [*(old.taken if j == old.free_from else []), (piece_of(sources[best], changes[best], j, walks, part), float(old.log_p[j]))]
+        taken = [*(old.taken if j == old.free_from else []), (own(old, j), float(old.log_p[j]))]
         got = other_part(lat, int(states[lo + j]), {t for t, _ in taken}, (seed + new * 0xBF58476D1CE4E5B9 + j) % 2**64)
         if got is None:
             continue
         log_p = np.concatenate([old.log_p[:j], [got[1]], walks[new][2][lo + j + 1 : hi]])
-        paths.append(Path([], log_p, j, taken))
-        sources.append([s for s in sources[best] if s[0] <= j] + [(j + 1, new)])
-        changes.append({i: p for i, p in changes[best].items() if i < j} | {j: got[0]})
+        paths.append(Path([s for s in old.sources if s[0] <= j] + [(j + 1, new)], {i: p for i, p in old.changes.items() if i < j} | {j: got[0]}, log_p, j, taken))
         out.append((new, value))
         open_sets.append(bounds(paths[-1], value, new))
     threshold = max((s.max(initial=-np.inf) for s in open_sets), default=-np.inf)
     for i, value in out:
         total = float(paths[i].log_p.sum())
         pieces = []
-        for (a, w), b in zip(sources[i], [*[s[0] for s in sources[i][1:]], n], strict=True):
-            for c in [x for x in sorted(changes[i]) if a <= x < b]:
-                pieces += [walks[w][0][walks[w][1][lo + a] : walks[w][1][lo + c]], np.array(changes[i][c], np.int32)]
+        sources, changes = paths[i].sources, paths[i].changes
+        for (a, w), b in zip(sources, [*[s[0] for s in sources[1:]], n], strict=True):
+            for c in [x for x in sorted(changes) if a <= x < b]:
+                pieces += [walks[w][0][walks[w][1][lo + a] : walks[w][1][lo + c]], np.array(changes[c], np.int32)]
                 a = c + 1
             if a < b:
                 pieces.append(walks[w][0][walks[w][1][lo + a] : walks[w][1][lo + b]])
@@ -367,7 +403,7 @@ def samples_of(keys: np.ndarray, texts: list[str], lat: Lattices, k: int):
     lat.done()
 
 
-def groups_of(texts: list[str], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def groups_of(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Rows i .. j - 1 that hold about `most` characters together, or one longer text."""
     i = size = 0
     for j, t in enumerate(texts):
@@ -380,9 +416,9 @@ def groups_of(texts: list[str], most: int = 1 << 22) -> Iterator[tuple[int, int]
 
 
 def sampled(docs: DataFrame, model: str, k: int = 2, alpha: float = 0.4, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
-    """A row for each sample: key, sample (from 1), log_prob, perturbed, inclusion, and ids; or n_pieces and ids_sha256."""
+    """A row for each sample: key, sample (from 1), log_prob, perturbed, inclusion, and ids; or n_pieces, ids_sha256, and whether the ids decode to the text."""
     kind = docs.schema[key].dataType.simpleString()
-    last = [("n_pieces", pa.int32(), "int"), ("ids_sha256", pa.string(), "string")] if digest else [("ids", pa.list_(pa.int32()), "array<int>")]
+    last = [("n_pieces", pa.int32(), "int"), ("ids_sha256", pa.string(), "string"), ("decodes", pa.bool_(), "boolean")] if digest else [("ids", pa.list_(pa.int32()), "array<int>")]
     fields = [("sample", pa.int32(), "int"), *[(x, pa.float64(), "double") for x in ("log_prob", "perturbed", "inclusion")], *last]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,7 +431,7 @@ def sampled(docs: DataFrame, model: str, k: int = 2, alpha: float = 0.4, key: st
                 owner = []
                 for r, got in zip(range(i, j), samples_of(seeds[i:j], texts[i:j], lat, k), strict=True):
                     for s, (ids, log_p, value, inclusion) in enumerate(got, 1):
-                        own = (len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()) if digest else (ids,)
+                        own = (len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), decoded(ids, lat.bytes_of) == texts[r]) if digest else (ids,)
                         owner.append(r)
                         for col, v in zip(rows, (s, log_p, value, inclusion, *own), strict=True):
                             col.append(v)
@@ -421,7 +457,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "text") ->
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = lattices(model, 0.4).bytes_of
-        for b in batches:
+        for b in cut(batches, at):
             texts = [None if x is None else decoded(np.array(x, np.int64), bytes_of) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, out])
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quantloom.llm import pieces, warc
+from quantloom.llm import pieces, tokens, warc
 from quantloom.llm.common import fresh_path
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +23,20 @@ def test_pages_behind_damage_come_back_and_gaps_are_logged(spark):
     _, gaps = warc.read_archive(spark, path)
     lost = gaps.agg(F.count(F.lit(1)), F.min(F.col("stop") - F.col("start"))).first()
     assert 0 < lost[0] <= sum(not x for x in got.values()) and lost[1] > 0
+
+
+def test_samples_are_decoded_where_they_are_drawn(spark):
+    rows = pieces.op2_gumbel_segmentations(spark, SF)
+    assert rows.where("decodes").count() == rows.count() > 0
+
+
+def test_what_weighs_next_to_nothing_is_sampled_too(spark):
+    """At this alpha all segmentations of the word but one weigh less than 1e-13 of it together."""
+    path = tokens.tokenizer_path("piece_bpe_32k.model")
+    lat = pieces.Lattices(path, 16.0)
+    state = int(lat.prepare([pieces.normal("that")])[0])
+    assert 0 < lat.rest(state, [pieces.walk_one(lat, state, 1)[0]]) < 1e-13
+    docs = spark.createDataFrame([(1, "that"), (2, "\n")], "doc_id bigint, text string")
+    got = pieces.sampled(docs, path, k=3, alpha=16.0).collect()
+    ids = [tuple(r["ids"]) for r in got if r["doc_id"] == 1]
+    assert len(ids) == len(set(ids)) == 3 and all(0 < r["inclusion"] <= 1 for r in got)
