@@ -26,6 +26,8 @@ def test_pages_behind_damage_come_back_and_gaps_are_logged(spark):
 
 
 def test_samples_are_decoded_where_they_are_drawn(spark):
+    plan = pieces.gumbel_round_trip(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
     rows = pieces.op2_gumbel_segmentations(spark, SF)
     assert rows.where("decodes").count() == rows.count() > 0
 
@@ -40,3 +42,12 @@ def test_what_weighs_next_to_nothing_is_sampled_too(spark):
     got = pieces.sampled(docs, path, k=3, alpha=16.0).collect()
     ids = [tuple(r["ids"]) for r in got if r["doc_id"] == 1]
     assert len(ids) == len(set(ids)) == 3 and all(0 < r["inclusion"] <= 1 for r in got)
+
+
+def test_decoding_takes_long_rows_in_parts(spark):
+    import pyarrow as pa
+
+    from quantloom.llm.common import cut
+
+    b = pa.RecordBatch.from_arrays([pa.array([[1] * 700, None, [2] * 700, [], [3] * 3000], pa.list_(pa.int32()))], ["ids"])
+    assert [x.num_rows for x in cut(iter([b]), 0, 1000)] == [2, 2, 1]
