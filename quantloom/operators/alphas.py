@@ -1,10 +1,11 @@
 """Formula alphas and further factors, as stages of SQL expressions over bars.
 
-A stage adds columns that may use windows over the columns of earlier stages. Spark plans all stages of a query as one pass over
-rows partitioned and sorted by symbol, but for ranks over the whole history (`whole_rank`), which sort a symbol's rows anew.
-Those look ahead: they rank a row among later ones too, and are offered since users compare with them.
+A stage adds columns that may use windows over the columns of earlier stages. Ranks over the whole history (`whole_rank`) look ahead: they
+rank a row among later ones too, and are offered since users compare with them.
 
-The same texts run in another engine as a check; what the dialects say differently is in `Spark` and `Duck`.
+On Spark the formulas run over sorted rows (`rolling.Rows`), all of a family in one pass (`by_rows`): as Spark's own windows they took n
+steps a row for each, and a sort for each whole-history rank, all held by one task. The texts say the same for another engine, and for Spark's SQL (`Spark`,
+`staged`), as a check.
 Correlations are rounded to 9 digits, so that ranks of them don't depend on the last bits of sums.
 """
 
@@ -13,6 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rolling as R
+from ..functions import windows as W
+from ..stored import stored
+
 
 class Text:
     """Windows over a symbol's rows: a value exists only where the window holds n non-null values."""
@@ -253,6 +258,152 @@ def further(t: Text) -> list[dict[str, str]]:
     return [one, two, last]
 
 
+def base_rows(t: R.Rows) -> None:
+    o, h, l, c, v = (t.col(x) for x in "ohlcv")
+    t.add(tp=(h + l + c) / 3, ret=t.pct("c", 1), dc=t.diff("c"), dv=t.diff("v"), lv=t.ln(v), body=c - o, mv20=t.mean("v", 20), mv10=t.mean("v", 10))
+    ret = t.col("ret")
+    t.add(
+        dlv2=t.diff("lv", 2), dtp3=t.diff("tp", 3), dtp6=t.diff("tp", 6), dret3=t.diff("ret", 3), flow=t.total("o", 5) * t.total("ret", 5), fall=t.when(ret < 0, ret),
+        size=t.abs(t.col("body")), up=t.only(t.greatest(ret, 0.0), ret), away=t.abs(ret), rose=t.number(ret > 0), step=t.ratio(t.col("body"), o), back=t.ratio(o - c, c - o),
+    )
+    t.add(flow10=t.diff("flow", 10), fall20=t.or_else(t.std("fall", 20), 0.0), size5=t.std("size", 5))
+
+
+def price_rows(t: R.Rows, keep: list[str]) -> dict[str, R.Vec]:
+    base_rows(t)
+    corr = lambda x, y, n: t.rounded(t.corr(x, y, n), 9)
+    low_high = lambda n, x: t.div(t.col(x) - t.low("l", n), t.high("h", n) - t.low("l", n))
+    fall20, dc = t.col("fall20"), t.col("dc")
+
+    def turn(n: int) -> R.Vec:
+        lo = t.low("dc", n)
+        return t.when((lo > 0) | (t.high("dc", n) < 0), dc, t.only(-dc, lo))
+
+    t.add(x001=t.when(t.col("ret") < 0, fall20 * fall20, t.col("c")), r3o=t.ts_rank("o", 10), r3v=t.ts_rank("v", 10), r4=t.ts_rank("l", 9, False), r13=t.ts_rank("c", 5) * t.ts_rank("v", 5), c38=corr("tp", "mv20", 4))
+    formulas = {
+        "alpha_001": lambda: t.argmax("x001", 15) - 0.5,
+        "alpha_002": lambda: -corr("dlv2", "step", 6),
+        "alpha_003": lambda: -corr("r3o", "r3v", 10),
+        "alpha_004": lambda: -t.ts_rank("r4", 9, False),
+        "alpha_006": lambda: t.when(t.col("mv10") > 0, -corr("o", "v", 10)),
+        "alpha_009": lambda: turn(5),
+        "alpha_010": lambda: turn(4),
+        "alpha_012": lambda: t.sign(t.col("dv")) * -dc,
+        "alpha_013": lambda: -t.mean("r13", 5),
+        "alpha_016": lambda: -corr("h", "v", 5),
+        "alpha_018": lambda: -corr("body", "size5", 10),
+        "alpha_020": lambda: low_high(5, "o"),
+        "alpha_022": lambda: corr("h", "v", 5),
+        "alpha_023": lambda: t.ts_rank("h", 10),
+        "alpha_026": lambda: t.ts_rank("c", 20),
+        "alpha_027": lambda: low_high(5, "c"),
+        "alpha_028": lambda: t.div(t.col("body"), t.high("h", 5) - t.low("l", 5)),
+        "alpha_029": lambda: t.div(t.col("v") - t.low("v", 10), t.high("v", 10) - t.low("v", 10)) * low_high(10, "c"),
+        "alpha_031": lambda: corr("ret", "v", 20),
+        "alpha_032": lambda: -t.mean("ret", 12),
+        "alpha_033": lambda: corr("l", "v", 10),
+        "alpha_034": lambda: corr("h", "v", 10),
+        "alpha_036": lambda: -corr("size", "c", 10),
+        "alpha_038": lambda: -t.ts_rank("c38", 6),
+        "alpha_039": lambda: t.div(t.std("v", 20), t.col("mv20")),
+        "alpha_041": lambda: -t.ts_rank("tp", 3),
+        "alpha_042": lambda: -t.mean("back", 10),
+        "alpha_043": lambda: t.ts_rank("c", 20),
+        "alpha_044": lambda: corr("c", "v", 10),
+        "alpha_046": lambda: t.div(t.col("v"), t.col("mv20")),
+        "alpha_047": lambda: corr("body", "v", 10),
+        "alpha_067": lambda: t.total("ret", 5),
+        "alpha_068": lambda: t.std("ret", 5),
+        "alpha_070": lambda: t.skew("ret", 10),
+        "alpha_071": lambda: t.kurt("ret", 10),
+        "alpha_072": lambda: t.ts_rank("v", 20),
+        "alpha_073": lambda: t.ts_rank("o", 10),
+        "alpha_074": lambda: t.ts_rank("h", 10),
+        "alpha_075": lambda: t.ts_rank("l", 10),
+        "alpha_076": lambda: t.ts_rank("c", 20),
+        "alpha_077": lambda: t.mean("rose", 5),
+        "alpha_086": lambda: t.div(t.total("up", 10), t.total("away", 10)),
+        "alpha_087": lambda: -t.mean("ret", 10),
+        "alpha_088": lambda: -t.std("ret", 10),
+        "alpha_092": lambda: t.ts_rank("amt", 20),
+        "alpha_093": lambda: t.div(t.col("v"), t.col("mv10")) - 1,
+        "alpha_094": lambda: t.div(t.col("c"), t.mean("c", 10)) - 1,
+    }
+    return {name: formulas[name]() for name in keep}
+
+
+def ranked_rows(t: R.Rows, keep: list[str]) -> dict[str, R.Vec]:
+    base_rows(t)
+    corr = lambda x, y, n: t.rounded(t.corr(x, y, n), 9)
+    t.add(**{f"h_{x}": t.whole_rank(x) for x in ("c", "v", "l", "h", "tp", "mv20", "flow10", "dret3", "dtp3", "dtp6")})
+    t.add(**{f"k{n}": corr("h_tp", "h_v", n) for n in sorted({n for n, _ in RANKED_CORRELATIONS.values()} | {14})})
+    t.add(k5c=corr("h_c", "h_v", 17), k15=corr("h_h", "h_l", 12), k21=corr("h_h", "h_v", 14), x48=t.col("h_tp") - t.col("h_dtp3"), r25=t.ts_rank("h_tp", 9))
+    t.add(k21d=t.diff("k21", 2), h_k5=t.whole_rank("k5"))
+    h_k5, h_l, r25 = t.col("h_k5"), t.col("h_l"), t.col("r25")
+    made = {
+        "alpha_005": t.ts_rank("k5c", 9) - 0.5,
+        "alpha_007": -(h_l - t.col("h_h")) + corr("h_l", "h_mv20", 7),
+        "alpha_008": -t.col("h_flow10"),
+        "alpha_014": -t.col("h_dret3") * corr("o", "v", 10),
+        "alpha_015": -t.ts_rank("k15", 10),
+        "alpha_019": -corr("tp", "mv20", 17) * t.col("h_dtp6"),
+        "alpha_021": -t.ts_rank("k21d", 17),
+        "alpha_024": -corr("tp", "mv20", 6) * t.col("h_dtp3"),
+        "alpha_025": t.when(h_k5 < h_l - r25, -1.0, t.only(0.0 * h_k5, r25)),
+        "alpha_040": -t.col("k4"),
+        "alpha_045": -t.col("k5"),
+        "alpha_048": -t.ts_rank("x48", 10),
+    }
+    for name, (n, m) in RANKED_CORRELATIONS.items():
+        made[name] = t.ts_rank(f"k{n}", m) if name == "alpha_017" else -t.ts_rank(f"k{n}", m)
+    return {name: made[name] for name in keep}
+
+
+def further_rows(t: R.Rows, keep: list[str]) -> dict[str, R.Vec]:
+    c, v = t.col("c"), t.col("v")
+    t.add(ret=t.pct("c", 1), i=R.Vec(t.at + 1.0, c.ok | True), cv=c * v, mom20=t.pct("c", 20), mom60=t.pct("c", 60), obv=t.running(t.sign(t.diff("c")) * v))
+    ret = t.col("ret")
+    t.add(down=t.only(t.least(ret, 0.0), ret), rise=t.only(t.greatest(ret, 0.0), ret))
+    ma = lambda w: t.div(c, t.mean("c", w))
+    made = {}
+    for w in (20, 60):
+        made[f"beta{w}"] = t.div(t.cov("ret", "mret", w), t.var("mret", w))
+        made[f"asymmetry{w}"] = t.std("rise", w) / (t.std("down", w) + 1e-8)
+        made[f"price_position{w}"] = t.div(c - t.low("c", w), t.high("c", w) - t.low("c", w))
+        made[f"turnover_mc{w}"] = t.div(t.mean("cv", w), c)
+        made[f"ret_quantile{w}"] = t.whole_rank(f"mom{w}")
+    for w in (5, 20):
+        made[f"ret_discrete{w}"] = t.std("ret", w) / (t.abs(t.mean("ret", w)) + 1e-8)
+        made[f"updown_ratio{w}"] = t.div(t.total("rise", w), t.total("rise", w) - t.total("down", w))
+    for w in (5, 10, 20, 60):
+        made[f"ma{w}_ratio"] = ma(w)
+    made |= {
+        "obv_slope20": t.pct("obv", 20),
+        "ma_convergence": t.abs(ma(5) - ma(20)) + t.abs(ma(20) - ma(60)),
+        "var20": t.var("ret", 20),
+        "cov_ret_volume20": t.cov("ret", "v", 20),
+        "slope20": t.slope("c", "i", 20),
+        "mean20_of_5": t.mean("ret", 20, 5),
+    }
+    return {name: made[name] for name in keep}
+
+
+#: The lookback of each family, None where it ranks whole histories.
+FAMILIES = {"price": (price_rows, 100), "ranked": (ranked_rows, None), "further": (further_rows, None)}
+
+
+def by_rows(bars: DataFrame, family: str, keep: list[str]) -> DataFrame:
+    """The keys and `keep` of a family's formulas, over bars as for `staged`. `further` reads the bars twice, so they are stored for it."""
+    formulas, lookback = FAMILIES[family]
+    rows = bars.select("symbol", "trade_date", *[F.col(x).cast("double").alias(y) for x, y in zip(("open", "high", "low", "close", "volume", "amount"), "o h l c v amt".split(), strict=True)])
+    columns = ["o", "h", "l", "c", "v", "amt"]
+    if family == "further":
+        rows = stored(rows.withColumn("ret", W.pct_change("c", 1)), "bars")
+        mean = rows.groupBy("trade_date").agg(F.avg("ret").alias("mret"))  # a row a date
+        rows, columns = rows.join(F.broadcast(mean), "trade_date"), [*columns, "mret"]
+    return R.over_rows(rows, columns, keep, lambda t: formulas(t, keep), lookback)
+
+
 def names_of(stage: dict[str, str]) -> list[str]:
     return list(stage)
 

@@ -12,18 +12,18 @@ from .panel import PANEL, r, rounded
 from .registry import query
 
 
-def family(name: str, stages, keep: list[str], digits: int = 5) -> None:
-    spark_stages, duck_stages = stages(A.Spark()), stages(A.Duck())
+def family(name: str, rows: str, stages, keep: list[str], digits: int = 5) -> None:
+    duck_stages = stages(A.Duck())
     sql = f"with {S.WEEKLY}, {A.staged_sql('weekly', duck_stages, 'al')} select symbol, trade_date, {', '.join(f'{r(k, digits)} as {k}' for k in keep)} from al"
-    query(name, sql)(lambda spark, d: rounded(A.staged(market.weekly_bar(spark, d), spark_stages, keep), digits))
+    query(name, sql)(lambda spark, d: rounded(A.by_rows(market.weekly_bar(spark, d), rows, keep), digits))
 
 
 _PRICE = A.names_of(A.price_alphas(A.Spark())[-1])
 _RANKED = A.names_of(A.ranked_alphas(A.Spark())[-1])
-family("alphas_price_a", lambda t: [*A.base(t), *A.price_alphas(t)], _PRICE[:24], 4)
-family("alphas_price_b", lambda t: [*A.base(t), *A.price_alphas(t)], _PRICE[24:], 4)
-family("alphas_ranked", lambda t: [*A.base(t), A.ranks(t), *A.ranked_alphas(t)], _RANKED, 4)
-family("factors_further", A.further, A.names_of(A.further(A.Spark())[-1]), 4)
+family("alphas_price_a", "price", lambda t: [*A.base(t), *A.price_alphas(t)], _PRICE[:24], 4)
+family("alphas_price_b", "price", lambda t: [*A.base(t), *A.price_alphas(t)], _PRICE[24:], 4)
+family("alphas_ranked", "ranked", lambda t: [*A.base(t), A.ranks(t), *A.ranked_alphas(t)], _RANKED, 4)
+family("factors_further", "further", A.further, A.names_of(A.further(A.Spark())[-1]), 4)
 
 
 _LISTS = "hl as (select symbol, list(trade_date order by trade_date) as ts, {lists} from {source} group by symbol), ex as (select *, unnest(range(1, len(ts) + 1)) as i from hl)"

@@ -80,3 +80,12 @@ def test_factor_families_take_no_sliding_window(spark, sf, name):
 
     plan = all_queries()[name][0](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("name", ["alphas_price_a", "alphas_price_b", "alphas_ranked", "factors_further"])
+def test_alphas_sort_a_symbols_rows_once(spark, sf, name):
+    """No sliding window, and one sort behind the bars, whatever ranks over whole histories they take."""
+    from quantloom.plans import all_queries
+
+    plan = all_queries()[name][0](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("MapInArrow") == 1 and plan.count("Sort [") == 1
