@@ -292,21 +292,32 @@ class Rows:
         self.sums.append(Vec(v, ok))
         return Vec(v, ok)
 
-    def whole_rank(self, x) -> Vec:
-        """Percent rank among all rows of the key, earlier and later; average ties. Needs `whole`."""
+    def numbers(self) -> np.ndarray:
+        """Each row's key as a number."""
+        return np.cumsum(np.bincount(self.begins, minlength=len(self.at))) - 1 if len(self.at) else np.zeros(0, np.int64)
+
+    def key_ranks(self, x) -> tuple[Vec, Vec, Vec]:
+        """Average rank from 1, first rank (ties in the rows' order) and number of values, among all rows of the key. Needs whole keys."""
         x = self.col(x)
-        out, rows = np.zeros(len(x.v)), np.flatnonzero(x.ok)
-        key = (np.cumsum(np.bincount(self.begins, minlength=len(x.v))) - 1)[rows]
+        rows = np.flatnonzero(x.ok)
+        key = self.numbers()[rows]
         order = np.lexsort((x.v[rows], key))
         k, v = key[order], x.v[rows][order]
         new_key = np.append(True, k[1:] != k[:-1])[: len(k)]
-        new = new_key | np.append(True, v[1:] != v[:-1])[: len(k)]
+        new = new_key | np.append(True, (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1])))[: len(k)]
         places, starts = np.arange(len(k)), np.flatnonzero(new)
-        tie = np.cumsum(new) - 1
-        first = starts[tie] - np.maximum.accumulate(np.where(new_key, places, 0))
+        tie, begin = np.cumsum(new) - 1, np.maximum.accumulate(np.where(new_key, places, 0))
         same = np.diff(np.append(starts, len(k)))[tie]
-        out[rows[order]] = (first + (same + 1) / 2.0) / np.bincount(k)[k] if len(k) else 0.0
-        return Vec(out, x.ok)
+        average, first, count = (np.zeros(len(x.v)) for _ in range(3))
+        average[rows[order]] = starts[tie] - begin + (same + 1) / 2.0
+        first[rows[order]] = places - begin + 1
+        count[rows] = np.bincount(key)[key] if len(key) else 0
+        return Vec(average, x.ok), Vec(first, x.ok), Vec(count, x.ok)
+
+    def whole_rank(self, x) -> Vec:
+        """Percent rank among all rows of the key, earlier and later; average ties."""
+        average, _, count = self.key_ranks(x)
+        return average / count
 
     def abs(self, x: Vec) -> Vec:
         return Vec(np.abs(x.v), x.ok)
@@ -355,10 +366,11 @@ class Rows:
         return Vec(np.where(x.ok, x.v, value), np.ones(len(x.v), bool))
 
 
-def over_rows(df: DataFrame, columns: list[str], names: list[str], body: Callable[[Rows], dict[str, Vec]], lookback: int | None, by: str = "symbol", order: str = "trade_date", rows: int = ROWS) -> DataFrame:
+def over_rows(df: DataFrame, columns: list[str], names: list[str], body: Callable, lookback: int | None, by: str = "symbol", order: str = "trade_date", rows: int = ROWS, schema: str | None = None) -> DataFrame:
     """by, order and the named doubles that body makes of the columns of each key's rows in order.
 
     lookback: no value depends on more rows than these before its own, running sums apart; None: a key's rows are worked on all at once.
+    schema: body gets the key and order columns too, and makes rows of this schema itself, the names' in their order.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
@@ -385,9 +397,12 @@ def over_rows(df: DataFrame, columns: list[str], names: list[str], body: Callabl
             at[:first_end] += number
             r = Rows({c: vec(t.column(i + 2).combine_chunks().slice(0, upto)) for i, c in enumerate(columns)}, at[:upto], sums)
             with np.errstate(all="ignore"):
-                made = body(r)
+                made = body(r, *(t.column(i).combine_chunks().slice(0, upto) for i in range(2))) if schema else body(r)
+            if schema:
+                yield pa.RecordBatch.from_arrays(made, names)
             keys = [t.column(i).combine_chunks().slice(skip, upto - skip) for i in range(2)]
-            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(made[x].v[skip:], pa.float64(), mask=~made[x].ok[skip:]) for x in names)], [by, order, *names])
+            if not schema:
+                yield pa.RecordBatch.from_arrays([*keys, *(pa.array(made[x].v[skip:], pa.float64(), mask=~made[x].ok[skip:]) for x in names)], [by, order, *names])
             start = upto if lookback is None else max(int(begins[-1]), n - lookback)
             sums = [float(s.v[start - 1]) if s.ok[start - 1] else None for s in r.sums] if lookback is not None and start > begins[-1] else sums if start == 0 else []
             number, skip = (int(at[start]), n - start) if lookback is not None else (0, 0)
@@ -403,4 +418,4 @@ def over_rows(df: DataFrame, columns: list[str], names: list[str], body: Callabl
             yield from work(True)
 
     sorted_rows = df.select(by, order, *[F.col(c).cast("double").alias(c) for c in columns]).repartition(by).sortWithinPartitions(by, order)
-    return sorted_rows.mapInArrow(task, ", ".join([f"`{c}` {kinds[c]}" for c in (by, order)] + [f"`{n}` double" for n in names]))
+    return sorted_rows.mapInArrow(task, schema or ", ".join([f"`{c}` {kinds[c]}" for c in (by, order)] + [f"`{n}` double" for n in names]))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cross as X
+from ..functions import rolling as V
 from ..functions import windows as W
 from ..functions.graphs import components
 from ..functions.ranks import PARTS, global_ranks
@@ -18,10 +19,19 @@ from . import research as R
 
 def ranked(p: DataFrame, features: list[str], label: str = "fwd", kept: tuple[str, ...] = ()) -> DataFrame:
     """factor, trade_date, symbol, x, y, rx, ry (average ranks), i (first rank), n."""
-    long = p.select("trade_date", "symbol", F.col(label).alias("y"), *kept, *features).unpivot(["trade_date", "symbol", "y", *kept], features, "factor", "x").where("x is not null and y is not null")
-    by = ("factor", "trade_date")
-    day = Window.partitionBy(*by)
-    return long.withColumns({"rx": X.average_rank("x", by), "ry": X.average_rank("y", by), "i": F.row_number().over(day.orderBy("x", "symbol")), "n": F.count(F.lit(1)).over(day)})
+    def body(t: V.Rows) -> dict[str, V.Vec]:
+        y, made = t.col(label), {}
+        for f in features:
+            x = t.only(t.col(f), y)
+            made[f"x|{f}"], (made[f"rx|{f}"], made[f"i|{f}"], made[f"n|{f}"]) = x, t.key_ranks(x)
+            made[f"ry|{f}"] = t.key_ranks(t.only(y, x))[0]
+        return made | {"y": y}
+
+    names = ["y", *[f"{c}|{f}" for f in features for c in ("x", "rx", "ry", "i", "n")]]
+    wide = V.over_rows(p, [*features, label], names, body, None, "trade_date", "symbol")  # a date's rows are sorted and ranked once, in one task
+    each = [F.struct(F.lit(f).alias("factor"), *[F.col(f"`{c}|{f}`").alias(c) for c in ("x", "rx", "ry")], F.col(f"`i|{f}`").cast("int").alias("i"), F.col(f"`n|{f}`").cast("bigint").alias("n")) for f in features]
+    long = wide.select("trade_date", "symbol", "y", F.explode(F.array(*each)).alias("z")).select("trade_date", "symbol", "y", "z.*").where("x is not null")
+    return long.join(p.select("trade_date", "symbol", *kept), ["trade_date", "symbol"]) if kept else long
 
 
 def ics(lr: DataFrame, least: int = 20) -> DataFrame:

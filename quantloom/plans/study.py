@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from ..operators import evaluation as E
 from ..operators import panel as P
+from ..operators import reports as T
 from ..sources import market
 from ..stored import stored
 from . import sql as S
@@ -57,7 +58,7 @@ def both(name: str, text: str, uses: tuple[str, ...] = ()) -> None:
         if "ur" in own:
             own["ur"] = stored(own["ur"], "returns")
         if text.startswith(RANKED):
-            own["lr"] = stored(spark.sql(f"with p as (select * from {{p}}), {RANKED} select * from lr", p=own["p"]), "ranked")
+            own["lr"] = stored(T.ranked(own["p"], FEAT).withColumnRenamed("y", "fwd"), "ranked")
             own["ic"] = stored(spark.sql(f"with lr as (select * from {{lr}}), {IC_OF} select * from ic", lr=own["lr"]), "ics")
             body = text.removeprefix(RANKED).removeprefix(f", {IC_OF}").lstrip(", \n")
         tables = ", ".join(f"{u} as (select * from {{{u}}})" for u in own)
