@@ -64,6 +64,39 @@ def global_ranks(df: DataFrame, columns: list[str], parts: int = PARTS, least: b
     return df
 
 
+def percentile(df: DataFrame, column: str, q: float, most: int = 1 << 16) -> float | None:
+    """The exact interpolated percentile, as percentile_cont gives it. No task holds the column: approximate quantiles close in on the place
+    until at most `most` rows lie between (or one value), which come to the driver. df is read a few times: store it first.
+    """
+    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    n = x.count()
+    if n == 0:
+        return None
+    place = (n - 1) * q
+    i = int(place)
+    wanted = [i, min(i + 1, n - 1)]
+    below, inside, size = 0, x, n
+    while size > most:
+        at = [max(0.0, min(1.0, (w - below + d) / size)) for w, d in ((wanted[0], -0.0005 * size), (wanted[1], 0.0005 * size + 1))]
+        lo, hi = inside.agg(F.percentile_approx("x", at, 10000)).first()[0]
+        under, now = inside.agg(F.count_if(F.col("x") < lo), F.count_if(F.col("x").between(lo, hi))).first()
+        if not below + under <= wanted[0] <= wanted[1] < below + under + now:
+            raise ArithmeticError("approximate quantiles missed their place")
+        if lo == hi:
+            return lo
+        if now == size:  # few values, most of them often: one row a value
+            seen, values = below, []
+            for r in inside.groupBy("x").count().orderBy("x").collect():
+                values += [r["x"]] * sum(seen <= w < seen + r["count"] for w in dict.fromkeys(wanted))
+                seen += r["count"]
+            break
+        inside, below, size = inside.where(F.col("x").between(lo, hi)), below + under, now
+    else:
+        rows = sorted(r["x"] for r in inside.collect())
+        values = [rows[w - below] for w in dict.fromkeys(wanted)]
+    return values[0] + (values[-1] - values[0]) * (place - i)
+
+
 def value_bucket(least_rank: Column, n: int, q: int) -> Column:
     """1 to q: between which of the interpolated quantiles a value lies, upper ends included, told from its least rank alone.
 

@@ -157,6 +157,12 @@ class Rows:
         x = self.col(x)
         return Vec(back(x.v, k), back(x.ok, k) & (self.at >= k))
 
+    def lead(self, x, k: int = 1) -> Vec:
+        """Needs whole keys."""
+        x, key = self.col(x), self.numbers()
+        ahead = lambda a: back(a[::-1], k)[::-1]
+        return Vec(ahead(x.v), ahead(x.ok) & (ahead(key) == key))
+
     def diff(self, x, k: int = 1) -> Vec:
         return self.col(x) - self.lag(x, k)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cross as X
+from ..functions import rolling as V
 from ..functions import windows as W
 from ..sources import market
 
@@ -17,18 +18,17 @@ def forward_return(start: int = 1, end: int = 20) -> Column:
     return W.ratio(W.lead("close", end), W.lead("close", start)) - 1
 
 
-def weekly_panel(spark, sf_dir: str) -> DataFrame:
-    """Weekly bars with four features and the label."""
-    b = market.weekly_bar(spark, sf_dir).withColumn("ret", W.pct_change("close", 1))
-    return b.withColumns(
-        {
-            "mom20": W.pct_change("close", 20),
-            "rev5": -W.pct_change("close", 5),
-            "vol20": W.std("ret", 20),
-            "liq5_20": W.ratio(W.mean("volume", 5), W.mean("volume", 20)),
-            "fwd": forward_return(),
-        }
-    )
+def weekly_panel(spark, sf_dir: str, momenta: tuple[int, ...] = ()) -> DataFrame:
+    """Weekly bars with four features and the label, and the change over further numbers of rows as mom<n>; one pass over sorted rows."""
+    names = [*market.BAR[2:], "ret", *FEATURES, "fwd", *[f"mom{n}" for n in momenta]]
+
+    def body(t: V.Rows) -> dict[str, V.Vec]:
+        t.add(ret=t.pct_change("close", 1))
+        made = {"mom20": t.pct_change("close", 20), "rev5": -t.pct_change("close", 5), "vol20": t.std("ret", 20), "liq5_20": t.ratio(t.mean("volume", 5), t.mean("volume", 20))}
+        made |= {f"mom{n}": t.pct_change("close", n) for n in momenta}
+        return {x: t.col(x) for x in (*market.BAR[2:], "ret")} | made | {"fwd": t.ratio(t.lead("close", 20), t.lead("close", 1)) - 1}
+
+    return V.over_rows(market.weekly_bar(spark, sf_dir), market.BAR[2:], names, body, None)
 
 
 def model_dataset(spark, sf_dir: str) -> DataFrame:

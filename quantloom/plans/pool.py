@@ -29,7 +29,7 @@ WIDE_SQL = f"""{PANEL}, w as (select *, {S.pct("close", 5)} as mom5, {S.pct("clo
 
 def wide(spark, d):
     """The panel with eight features, stored: what follows reads the order lines no more."""
-    p = P.weekly_panel(spark, d).withColumns({"mom5": W.pct_change("close", 5), "mom10": W.pct_change("close", 10), "size": F.ln("amount"), "span": W.ratio(F.col("high") - F.col("low"), F.col("close"))})
+    p = P.weekly_panel(spark, d, (5, 10)).withColumns({"size": F.ln("amount"), "span": W.ratio(F.col("high") - F.col("low"), F.col("close"))})
     return stored(p, "wide")
 
 

@@ -89,3 +89,30 @@ def test_alphas_sort_a_symbols_rows_once(spark, sf, name):
 
     plan = all_queries()[name][0](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.count("MapInArrow") == 1 and plan.count("Sort [") == 1
+
+
+def test_percentile_of_a_column_no_task_holds(spark):
+    from quantloom.functions.ranks import percentile
+
+    df = spark.range(0, 40_000).select(F.when(F.col("id") % 7 > 0, F.sin("id")).alias("x"), F.when(F.col("id") % 3 > 0, F.lit(2.0)).otherwise(F.col("id") * 1.0).alias("y"))
+    for c in ("x", "y"):
+        for q in (0.0, 0.31, 0.5, 1.0):
+            want = df.agg(F.percentile(c, F.lit(q))).first()[0]
+            assert percentile(df, c, q, most=100) == pytest.approx(want, abs=1e-12), (c, q)
+    assert percentile(df.where("x > 2"), "x", 0.5) is None
+
+
+def test_correlations_come_from_sums_of_tasks(spark, frame):
+    from quantloom.operators.research import correlations
+
+    df = frame.where("x is null or x < 100").withColumns({"z": F.col("y") * -2.0, "one": F.lit(3.0)}).repartition(5)
+    got = {(r["factor_a"], r["factor_b"]): r["corr"] for r in correlations(df, ["x", "y", "z", "one"]).collect()}
+    assert got["y", "z"] == pytest.approx(-1) and got["y", "one"] is None
+    assert got["x", "y"] == pytest.approx(df.dropna(subset=["x"]).agg(F.corr("x", "y")).first()[0])
+    assert "Aggregate" not in correlations(df, ["x", "y"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_panel_is_one_pass(spark, sf):
+    from quantloom.operators.panel import weekly_panel
+
+    assert "Window" not in weekly_panel(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
