@@ -157,7 +157,8 @@ def anchored(length: int):
         for _, part, _ in kernels.stretches(at, length):  # stretches of some bytes, so that sums and powers stay small
             lo, hi = part[0], part[-1]
             start, n, place, gram, whole = kernels.anchors(kernels.byte_values(0)[data[lo:hi]], part - lo, length, min(GRAM, (length + 1) // 2))
-            found.append((runs_at(start + lo, n, place - start, gram), whole))
+            # an anchor has the least hash of many: mixed, so that names spread over buckets
+            found.append((runs_at(start + lo, n, place - start, kernels.mix(gram)), whole))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.zeros(0, RUN)
 
     return asked

@@ -589,3 +589,13 @@ def test_classifier_awkward(spark, docs, awkward, empty):
         assert out.count() == df.count()
     none = classifier.fit(docs, labels.where("false"))
     assert classifier.score(docs.select(*classifier.READ), none).where("quality_score.kept").count() == docs.count()
+
+
+def test_names_of_anchors_spread_over_buckets():
+    """An anchor is the gram with the least hash of some hundred: dealt by that hash, nearly all would go to the first bucket."""
+    import numpy as np
+
+    data = np.random.default_rng(3).integers(97, 123, 300_000).astype(np.uint8)
+    runs, _, _ = suffix.anchored(200)(data, np.array([len(data)]), None)
+    sizes = np.bincount(suffix.bucket_of(runs["name"], 8).astype(int), minlength=8)
+    assert len(runs) > 2000 and sizes.max() < 1.3 * sizes.mean()
