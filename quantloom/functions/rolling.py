@@ -320,6 +320,36 @@ class Rows:
         count[rows] = np.bincount(key)[key] if len(key) else 0
         return Vec(average, x.ok), Vec(first, x.ok), Vec(count, x.ok)
 
+    def key_mean(self, x, within: np.ndarray | None = None) -> Vec:
+        """Mean of the known values of the row's key, or of its rows with the same number from 0 in `within`. Needs whole keys."""
+        x, group = self.col(x), self.numbers()
+        if within is not None:
+            group = group * (int(within.max(initial=0)) + 1) + within
+        n = np.bincount(group, x.ok)
+        return Vec((np.bincount(group, np.where(x.ok, x.v, 0.0)) / n)[group], n[group] > 0)
+
+    def key_zscore(self, x) -> Vec:
+        """By the mean and deviation of the key's known values; null without spread. Needs whole keys."""
+        x, key = self.col(x), self.numbers()
+        d = x - self.key_mean(x)
+        v, n = np.where(x.ok, x.v, np.inf), int(key[-1]) + 1 if len(key) else 0
+        lowest, highest = np.full(n, np.inf), np.full(n, -np.inf)
+        np.minimum.at(lowest, key, v)
+        np.maximum.at(highest, key, np.where(x.ok, x.v, -np.inf))
+        sd = np.sqrt(self.key_mean(d * d).v)
+        return Vec(d.v / sd, d.ok & (sd != 0) & (lowest != highest)[key])
+
+    def key_corr(self, x: Vec, y: Vec, least: int = 1) -> Vec:
+        """Pearson over the key's rows where both are known, at the key's first row only; null without spread or with fewer than `least` rows. Needs whole keys."""
+        both, key = x.ok & y.ok, self.numbers()
+        x, y = Vec(x.v, both), Vec(y.v, both)
+        dx, dy = x - self.key_mean(x), y - self.key_mean(y)
+        total = lambda v: np.bincount(key, np.where(both, v, 0.0))
+        spread, out, ok = np.sqrt(total(dx.v * dx.v)) * np.sqrt(total(dy.v * dy.v)), np.zeros(len(key)), np.zeros(len(key), bool)
+        out[self.begins] = total(dx.v * dy.v) / spread
+        ok[self.begins] = (spread != 0) & (np.bincount(key, both) >= least)
+        return Vec(out, ok)
+
     def whole_rank(self, x) -> Vec:
         """Percent rank among all rows of the key, earlier and later; average ties."""
         average, _, count = self.key_ranks(x)
@@ -387,6 +417,7 @@ def over_rows(df: DataFrame, columns: list[str], names: list[str], body: Callabl
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size, skip, number, sums = 0, 0, 0, []  # rows to look back at, the first row's number in its key, sums before it
+        enough = rows  # of a long key, twice as many as the last time
 
         def work(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, size, skip, number, sums
@@ -418,8 +449,9 @@ def over_rows(df: DataFrame, columns: list[str], names: list[str], body: Callabl
             for i in range(0, batch.num_rows, rows):
                 held.append(batch.slice(i, rows))
                 size += held[-1].num_rows
-                if size - skip >= rows:
+                if size - skip >= enough:
                     yield from work(False)
+                    enough = rows + 2 * (size - skip)
         if size > skip:
             yield from work(True)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import cross as X
+from ..functions import rolling as V
 from ..functions import windows as W
 from ..operators import panel as P
 from ..operators import research as R
@@ -106,28 +106,27 @@ a2 as (select * from a1 where dv5 is not null and ret is not null and pv10 is no
   {r("body / (span + 0.001)")} as alpha_body, {r("sign(dv5) * -(close - c5)", 5)} as alpha_flow, {r(pr("dv5") + " - " + pr("ret"))} as alpha_volume_less_return from a2""",
 )
 def formula_alphas(spark, d):
-    p = P.weekly_panel(spark, d).withColumns(
-        {
-            "body": F.col("close") - F.col("open"),
-            "span": F.col("high") - F.col("low"),
-            "dv5": W.pct_change("volume", 5),
-            "c5": W.lag("close", 5),
-            "pv10": W.corr("close", "volume", 10),
-            "ov10": W.corr("open", "volume", 10),
-        }
-    )
-    known = p.where("dv5 is not null and ret is not null and pv10 is not null and not isnan(pv10) and ov10 is not null and not isnan(ov10)")
-    # ranks of noisy doubles: values closer than 1e-9 would tie in one engine alone
-    out = known.select(
-        "trade_date",
-        "symbol",
-        (-X.percent_rank("ov10")).alias("alpha_open_volume"),
-        (-X.percent_rank("pv10") * X.percent_rank("ret")).alias("alpha_price_volume"),
-        (F.col("body") / (F.col("span") + 0.001)).alias("alpha_body"),
-        (F.signum("dv5") * -(F.col("close") - F.col("c5"))).alias("alpha_flow"),
-        (X.percent_rank("dv5") - X.percent_rank("ret")).alias("alpha_volume_less_return"),
-    )
-    return rounded(out, alpha_flow=5)
+    return rounded(formula_alphas_of(market.weekly_bar(spark, d)), alpha_flow=5)
+
+
+def formula_alphas_of(bars):
+    """Windows by name in one pass over sorted rows, then the ranks of each date's names in another."""
+    ranked = ["ov10", "pv10", "ret", "dv5"]
+
+    def by_name(t: V.Rows) -> dict[str, V.Vec]:
+        made = {"ov10": t.corr("open", "volume", 10), "pv10": t.corr("close", "volume", 10), "ret": t.pct_change("close", 1), "dv5": t.pct_change("volume", 5)}
+        body = (t.col("close") - t.col("open")) / (t.col("high") - t.col("low") + 0.001)
+        return made | {"alpha_body": body, "alpha_flow": t.sign(made["dv5"]) * -t.diff("close", 5)}
+
+    def by_date(t: V.Rows) -> dict[str, V.Vec]:
+        rank = {c: t.whole_rank(c) for c in ranked}
+        made = {"alpha_open_volume": -rank["ov10"], "alpha_price_volume": -rank["pv10"] * rank["ret"], "alpha_volume_less_return": rank["dv5"] - rank["ret"]}
+        return made | {c: t.col(c) for c in ("alpha_body", "alpha_flow")}
+
+    x = V.over_rows(bars, ["open", "high", "low", "close", "volume"], [*ranked, "alpha_body", "alpha_flow"], by_name, 10)
+    x = x.where("dv5 is not null and ret is not null and pv10 is not null and not isnan(pv10) and ov10 is not null and not isnan(ov10)")
+    names = ["alpha_open_volume", "alpha_price_volume", "alpha_body", "alpha_flow", "alpha_volume_less_return"]
+    return V.over_rows(x, [*ranked, "alpha_body", "alpha_flow"], names, by_date, None, "trade_date", "symbol")
 
 
 _HI, _LO = f"max(high) over {S.over(9)}", f"min(low) over {S.over(9)}"
