@@ -6,6 +6,8 @@ row a factor and date at most.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ..functions import rolling as V
 from ..functions import windows as W
 from ..functions.graphs import components
 from ..functions.ranks import PARTS, global_ranks
+from ..stored import stored
 from . import research as R
 
 
@@ -197,3 +200,42 @@ def normality(df: DataFrame, column: str, limit: float = 5.99) -> DataFrame:
     """n, skew, excess_kurtosis and whether a Jarque-Bera test lets the column pass for normal: one row, from one aggregation."""
     x = df.where(F.col(column).isNotNull()).agg(F.count(column).alias("n"), F.skewness(column).alias("skew"), F.kurtosis(column).alias("excess_kurtosis"))
     return x.withColumn("normal", F.col("n") / 6.0 * (F.col("skew") ** 2 + F.col("excess_kurtosis") ** 2 / 4) < limit)
+
+
+def marginal(p: DataFrame, features: list[str], label: str) -> DataFrame:
+    """factor, ic_change (of the mean of all z-scores against that of the others), diversity_change, turnover_change, score, recommendation.
+
+    A date's rows are ranked once, in the task that has them; they are read again by name, for what a factor moves.
+    """
+    k = len(features)
+
+    def body(t: V.Rows) -> dict[str, V.Vec]:
+        z = {f: t.key_zscore(f) for f in features}
+        whole = sum(z[f] for f in features) / k
+        y = t.key_ranks(t.only(t.col(label), whole))[0]
+        made = {f"z_{f}": z[f] for f in features} | {"iw": t.key_corr(t.key_ranks(whole)[0], y)}
+        for f in features:
+            without = t.only(sum(z[g] for g in features if g != f) / (k - 1), whole)
+            made[f"io_{f}"] = t.key_corr(t.key_ranks(without)[0], y)
+        return made
+
+    known = p.where(" and ".join(f"{c} is not null" for c in (*features, label)))
+    rows = stored(V.over_rows(known, [*features, label], ["iw", *[f"{c}_{f}" for f in features for c in ("z", "io")]], body, None, "trade_date", "symbol"), "zscored")
+    of = lambda c: F.array(*[F.struct(F.lit(f).alias("factor"), c(f)) for f in features])
+    ics = rows.agg(F.avg("iw").alias("iw"), *[F.avg(f"io_{f}").alias(f"io_{f}") for f in features]).select("iw", F.explode(of(lambda f: F.col(f"io_{f}").alias("io"))).alias("z"))
+    name = Window.partitionBy("symbol").orderBy("trade_date")
+    whole = rows.where(" and ".join(f"z_{f} is not null" for f in features))
+    moved = whole.select(*[F.abs(F.col(f"z_{f}") - F.lag(f"z_{f}").over(name)).alias(f"m_{f}") for f in features]).agg(*[F.avg(f"m_{f}").alias(f"m_{f}") for f in features])
+    moved = moved.select(F.explode(of(lambda f: F.col(f"m_{f}").alias("turnover"))).alias("z")).select("z.*")
+    pool = moved.agg(F.avg("turnover").alias("pool"))
+    corr = R.correlations(rows.select(*[F.col(f"z_{f}").alias(f) for f in features]), features)
+    pairs = stored(corr.select("factor_a", "factor_b", F.abs("corr").alias("c")), "pairs")  # a row a pair
+    names = rows.sparkSession.createDataFrame([(f,) for f in features], "factor string")
+    mean = lambda c, n: F.when(F.count(c) == n, F.sum(c) / n)
+    out = (F.col("factor") != F.col("factor_a")) & (F.col("factor") != F.col("factor_b"))
+    diversity = names.crossJoin(pairs).groupBy("factor").agg((mean(F.when(out, F.col("c")), (k - 1) * (k - 2) // 2) - mean(F.col("c"), k * (k - 1) // 2)).alias("diversity"))
+    all_of = ics.select("z.factor", (F.col("iw") - F.col("z.io")).alias("ic_change")).join(diversity, "factor").join(moved, "factor").crossJoin(pool)  # a row a factor
+    more = F.col("turnover") - F.col("pool")
+    score = 10 * F.col("ic_change") + 5 * F.col("diversity") - more
+    advice = F.when(score > 0.5, "ADD").when(score > 0, "CONDITIONAL_ADD").when(score > -0.5, "WATCH").otherwise("REJECT")
+    return all_of.select("factor", "ic_change", F.col("diversity").alias("diversity_change"), (more / 100).alias("turnover_change"), score.alias("score"), advice.alias("recommendation"))
