@@ -239,3 +239,29 @@ def marginal(p: DataFrame, features: list[str], label: str) -> DataFrame:
     score = 10 * F.col("ic_change") + 5 * F.col("diversity") - more
     advice = F.when(score > 0.5, "ADD").when(score > 0, "CONDITIONAL_ADD").when(score > -0.5, "WATCH").otherwise("REJECT")
     return all_of.select("factor", "ic_change", F.col("diversity").alias("diversity_change"), (more / 100).alias("turnover_change"), score.alias("score"), advice.alias("recommendation"))
+
+
+def neutral_variants(p: DataFrame, x: str, label: str, industry: str, size: str, other: str, q: int = 5, least: int = 3) -> DataFrame:
+    """variant, n_dates, mean_ic, ir of x as it is, and less its date's means by industry (a number from 0), by size bucket, by both. Means and buckets are of all rows
+    with x, rank ICs of those with `other` and the label. A date's rows are worked on once, in the task that has them."""
+    variants = ["raw", "industry", "size", "both"]
+
+    def body(t: V.Rows, dates: pa.Array, symbols: pa.Array) -> list[pa.Array]:
+        v, s = t.col(x), t.col(size)
+        _, first, n = t.key_ranks(V.Vec(np.where(s.ok, s.v, -np.inf), np.ones(len(s.ok), bool)))  # unknown sizes come first
+        bucket = np.minimum(q, np.ceil(first.v * float(q) / n.v)).astype(np.int64) - 1
+        by_industry = v - t.key_mean(v, t.col(industry).v.astype(np.int64))
+        made = [v, by_industry, v - t.key_mean(v, bucket), by_industry - t.key_mean(by_industry, bucket)]
+        y = t.only(t.col(label), t.col(other))
+        ry = t.key_ranks(y)[0]
+        ics = [t.key_corr(t.key_ranks(t.only(t.rounded(m, 9), y))[0], ry, least) for m in made]
+        rows = np.bincount(t.numbers(), y.ok)
+        at = t.begins[rows >= least]
+        take = lambda ic: pa.array(ic.v[at], pa.float64(), mask=~ic.ok[at])
+        return [dates.take(pa.array(at)), *map(take, ics)]
+
+    kind = p.schema["trade_date"].dataType.simpleString()
+    schema = f"trade_date {kind}, " + ", ".join(f"`{c}` double" for c in variants)
+    rows = V.over_rows(p.where(F.col(x).isNotNull()), [x, label, industry, size, other], ["trade_date", *variants], body, None, "trade_date", "symbol", schema=schema)
+    ic = rows.unpivot(["trade_date"], variants, "variant", "ic")
+    return ic.groupBy("variant").agg(F.count("ic").alias("n_dates"), F.avg("ic").alias("mean_ic"), W.ratio(F.avg("ic"), F.stddev_samp("ic")).alias("ir"))
