@@ -202,6 +202,17 @@ def normality(df: DataFrame, column: str, limit: float = 5.99) -> DataFrame:
     return x.withColumn("normal", F.col("n") / 6.0 * (F.col("skew") ** 2 + F.col("excess_kurtosis") ** 2 / 4) < limit)
 
 
+def by_regime(p: DataFrame, regimes: DataFrame, features: list[str], label: str, regime: str = "trend_regime", least: int = 50, parts: int = PARTS) -> DataFrame:
+    """factor, the regime, n_rows, spearman over all rows of the regime's dates; those of more than `least` rows. regimes: trade_date and its regime, of few."""
+    both = stored(p.select("trade_date", *features, label).where(F.col(label).isNotNull()).join(regimes, "trade_date").select(regime, *features, F.col(label).alias("y")), "regimes")
+    out = None
+    for f in features:  # two columns travel for each, not all of them
+        x = global_ranks(both.select(regime, F.col(f).alias("x"), "y").where("x is not null"), ["x", "y"], parts, by=regime)
+        one = x.groupBy(regime).agg(F.count(F.lit(1)).alias("n_rows"), W.pair_corr("x_rank", "y_rank").alias("spearman")).select(F.lit(f).alias("factor"), regime, "n_rows", "spearman")
+        out = one if out is None else out.unionByName(one)
+    return out.where(F.col("n_rows") > least)
+
+
 def marginal(p: DataFrame, features: list[str], label: str) -> DataFrame:
     """factor, ic_change (of the mean of all z-scores against that of the others), diversity_change, turnover_change, score, recommendation.
 
