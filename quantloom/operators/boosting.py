@@ -21,7 +21,10 @@ from ..stored import drop, stored
 from . import panel as P
 
 TRAIN, VALID, TEST = 0, 1, 2
-ROWS = "fold int, role int, y double, codes binary"
+#: A block of rows of one fold and role: labels, and codes feature after feature.
+BLOCKS = "fold int, role int, y binary, codes binary"
+#: Rows of a block, and blocks that travel at once.
+BLOCK, AT_ONCE = 1 << 14, 32
 
 
 @dataclass(frozen=True)
@@ -52,14 +55,10 @@ class Tree:
 
     def nodes(self, codes: np.ndarray) -> np.ndarray:
         """Where each row ends so far."""
-        at = np.zeros(len(codes), int)
-        for _ in range(self.depth):
-            f = self.feature[at]
-            inner = f >= 0
-            if not inner.any():
-                break
-            right = codes[np.arange(len(codes)), np.maximum(f, 0)] > self.cut[at]
-            at = np.where(inner, 2 * at + 1 + right, at)
+        at = np.zeros(len(codes), np.min_scalar_type(len(self.feature)))
+        for i in np.flatnonzero(self.feature >= 0).tolist():  # parents come before their children
+            right = codes[:, self.feature[i]] > self.cut[i]
+            at = np.where(at == i, right + at.dtype.type(2 * i + 1), at)
         return at
 
 
@@ -103,24 +102,30 @@ def sums_of(rows: DataFrame, folds: dict[int, Fold], level: int, n_features: int
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            for (fold, role), own in b.groupby(["fold", "role"]):
+            for fold, role, y, raw in b[["fold", "role", "y", "codes"]].itertuples(index=False):
                 if fold not in folds:
                     continue
-                model, codes = folds[fold], np.frombuffer(b"".join(own["codes"]), np.uint8).reshape(len(own), n_features)
+                model, y = folds[fold], np.frombuffer(y, float)
+                codes = np.frombuffer(raw, np.uint8).reshape(n_features, len(y)).T
                 into = held.setdefault(fold, np.zeros(size + 2))
-                rest = own["y"].to_numpy(float) - model.predicted(codes, len(model.trees) - 1)
+                rest = y - model.predicted(codes, len(model.trees) - 1)
                 if role == VALID:
                     into[-2:] += (rest**2).sum(), len(rest)
                     continue
-                at = model.trees[-1].nodes(codes) - first
-                here = at >= 0
-                cell = (at[here, None] * n_features + np.arange(n_features)) * bins + codes[here]
-                into[: size // 2] += np.bincount(cell.ravel(), minlength=size // 2)
-                into[size // 2 : size] += np.bincount(cell.ravel(), np.repeat(rest[here], n_features), size // 2)
+                at = model.trees[-1].nodes(codes).astype(np.int64) - first
+                if level:
+                    here = at >= 0
+                    at, rest, codes = at[here], rest[here], codes.T[:, here].T
+                counts, totals = into[:size].reshape(2, nodes, n_features, bins)
+                for i in range(n_features):
+                    cell = at * bins + codes[:, i]
+                    counts[:, i] += np.bincount(cell, minlength=nodes * bins).reshape(nodes, bins)
+                    totals[:, i] += np.bincount(cell, rest, nodes * bins).reshape(nodes, bins)
         if held:
             yield pd.DataFrame({"fold": list(held), "sums": list(held.values())})
 
-    parts = rows.where(F.col("role") < TEST).mapInPandas(summed, "fold int, sums array<double>")
+    # validation errors are asked for at the first level only
+    parts = rows.where(F.col("role") <= (TRAIN if level else VALID)).mapInPandas(summed, "fold int, sums array<double>")
     merged = parts.groupBy("fold").applyInPandas(lambda g: pd.DataFrame({"fold": [g["fold"].iloc[0]], "sums": [np.sum(np.stack(g["sums"].to_numpy()), axis=0)]}), "fold int, sums array<double>")
     return {r["fold"]: (np.asarray(r["sums"][:-2]).reshape(2, nodes, n_features, bins), np.asarray(r["sums"][-2:])) for r in merged.collect()}
 
@@ -218,34 +223,56 @@ def walk_forward(df: DataFrame, features: list[str], label: str, signals: list,
     roles = spark.createDataFrame(fold_dates(dates, signals, train, valid, horizon, embargo), f"trade_date {df.schema['trade_date'].dataType.simpleString()}, fold int, role int")
     dealt = df.join(roles, "trade_date").where((F.col("role") == TEST) | (F.abs("y") < float("inf")))
     shares = [k / s.bins for k in range(1, s.bins)]
-    of_fold = dealt.where(F.col("role") == TRAIN).groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("trade_date").alias("days"), F.avg("y").alias("base"), *[F.percentile_approx(f, shares, 10_000).alias(f"_{i}") for i, f in enumerate(features)]
-    ).collect()
-    taught = {r["fold"]: r for r in of_fold if r["n"] >= s.least_rows and r["days"] >= s.least_dates}
+    training = dealt.where(F.col("role") == TRAIN)
+    # by itself, as it would have the quantiles taken of each date first
+    days = {r["fold"]: r["count"] for r in training.select("fold", "trade_date").distinct().groupBy("fold").count().collect()}
+    of_fold = training.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("base"), *[F.percentile_approx(f, shares, 10_000).alias(f"_{i}") for i, f in enumerate(features)]).collect()
+    taught = {r["fold"]: r for r in of_fold if r["n"] >= s.least_rows and days[r["fold"]] >= s.least_dates}
     cuts = {f: [sorted(set(r[f"_{i}"])) for i in range(len(features))] for f, r in taught.items()}
 
-    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def codes_of(own: pd.DataFrame, fold: int) -> np.ndarray:
+        """Feature after feature."""
+        return np.stack([np.searchsorted(cuts[fold][i], own[f].to_numpy(float)) for i, f in enumerate(features)]).astype(np.uint8)
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        sizes: dict[tuple[int, int], int] = {}
+
+        def block(key: tuple[int, int]) -> pd.DataFrame:
+            y, codes = zip(*held.pop(key), strict=True)
+            del sizes[key]
+            return pd.DataFrame({"fold": [key[0]], "role": [key[1]], "y": [np.concatenate(y).tobytes()], "codes": [np.concatenate(codes, axis=1).tobytes()]})
+
         for b in batches:
-            b = b[b["fold"].isin(list(cuts))].reset_index(drop=True)
-            codes = np.zeros((len(b), len(features)), np.uint8)
-            for fold, own in b.groupby("fold"):
-                for i, f in enumerate(features):
-                    codes[own.index, i] = np.searchsorted(cuts[fold][i], own[f].to_numpy(float))
-            yield b[["trade_date", "symbol", "fold", "role", "y"]].assign(codes=[c.tobytes() for c in codes])
+            for (fold, role), own in b.groupby(["fold", "role"]):
+                if fold in cuts:
+                    held.setdefault((fold, role), []).append((own["y"].to_numpy(float), codes_of(own, fold)))
+                    sizes[fold, role] = sizes.get((fold, role), 0) + len(own)
+            over = sum(sizes.values()) > 16 * BLOCK
+            for key in [k for k, n in sizes.items() if over or n >= BLOCK]:
+                yield block(key)
+        for key in list(held):
+            yield block(key)
 
     keys = f"trade_date {df.schema['trade_date'].dataType.simpleString()}, symbol {df.schema['symbol'].dataType.simpleString()}"
-    rows = stored(dealt.mapInPandas(coded, f"{keys}, {ROWS}"), "binned")
-    models, gains = grown(rows.select("fold", "role", "y", "codes"), {f: r["base"] for f, r in taught.items()}, len(features), s)
+    rows = stored(dealt.where(F.col("role") < TEST).select("fold", "role", "y", *features).mapInPandas(blocks, BLOCKS), "binned", block=8 << 20)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(AT_ONCE))
+    try:
+        models, gains = grown(rows, {f: r["base"] for f, r in taught.items()}, len(features), s)
+    finally:
+        spark.conf.set(name, before)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            b = b[b["fold"].isin(list(cuts))].reset_index(drop=True)
             score = np.zeros(len(b))
-            for fold, own in b.reset_index(drop=True).groupby("fold"):
-                codes = np.frombuffer(b"".join(own["codes"]), np.uint8).reshape(len(own), len(features))
-                score[own.index] = models[fold].predicted(codes, models[fold].kept())
+            for fold, own in b.groupby("fold"):
+                score[own.index] = models[fold].predicted(codes_of(own, fold).T, models[fold].kept())
             yield b[["trade_date", "symbol", "fold", "role", "y"]].assign(score=score)
 
-    told = stored(rows.where(F.col("role") > TRAIN).mapInPandas(scored, f"{keys}, fold int, role int, y double, score double"), "scored")
+    told = stored(dealt.where(F.col("role") > TRAIN).mapInPandas(scored, f"{keys}, fold int, role int, y double, score double"), "scored")
     drop(rows)
     test = told.where(F.col("role") == TEST)
     spread = test.groupBy("fold").agg((F.max("score") > F.min("score")).alias("spread")).where("spread").select("fold")

@@ -23,13 +23,14 @@ def folder(spark: SparkSession) -> str:
     return _own
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, block: int | None = None) -> DataFrame:
     """df as Parquet, read back: what follows doesn't compute it again, and a lost executor costs the running step only.
 
     The table stays for as long as the caller's lazy results may read it; drop() removes it.
+    block: bytes of a row group, where rows are long.
     """
     path = f"{folder(df.sparkSession)}/quantloom-{uuid.uuid4().hex[:12]}-{name}"
-    df.write.parquet(path)
+    (df.write if block is None else df.write.option("parquet.block.size", block)).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
